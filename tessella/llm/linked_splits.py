@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.plans.cut import Scratch
+from tessella.plans.spread import spread_join
 
 #: Spellings that stand for "no name".
 PLACEHOLDERS = [
@@ -24,10 +25,6 @@ PLACEHOLDERS = [
     "no image", "no name", "not available", "tbd", "unknown", "undefined", "unnamed", "placeholder",
 ]
 
-#: A key pair that holds this share of all records is salted in joins; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1 / 64
-SALTS = 32
-
 
 def usable_id(img_id: Column) -> Column:
     return F.when(img_id > 0, img_id)
@@ -122,17 +119,8 @@ def image_groups(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
 
 
 def attach(records: DataFrame, pairs: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
-    """Brings columns of the literal pairs to the records; the few hot pairs are spread over salts."""
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    # proven bound: at most 1 / HOT_SHARE pairs can hold that share
-    hot = [(r.img_id, r.img_name) for r in pairs.filter(F.col("n") >= max(1000, total * HOT_SHARE)).select("img_id", "img_name").collect()]
-    is_hot = F.lit(False)
-    for i, nm in hot:
-        is_hot = is_hot | (F.col("img_id").eqNullSafe(F.lit(i).cast("bigint")) & F.col("img_name").eqNullSafe(F.lit(nm).cast("string")))
-    left = records.withColumn("_salt", F.when(is_hot, F.pmod("rec_id", F.lit(SALTS)).cast("int")).otherwise(0))
-    right = pairs.select(F.col("img_id").alias("_i"), F.col("img_name").alias("_n"), F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_s"), *columns)
-    on = F.col("img_id").eqNullSafe(F.col("_i")) & F.col("img_name").eqNullSafe(F.col("_n")) & (F.col("_salt") == F.col("_s"))
-    return left.join(right, on, how).drop("_salt", "_i", "_n", "_s")
+    """Brings columns of the literal pairs to the records."""
+    return spread_join(records, pairs, ["img_id", "img_name"], "n", F.col("rec_id"), columns, how)
 
 
 def linked_groups(records: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import linked_splits
+from tessella.llm import encoding, format_copies, linked_splits, packing
+from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +25,33 @@ def p1_forest(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.spanning_forest(table(spark, d, "qa_record"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_forest": p1_forest}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.found(table(spark, d, "raw_record"))
+
+
+def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies.collapsed(table(spark, d, "raw_record"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.ids(table(spark, d, "documents"))
+
+
+def p7_vocabulary_use(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.vocabulary_use(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    items = Scratch(spark, "sizes").keep(encoding.sizes(table(spark, d, "documents")))
+    return packing.pack_budgets(items, table(spark, d, "token_budget"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, d), table(spark, d, "token_budget"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p7_ids, p7_vocabulary_use, p8_containers, p8_fill)
+}
 ORACLE: dict[str, str] = {}
