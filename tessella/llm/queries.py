@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import encoding, format_copies, linked_splits, packing
+from tessella.llm import encoding, format_copies, linked_splits, packing, sentences
 from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
@@ -50,8 +50,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_containers(spark, d), table(spark, d, "token_budget"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_texts(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p7_ids, p7_vocabulary_use, p8_containers, p8_fill)
+    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }
 ORACLE: dict[str, str] = {}
