@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import encoding, format_copies, linked_splits, packing, sentences
+from tessella.llm import canonical_values, encoding, format_copies, linked_splits, packing, sentences
 from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
@@ -33,6 +33,14 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.collapsed(table(spark, d, "raw_record"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_values.found(table(spark, d, "generation_result"), table(spark, d, "canonical_answer"))
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return p6_found(spark, d).groupBy("field_name", "canon_id").count().withColumnRenamed("count", "n")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.ids(table(spark, d, "documents"))
 
@@ -60,6 +68,6 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
+    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }
 ORACLE: dict[str, str] = {}
