@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import canonical_values, encoding, format_copies, linked_splits, packing, sentences
+from tessella.llm import canonical_values, encoding, format_copies, languages, linked_splits, packing, sentences
 from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
@@ -25,6 +25,14 @@ def p1_forest(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.spanning_forest(table(spark, d, "qa_record"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.found(table(spark, d, "qa_record"))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "qa_record"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return format_copies.found(table(spark, d, "raw_record"))
 
@@ -68,6 +76,6 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_forest, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
+    for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }
 ORACLE: dict[str, str] = {}
