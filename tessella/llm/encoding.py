@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.shared import Shared
+
 #: Where the public vocabularies lie.
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the public pattern that splits text before the merges.
@@ -143,28 +145,27 @@ class ByteBpe:
         return out
 
 
-_LOADED: dict[int, ByteBpe] = {}
+_LOADED: dict[str, ByteBpe] = {}
 
 
-def _tokenizer(ranks) -> ByteBpe:
+def _tokenizer(ranks: Shared) -> ByteBpe:
     """One tokenizer, with its known words, for each worker process."""
-    key = ranks.id if hasattr(ranks, "id") else 0
-    if key not in _LOADED:
+    if ranks.name not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ByteBpe(ranks.value)
-    return _LOADED[key]
+        _LOADED[ranks.name] = ByteBpe(ranks.value)
+    return _LOADED[ranks.name]
 
 
-def _vocabulary(spark: SparkSession, name: str, folder: str | None):
+def _vocabulary(spark: SparkSession, name: str, folder: str | None) -> Shared:
     with open(os.path.join(folder or VOCABULARIES, f"{name}.tiktoken"), "rb") as f:
-        return spark.sparkContext.broadcast(f.read())  # under 1 MB, read once on the driver
+        return Shared(spark, f.read())  # under 1 MB, read once on the driver
 
 
 #: Texts that are split at a time, to bound a worker's memory.
 STEP = 256
 
 
-def _encoded(column, ranks) -> Iterator[list[list[int]]]:
+def _encoded(column, ranks: Shared) -> Iterator[list[list[int]]]:
     bpe = _tokenizer(ranks)
     for s in range(0, len(column), STEP):
         yield bpe.encode_batch(column.slice(s, STEP).to_pylist())

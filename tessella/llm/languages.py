@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.plans.shared import Shared
+
 #: Labelled rows that the machines are fitted on, at most.
 SAMPLE_ROWS = 30_000
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es")}
@@ -307,20 +309,20 @@ def with_common(texts: list[str], labels: list[str], times: int = 5) -> tuple[li
     return texts + [w for w, _ in more], labels + [lang for _, lang in more]
 
 
-_READY: dict[int, Classifier] = {}
+_READY: dict[str, Classifier] = {}
 
 
-def classifier(shared) -> Classifier:
+def classifier(shared: Shared) -> Classifier:
     """One classifier, with its known words and texts, for each worker process."""
-    if shared.id not in _READY:
+    if shared.name not in _READY:
         _READY.clear()
-        _READY[shared.id] = Classifier(shared.value)
-    return _READY[shared.id]
+        _READY[shared.name] = Classifier(shared.value)
+    return _READY[shared.name]
 
 
 def segments(records: DataFrame, machines: Machines | None = None) -> DataFrame:
     """(rec_id, seg_no, lang, confidence, start_pos, end_pos): every stretch of one language of every question."""
-    shared = records.sparkSession.sparkContext.broadcast(machines or train(records, ["question", "answer"], "q_lang"))
+    shared = Shared(records.sparkSession, machines or train(records, ["question", "answer"], "q_lang"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = classifier(shared)
@@ -333,7 +335,7 @@ def segments(records: DataFrame, machines: Machines | None = None) -> DataFrame:
 
 def found(records: DataFrame, machines: Machines | None = None) -> DataFrame:
     """(rec_id, seg_no, lang) of every record with a missing or wrong label or with several languages."""
-    shared = records.sparkSession.sparkContext.broadcast(machines or train(records, ["question", "answer"], "q_lang"))
+    shared = Shared(records.sparkSession, machines or train(records, ["question", "answer"], "q_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = classifier(shared)
