@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import broken_pairs, canonical_values, encoding, format_copies, languages, linked_splits, packing, sentences
+from tessella.llm import broken_pairs, canonical_values, encoding, format_copies, languages, linked_splits, packing, sentences, split_overlap
 from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
@@ -33,6 +33,14 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(table(spark, d, "qa_record"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.found(table(spark, d, "qa_record"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.report(table(spark, d, "qa_record"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs.found(table(spark, d, "qa_record"))
 
@@ -84,6 +92,6 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p4_found, p4_defects, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
+    for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p3_found, p3_report, p4_found, p4_defects, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }
 ORACLE: dict[str, str] = {}
