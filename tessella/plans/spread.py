@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 #: A key with this share of the rows is spread over salts; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 64
 SALTS = 32
+#: A right side of up to so many rows is broadcast; it is counted first.
+BROADCAST_ROWS = 250_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, salt_by: Column, columns: list[str], how: str = "inner", least: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, salt_by: Column, columns: list[str], how: str = "inner", least: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins left to right on null-safe equal columns ``on``.
 
-    right has one row per key, with ``count``, the number of left rows of the
+    A right side of at most broadcast_rows rows is broadcast. Otherwise: right has one row per key, with ``count``, the number of left rows of the
     key. Keys that hold HOT_SHARE of all of them are proven to be at most
     1 / HOT_SHARE; their rows are spread over SALTS by ``salt_by`` and their
     right row is repeated once per salt. Result: left's columns, then columns.
     """
+    names = {c: f"_k{i}" for i, c in enumerate(on)}
+    if right.count() <= broadcast_rows:
+        cond = F.lit(True)
+        for c, n in names.items():
+            cond = cond & F.col(c).eqNullSafe(F.col(n))
+        small = right.select(*[F.col(c).alias(n) for c, n in names.items()], *columns)
+        return left.join(F.broadcast(small), cond, how).drop(*names.values())
     total = right.agg(F.sum(count)).first()[0] or 0
     hot = right.filter(F.col(count) >= max(least, total * HOT_SHARE)).select(*on).collect()
     types = dict(right.select(*on).dtypes)
@@ -27,7 +36,6 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, sa
         for c in on:
             same = same & F.col(c).eqNullSafe(F.lit(row[c]).cast(types[c]))
         is_hot = is_hot | same
-    names = {c: f"_k{i}" for i, c in enumerate(on)}
     a = left.withColumn("_salt", F.when(is_hot, F.pmod(salt_by, F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     b = right.select(*[F.col(c).alias(n) for c, n in names.items()], F.explode(salts).alias("_s"), *columns)
