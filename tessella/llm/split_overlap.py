@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.canonical_values import BkTree, distance
+from tessella.llm.canonical_values import distance
 from tessella.llm.linked_splits import attach, image_groups
 from tessella.plans.cut import Scratch
 from tessella.plans.shared import Shared
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 #: A word in so large a share of a language's questions is established: it can't be a slip of another one.
 ESTABLISHED = 0.003
 #: Weight of words that aren't established and near no established one.
@@ -119,10 +119,28 @@ class Vectors:
 
     def __init__(self, df: dict[str, int], n: int):
         self.df, self.n = df, max(1, n)
-        self.tree = BkTree([w for w in df if len(w) > 3 and not regex.search(r"\p{Han}|\p{N}", w)])
+        self.cut: dict[str, list[str]] = {}
+        for w in df:
+            if len(w) > 3 and not regex.search(r"\p{Han}|\p{N}", w):
+                for x in self._shorter(w):
+                    self.cut.setdefault(x, []).append(w)
         self.term = lru_cache(200_000)(self._term)
         self.of = lru_cache(100_000)(self._of)
 
+    @staticmethod
+    def _shorter(w: str) -> set[str]:
+        """The word with up to one letter left out, up to two in words of six or more; words that near share one."""
+        one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        two = {x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if len(w) > 5 else set()
+        return {w} | one | two
+
+    def near(self, t: str) -> str | None:
+        """The established word that t is most likely a slip of."""
+        most = 1 if len(t) < 6 else 2
+        seen = {w for x in self._shorter(t) for w in self.cut.get(x, ())}
+        got = [(d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w)) <= most]
+        return min(got)[2] if got else None
+
     def _term(self, t: str) -> tuple[str, float] | None:
         """The term and weight of a token; a slip counts as the established word it is nearest to."""
         if regex.match(r"\p{N}", t):
@@ -130,9 +148,7 @@ class Vectors:
         if regex.match(r"\p{Han}", t):
             return None if t in HAN_STOP else (t, self.weight(t))
         if t not in self.df and len(t) > 3:
-            near = sorted((d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w, d in self.tree.within(t, 1 if len(t) < 6 else 2))
-            if near:
-                t = near[0][2]
+            t = self.near(t) or t
         elif t not in self.df and len(t) <= 3 and t not in _STOP and t not in _SAME:
             short = [w for w in self.df if len(w) <= 4 and abs(len(w) - len(t)) <= 1 and distance(w, t) == 1]
             if short:
@@ -194,14 +210,14 @@ def _vectors(shared: Shared) -> Vectors:
 
 
 def _texts(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written table (rec_id, train, block, text, question) of all records that can pair."""
+    """Written table (rec_id, train, block, tid, question, lang) of all records that can pair; tid tells texts that differ in more than marks apart."""
     pairs, _ = image_groups(records, scratch)
-    rows = attach(records.select("rec_id", "img_id", "img_name", "question", "answer", "split", "q_lang"), pairs, ["group_id"])
     answer = F.regexp_replace(F.lower(F.coalesce("answer", F.lit(""))), r"[\p{P}\s_]+", "")
-    spaced = F.regexp_replace(F.lower("question"), r"(?U)[\p{P}\s_]+", " ")
+    spaced = F.trim(F.regexp_replace(F.lower("question"), r"(?U)[\p{P}\s_]+", " "))
     numbers = F.array_join(F.regexp_extract_all("question", F.lit(r"(\d+)"), F.lit(1)), ",")
-    rows = rows.filter("question is not null and split is not null").select("rec_id", (F.lower("split") == "train").alias("train"), F.xxhash64("group_id", answer, numbers).alias("block"), F.trim(spaced).alias("text"), "question", F.lower(F.substring(F.trim("q_lang"), 1, 2)).alias("lang"))
-    return scratch.keep(rows)
+    rows = records.filter("question is not null and split is not null").select("rec_id", "img_id", "img_name", (F.lower("split") == "train").alias("train"), F.xxhash64(answer, numbers).alias("key"), F.xxhash64(spaced).alias("tid"), "question", F.lower(F.substring(F.trim("q_lang"), 1, 2)).alias("lang"))
+    rows = attach(rows, scratch.keep(pairs.select("img_id", "img_name", "n", "group_id")), ["group_id"])
+    return scratch.keep(rows.select("rec_id", "train", F.xxhash64("group_id", "key").alias("block"), "tid", "question", "lang"))
 
 
 def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
@@ -210,84 +226,82 @@ def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
     Every kept word holds at least ESTABLISHED of its language's questions, so
     there are at most (words per question) / ESTABLISHED of them per language.
     """
-    fold_sql = F.translate(F.col("text"), "àâäáãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
-    token = F.explode(F.array_distinct(F.regexp_extract_all(fold_sql, F.lit(r"(\p{IsHan}|[\p{L}\p{M}]+)"), F.lit(1)))).alias("w")
+    folded = F.translate(F.lower("question"), "àâäáãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+    token = F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(\p{IsHan}|[\p{L}\p{M}]+)"), F.lit(1)))).alias("w")
     lang = F.when(F.col("lang").isin("en", "zh", "de", "fr", "es"), F.col("lang")).otherwise("")
-    per = texts.groupBy(lang.alias("lang")).agg(F.count("*").alias("of"))
+    per = texts.groupBy(lang.alias("lang")).agg(F.count("*").alias("of")).collect()  # at most six rows
+    least = F.lit(None).cast("double")
+    for r in per:
+        if r["lang"]:
+            least = F.when(F.col("lang") == r["lang"], max(8.0, r["of"] * ESTABLISHED)).otherwise(least)
     counts = texts.select(lang.alias("lang"), token).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    kept = counts.join(F.broadcast(per), "lang").filter((F.col("lang") != "") & (F.col("n") >= F.greatest(F.lit(8), F.col("of") * ESTABLISHED))).select("w").distinct()
-    total = counts.join(kept, "w").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return {r["w"]: r["n"] for r in total}, texts.count()
+    total = counts.groupBy("w").agg(F.sum("n").alias("n"), F.max(F.col("n") >= least).alias("kept")).filter("kept").collect()
+    return {r["w"]: r["n"] for r in total}, sum(r["of"] for r in per)
 
 
 def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of texts (block, text_a, text_b, cosine), a of train and b not, and the membership (rec_id, train, block, text)."""
+    """Pairs of texts (block, tid_a, tid_b, cosine), a of train and b not, and the membership (rec_id, train, block, tid)."""
     spark = records.sparkSession
     scratch = scratch or Scratch(spark, "overlap")
     rows = _texts(records, scratch)
     shared = Shared(spark, _frequencies(rows))
-    # exact copies are one vector; only blocks with both sides can pair
-    reps = rows.groupBy("block", "text").agg(F.max("train").alias("has_train"), F.max(~F.col("train")).alias("has_eval"), F.min("question").alias("question"))
-    reps = scratch.keep(reps)
-    sides = reps.groupBy("block").agg(F.max("has_train").alias("t"), F.max("has_eval").alias("e"), F.count("*").alias("k")).filter("t and e and k > 1").select("block")
-    near = reps.join(sides, "block", "left_semi")
+    # only blocks with both sides and more than one text can hold a near pair; exact copies are one vector
+    sides = rows.groupBy("block").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("t and e and lo <> hi").select("block")
+    near = rows.select("block", "tid", "train", "question").join(sides, "block", "left_semi").dropDuplicates(["block", "tid", "train"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vectors(shared)
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for block, text, t, e, q in zip(*(x.to_pylist() for x in b.columns)):
+            out: list[list] = [[] for _ in range(7)]
+            for block, tid, train, q in zip(*(x.to_pylist() for x in b.columns)):
                 terms, weights = v.of(q)
-                most = weights[0] if weights else 0.0
                 for k in range(v.listed(weights)):
-                    for o, x in zip(out, (block, terms[k], text, t, e, list(terms), list(weights), most)):
+                    for o, x in zip(out, (block, terms[k], tid, train, q, weights[0], sum(weights))):
                         o.append(x)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["block", "term", "text", "has_train", "has_eval", "terms", "weights", "most"])
-
-    listed = near.select("block", "text", "has_train", "has_eval", "question").mapInArrow(build, "block bigint, term string, text string, has_train boolean, has_eval boolean, terms array<string>, weights array<double>, most double")
-    listed = scratch.keep(listed)
-    a = listed.filter("has_train").select("block", "term", *[F.col(c).alias(f"{c}_a") for c in ("text", "terms", "weights", "most")])
-    b = listed.filter("has_eval").select("block", "term", *[F.col(c).alias(f"{c}_b") for c in ("text", "terms", "weights", "most")])
-    met = a.join(b, ["block", "term"]).filter("text_a <> text_b")
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["block", "term", "tid", "train", "question", "most", "total"])
+
+    listed = scratch.keep(near.mapInArrow(build, "block bigint, term string, tid bigint, train boolean, question string, most double, total double"))
+    side = lambda name, which: listed.filter(which).select("block", "term", *[F.col(c).alias(f"{c}_{name}") for c in ("tid", "question", "most", "total")])
+    met = side("a", "train").join(side("b", "not train"), ["block", "term"]).filter("tid_a <> tid_b")
     # bound by the largest weights: the dot product is at most either largest weight times the other's sum
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    met = met.filter(F.least(F.col("most_a") * total("weights_b"), F.col("most_b") * total("weights_a")) >= THRESHOLD)
-    met = met.select("block", "term", "text_a", "text_b", "terms_a", "terms_b", "weights_a", "weights_b")
+    met = met.filter(F.least(F.col("most_a") * F.col("total_b"), F.col("most_b") * F.col("total_a")) >= THRESHOLD)
+    met = met.select("block", "term", "tid_a", "tid_b", "question_a", "question_b")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vectors(shared)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for block, term, xa, xb, ta, tb, wa, wb in zip(*(x.to_pylist() for x in batch.columns)):
+            for block, term, ia, ib, qa, qb in zip(*(x.to_pylist() for x in batch.columns)):
+                (ta, wa), (tb, wb) = v.of(qa), v.of(qb)
                 of_b = dict(zip(tb, wb))
                 if next(t for t in ta if t in of_b) != term:
                     continue  # weighed under its first shared term
                 dot = sum(w * of_b[t] for t, w in zip(ta, wa) if t in of_b)
-                if dot >= THRESHOLD and v.same(xa, xb):
-                    for o, x in zip(out, (block, xa, xb, dot)):
+                if dot >= THRESHOLD and v.same(qa, qb):
+                    for o, x in zip(out, (block, ia, ib, dot)):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["block", "text_a", "text_b", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["block", "tid_a", "tid_b", "cosine"])
 
-    pairs = met.mapInArrow(weigh, "block bigint, text_a string, text_b string, cosine double")
+    pairs = met.mapInArrow(weigh, "block bigint, tid_a bigint, tid_b bigint, cosine double")
     # a text that both sides have pairs with itself
-    own = reps.filter("has_train and has_eval").select("block", F.col("text").alias("text_a"), F.col("text").alias("text_b"), F.lit(1.0).alias("cosine"))
-    return scratch.keep(pairs.union(own)), rows.select("rec_id", "train", "block", "text")
+    own = rows.groupBy("block", "tid").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e")).filter("t and e").select("block", F.col("tid").alias("tid_a"), F.col("tid").alias("tid_b"), F.lit(1.0).alias("cosine"))
+    return scratch.keep(pairs.union(own)), rows.select("rec_id", "train", "block", "tid")
 
 
 def found(records: DataFrame) -> DataFrame:
     """(rec_id_a, rec_id_b), the smaller first: every pair of a train record with one of another split."""
     pairs, rows = overlaps(records)
-    a = rows.filter("train").select(F.col("rec_id").alias("ra"), "block", F.col("text").alias("text_a"))
-    b = rows.filter("not train").select(F.col("rec_id").alias("rb"), "block", F.col("text").alias("text_b"))
-    got = pairs.select("block", "text_a", "text_b").join(a, ["block", "text_a"]).join(b, ["block", "text_b"])
+    a = rows.filter("train").select(F.col("rec_id").alias("ra"), "block", F.col("tid").alias("tid_a"))
+    b = rows.filter("not train").select(F.col("rec_id").alias("rb"), "block", F.col("tid").alias("tid_b"))
+    got = pairs.select("block", "tid_a", "tid_b").join(a, ["block", "tid_a"]).join(b, ["block", "tid_b"])
     return got.select(F.least("ra", "rb").alias("rec_id_a"), F.greatest("ra", "rb").alias("rec_id_b"))
 
 
 def report(records: DataFrame) -> DataFrame:
     """(split, source, records, links): evaluation records that overlap with train, and their links, per split and source."""
     pairs, rows = overlaps(records)
-    per_text = rows.filter("train").groupBy("block", F.col("text").alias("text_a")).agg(F.count("*").alias("n"))
-    links = pairs.join(per_text, ["block", "text_a"]).groupBy("block", F.col("text_b").alias("text")).agg(F.sum("n").alias("links"))
-    hit = rows.filter("not train").join(links, ["block", "text"]).select("rec_id", "links")
+    per_text = rows.filter("train").groupBy("block", F.col("tid").alias("tid_a")).agg(F.count("*").alias("n"))
+    links = pairs.join(per_text, ["block", "tid_a"]).groupBy("block", F.col("tid_b").alias("tid")).agg(F.sum("n").alias("links"))
+    hit = rows.filter("not train").join(links, ["block", "tid"]).select("rec_id", "links")
     return hit.join(records.select("rec_id", "split", "source"), "rec_id").groupBy("split", "source").agg(F.count("*").alias("records"), F.sum("links").alias("links"))
