@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.languages import Classifier, Machines, classifier, label_column, train
+from tessella.plans.cut import Scratch
 from tessella.plans.shared import Shared
 
 #: Order in which the first defect is named.
@@ -35,6 +36,8 @@ LEAST, ENDS, LONGER = 12, 0.04, 12
 SHORT_WORDS, OFTEN, USUAL = 3, 5, 0.2
 #: Answers with statistics are broadcast up to this number, beyond it joined.
 BROADCAST_ROWS = 100_000
+#: Questions and answers that a worker keeps; beyond that it starts afresh.
+KEEP = 300_000
 #: Scaled margins beyond which an answer isn't in a language: for one word, for two, for more.
 MARGINS = (1.2, 0.8, 0.5)
 
@@ -86,9 +89,15 @@ def python_key(answer: str) -> str:
     return regex.sub(r"^[\p{P}\s]+|[.。!！?？\"'”’»\s*_]+$", "", x)
 
 
-def broken_off(answers: DataFrame, column: str) -> DataFrame:
-    """(key): keys of the answers whose last words go on elsewhere, by counts over all answers."""
-    keys = answers.select(answer_key(F.col(column)).alias("key")).filter("key is not null and key <> ''").groupBy("key").agg(F.count("*").alias("n"))
+def answer_counts(records: DataFrame, column: str, label: str) -> DataFrame:
+    """(key, lang, n): how often each answer is given to questions labelled with each language; keys are made once per distinct answer."""
+    raw = records.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("a"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    return raw.select(answer_key(F.col("a")).alias("key"), label_column(F.col("l")).alias("lang"), "n").filter("key <> ''").groupBy("key", "lang").agg(F.sum("n").alias("n"))
+
+
+def broken_off(counts: DataFrame) -> DataFrame:
+    """(key): keys of the answers whose last words go on elsewhere, by counts (key, lang, n) over all answers."""
+    keys = counts.groupBy("key").agg(F.sum("n").alias("n"))
     tokens = F.regexp_extract_all("key", F.lit(r"(\p{IsHan}|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*|\d+)"), F.lit(1))
     split = keys.select("key", "n", F.concat(F.array(F.lit("^"), F.lit("^")), tokens).alias("t")).filter("size(t) > 2")
     at = F.transform(F.sequence(F.lit(2), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i + 1).alias("w"), F.element_at("t", i).alias("p"), F.element_at("t", i - 1).alias("pp"), (i == F.size("t") - 1).alias("last")))
@@ -105,14 +114,13 @@ def broken_off(answers: DataFrame, column: str) -> DataFrame:
     return got.filter(goes_on | cut_word).select("key")
 
 
-def usual_languages(answers: DataFrame, column: str, label: str) -> DataFrame:
+def usual_languages(counts: DataFrame) -> DataFrame:
     """(key, langs): short answers given often, with the languages whose questions often get them.
 
     By rates within the labelled questions of each language, so that wrong
     labels and answers, being few, don't count.
     """
-    keys = answers.select(label_column(F.col(label)).alias("lang"), answer_key(F.col(column)).alias("key"))
-    keys = keys.filter("lang is not null and key is not null and key <> ''").groupBy("key", "lang").agg(F.count("*").alias("n"))
+    keys = counts.filter("lang is not null")
     totals = keys.groupBy("lang").agg(F.sum("n").alias("of"))  # a row per language
     short = keys.filter(F.size(F.split("key", r"[\s']+")) <= SHORT_WORDS)
     rates = short.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("of"))
@@ -128,30 +136,29 @@ def is_empty(answer: str | None) -> bool:
     return answer is None or not _SIGN.search(answer) or answer.strip().strip(".\"'()[]<>").lower() in PLACEHOLDERS or answer.strip().lower() in PLACEHOLDERS
 
 
-def is_copy(question: str | None, answer: str) -> bool:
-    """The answer gives the question back, whole or nearly, once or more often, and adds nothing."""
-    if not question:
-        return False
-    a, q = _norm(MARKERS.sub("", answer)), _norm(MARKERS.sub("", question))
-    if not a or not q:
-        return False
+def is_copy(q: str, a: str, answer: str) -> bool:
+    """The answer gives the question back, whole or nearly, once or more often, and adds nothing; q and a are their bare letters and digits."""
     if a == q:
         return True
-    if len(a) >= 2 * len(q) - 4 and a.replace(q, "") == "":
-        return True
-    if len(a) < 6 or a[0] not in q:
+    la, lq = len(a), len(q)
+    if la < 6:
         return False
+    if la > lq and q in a:
+        if la >= 2 * lq - 4 and a.replace(q, "") == "":
+            return True
+        if la - lq <= 8:
+            return la - lq <= (3 if _HAN.search(a) else 8)
     han = bool(_HAN.search(a))
-    if a in q and len(a) >= (6 if han else 15) and len(a) >= 0.6 * len(q):
-        return True
-    if q in a and len(a) - len(q) <= (3 if han else 8):
-        return True
-    if len(a) >= 0.6 * len(q) and (han or len(a) >= 15):
+    if la < (6 if han else 15):
+        return False
+    if 5 * la >= 3 * lq:
+        if a in q:
+            return True
         # a question with spelling slips or courtesies that one side lacks
-        if len(a) <= 1.3 * len(q) and SequenceMatcher(None, q, a, autojunk=False).quick_ratio() > 0.9:
-            return SequenceMatcher(None, q, a, autojunk=False).ratio() > 0.9
-    if len(q) > len(a) >= (8 if han else 20) and answer.rstrip(" \"'”」)*_").endswith(("?", "？")):
-        return SequenceMatcher(None, q, a, autojunk=False).find_longest_match(0, len(q), 0, len(a)).size >= 0.8 * len(a)
+        if 10 * la <= 13 * lq and (m := SequenceMatcher(None, q, a, autojunk=False)).real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9:
+            return m.ratio() > 0.9
+    if lq > la >= (8 if han else 20) and answer.rstrip(" \"'”」)*_").endswith(("?", "？")):
+        return SequenceMatcher(None, q, a, autojunk=False).find_longest_match(0, lq, 0, la).size >= 0.8 * la
     return False
 
 
@@ -176,50 +183,85 @@ def is_cut(answer: str) -> bool:
     return len(words) >= 4 and words[-1] in DANGLING and s.rstrip(".").lower().endswith(words[-1]) and not s.endswith(".")
 
 
-def is_foreign(c: Classifier, question: str | None, answer: str, usual: str | None = None) -> bool:
-    """No language of the question is a likely language of the answer."""
-    langs = {s[0] for s in c.segments(question)}
-    if not langs:
-        return False
+def answer_languages(c: Classifier, answer: str, usual: str | None = None) -> tuple[str | None, dict[str, bool]]:
+    """Script of an answer ("han", "latin" or None for neither), and whether it is foreign to each Latin language."""
     han = len(_HAN.findall(answer))
     words = [w for w in _WORD.findall(answer.lower()) if w not in EVERYWHERE]
     if han:
-        return "zh" not in langs if han >= len(words) or not words else False
+        return ("han" if han >= len(words) else None), {}
     if not words or all(len(w) == 1 for w in words):
-        return False
-    latin = langs - {"zh"}
-    if not latin:
-        return True
+        return None, {}
     if usual:
-        return latin.isdisjoint(usual.split(","))
-    return max(c.fit_of(words, lang) for lang in latin) < -MARGINS[min(len(words), 3) - 1]
-
-
-def defects(c: Classifier, question: str | None, answer: str | None, cut: bool, usual: str | None = None) -> list[str]:
-    """Every defect of one answer, in ORDER; cut: the statistics call it broken off; usual: languages that it is usual in."""
-    if is_empty(answer):
-        return ["empty"]
-    out = []
-    if is_copy(question, answer):
-        out.append("copy")
-    if is_refusal(answer):
-        out.append("refusal")
-    if cut or is_cut(answer):
-        out.append("truncated")
-    if is_foreign(c, question, answer, usual):
-        out.append("other_language")
-    return out
-
-
-_KNOWN: dict[tuple[str, str | None, str | None], list[str]] = {}
+        return "latin", {lang: lang not in usual.split(",") for lang in c.langs}
+    return "latin", {lang: c.fit_of(words, lang) < -MARGINS[min(len(words), 3) - 1] for lang in c.langs}
+
+
+class Checker:
+    """Finds defects, keeping what it knows of questions and of answers apart from each other."""
+
+    def __init__(self, c: Classifier):
+        self.c = c
+        self.questions: dict[str, tuple[frozenset[str], str]] = {}
+        self.answers: dict[str, tuple] = {}
+
+    def question(self, q: str) -> tuple[frozenset[str], str]:
+        got = self.questions.get(q)
+        if got is None:
+            if len(self.questions) > KEEP:
+                self.questions.clear()
+            got = self.questions[q] = (frozenset(s[0] for s in self.c.segments(q)), _norm(MARKERS.sub("", q)))
+        return got
+
+    def answer(self, a: str, cut: bool, usual: str | None) -> tuple:
+        got = self.answers.get(a)
+        if got is None:
+            if len(self.answers) > KEEP:
+                self.answers.clear()
+            if is_empty(a):
+                got = (True,)
+            else:
+                got = (False, _norm(MARKERS.sub("", a)), is_refusal(a), cut or is_cut(a), *answer_languages(self.c, a, usual))
+            self.answers[a] = got
+        return got
+
+    def defects(self, question: str | None, answer: str | None, cut: bool = False, usual: str | None = None) -> list[str]:
+        """Every defect of one answer, in ORDER; cut: the statistics call it broken off; usual: languages that it is usual in."""
+        if answer is None:
+            return ["empty"]
+        got = self.answer(answer, cut, usual)
+        if got[0]:
+            return ["empty"]
+        _, a, refusal, short, script, foreign = got
+        langs, q = self.question(question) if question else (frozenset(), "")
+        out = []
+        if q and is_copy(q, a, answer):
+            out.append("copy")
+        if refusal:
+            out.append("refusal")
+        if short:
+            out.append("truncated")
+        if langs and (script == "han" and "zh" not in langs or script == "latin" and all(foreign.get(x, True) for x in langs)):
+            out.append("other_language")
+        return out
+
+
+_READY: dict[str, Checker] = {}
+
+
+def _checker(shared: Shared) -> Checker:
+    if shared.name not in _READY:
+        _READY.clear()
+        _READY[shared.name] = Checker(classifier(shared))
+    return _READY[shared.name]
 
 
 def all_defects(records: DataFrame, machines: Machines | None = None, first_only: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(rec_id, defect): every defect of every answer, or only its first in ORDER."""
     spark = records.sparkSession
     shared = Shared(spark, machines or train(records, ["question", "answer"], "q_lang"))
-    cut = broken_off(records, "answer").select("key", F.lit(True).alias("cut"), F.lit(None).cast("string").alias("usual"))
-    usual = usual_languages(records, "answer", "q_lang").select("key", F.lit(None).cast("boolean").alias("cut"), F.col("langs").alias("usual"))
+    counts = Scratch(spark, "answers").keep(answer_counts(records, "answer", "q_lang"))
+    cut = broken_off(counts).select("key", F.lit(True).alias("cut"), F.lit(None).cast("string").alias("usual"))
+    usual = usual_languages(counts).select("key", F.lit(None).cast("boolean").alias("cut"), F.col("langs").alias("usual"))
     known = cut.union(usual).groupBy("key").agg(F.coalesce(F.max("cut"), F.lit(False)).alias("cut"), F.max("usual").alias("usual"))
     some = known.limit(broadcast_rows + 1).collect()
     rows = records.select("rec_id", "question", "answer")
@@ -231,20 +273,16 @@ def all_defects(records: DataFrame, machines: Machines | None = None, first_only
         rows = rows.withColumn("key", answer_key(F.col("answer"))).join(known, "key", "left").select("rec_id", "question", "answer", F.coalesce("cut", F.lit(False)).alias("cut"), "usual")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = classifier(shared)
+        check = _checker(shared)
         table = keys.value if keys else {}
         for b in batches:
             rec, got = [], []
-            if len(_KNOWN) > 300_000:
-                _KNOWN.clear()
             for r, q, a, k, u in zip(*(x.to_pylist() for x in b.columns)):
-                # digits matter only to copies, which differ by more than digits
-                key = (shared.name, _DIGIT.sub("0", q) if q else q, a)
-                d = _KNOWN.get(key)
-                if d is None:
-                    if keys and a is not None:
-                        k, u = table.get(python_key(a), (False, None))
-                    d = _KNOWN[key] = defects(c, key[1], _DIGIT.sub("0", a) if a else a, bool(k), u)
+                # digits tell nothing here but in copies, and there they follow the words
+                q, a = _DIGIT.sub("0", q) if q else q, _DIGIT.sub("0", a) if a else a
+                if keys and a is not None and a not in check.answers:
+                    k, u = table.get(python_key(a), (False, None))
+                d = check.defects(q, a, bool(k), u)
                 for x in d[:1] if first_only else d:
                     rec.append(r)
                     got.append(x)
