@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.plans.cut import Scratch
 from tessella.plans.spread import spread_join
 
 #: Filter bits per record, probes per record, bits of one shard.
@@ -132,7 +133,9 @@ def possible_repeats(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> t
 
 
 def _canon(raw: DataFrame, loose: list[str]) -> DataFrame:
-    return raw.filter("payload is not null").select("raw_id", canonical_payload(F.col("payload"), loose).alias("canon")).withColumn("h", F.xxhash64("canon"))
+    """Written table (raw_id, canon, h), so that payloads are parsed once for all passes."""
+    got = raw.filter("payload is not null").select("raw_id", canonical_payload(F.col("payload"), loose).alias("canon"))
+    return Scratch(raw.sparkSession, "copies").keep(got).withColumn("h", F.xxhash64("canon"))
 
 
 def found(raw: DataFrame, loose: list[str] | None = None) -> DataFrame:
