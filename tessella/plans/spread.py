@@ -43,3 +43,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], count: str, sa
     for c, n in names.items():
         cond = cond & F.col(c).eqNullSafe(F.col(n))
     return a.join(b, cond, how).drop("_salt", "_s", *names.values())
+
+
+def when_few(right: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written right side of a join, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(right) if right.count() <= broadcast_rows else right
