@@ -35,6 +35,7 @@ from tessella.llm.canonical_values import distance
 from tessella.llm.linked_splits import attach, image_groups
 from tessella.plans.cut import Scratch
 from tessella.plans.shared import Shared
+from tessella.plans.spread import when_few
 
 THRESHOLD = 0.9
 #: A word in so large a share of a language's questions is established: it can't be a slip of another one.
@@ -247,7 +248,7 @@ def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFr
     shared = Shared(spark, _frequencies(rows))
     # only blocks with both sides and more than one text can hold a near pair; exact copies are one vector
     sides = rows.groupBy("block").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("t and e and lo <> hi").select("block")
-    near = rows.select("block", "tid", "train", "question").join(sides, "block", "left_semi").dropDuplicates(["block", "tid", "train"])
+    near = rows.select("block", "tid", "train", "question").join(when_few(scratch.keep(sides)), "block", "left_semi").dropDuplicates(["block", "tid", "train"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vectors(shared)
@@ -294,7 +295,7 @@ def found(records: DataFrame) -> DataFrame:
     pairs, rows = overlaps(records)
     a = rows.filter("train").select(F.col("rec_id").alias("ra"), "block", F.col("tid").alias("tid_a"))
     b = rows.filter("not train").select(F.col("rec_id").alias("rb"), "block", F.col("tid").alias("tid_b"))
-    got = pairs.select("block", "tid_a", "tid_b").join(a, ["block", "tid_a"]).join(b, ["block", "tid_b"])
+    got = a.join(when_few(pairs.select("block", "tid_a", "tid_b")), ["block", "tid_a"]).join(b, ["block", "tid_b"])
     return got.select(F.least("ra", "rb").alias("rec_id_a"), F.greatest("ra", "rb").alias("rec_id_b"))
 
 
