@@ -110,10 +110,17 @@ def image_groups(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     records is its own group.
     """
     pairs = scratch.keep(_pairs(records).filter("ik is not null or nk is not null"))
-    edges = pairs.filter("ik is not null and nk is not null").select(F.col("ik").alias("u"), F.col("nk").alias("v")).distinct()
-    comp, forest = boruvka(edges, scratch)
-    root = F.coalesce(F.col("root"), F.col("node"))
-    linked = pairs.withColumn("node", F.coalesce("ik", "nk")).join(comp, "node", "left").select("img_id", "img_name", "ik", "nk", "first", "n", root.alias("root"))
+    edges = pairs.filter("ik is not null and nk is not null").select("ik", "nk").distinct()
+    # the first round for the id side: every id picks its smallest name and is contracted into it
+    first = scratch.keep(edges.groupBy("ik").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")))
+    several = first.filter("lo <> hi").select("ik", "lo")
+    names = scratch.keep(edges.join(several, "ik").filter("nk <> lo").groupBy(F.col("lo").alias("u"), F.col("nk").alias("v")).agg(F.min("ik").alias("ik")))
+    comp, span = boruvka(names.select("u", "v"), scratch)
+    forest = first.select(F.col("ik").alias("u"), F.col("lo").alias("v")).union(names.join(span, ["u", "v"]).select(F.col("ik").alias("u"), "v"))
+    lone = first.select(F.col("ik").alias("_ik"), "lo")
+    linked = pairs.filter("nk is not null").withColumn("node", F.col("nk")).unionByName(pairs.filter("nk is null").join(lone, F.col("ik") == F.col("_ik"), "left").select(*pairs.columns, F.coalesce("lo", "ik").alias("node")))
+    root = F.coalesce(F.col("root"), F.col("_node"))
+    linked = linked.withColumnRenamed("node", "_node").join(comp, F.col("_node") == F.col("node"), "left").select("img_id", "img_name", "ik", "nk", "first", "n", root.alias("root"))
     groups = linked.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("n").alias("size"), (F.count("*") == 1).alias("same"))
     return scratch.keep(linked.join(groups, "root").select("img_id", "img_name", "ik", "nk", "n", "group_id", "size", "same")), forest
 
