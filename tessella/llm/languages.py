@@ -176,8 +176,8 @@ class Classifier:
 
     def margins(self, words: list[str]) -> list[float]:
         """Signed margins of every machine for a list of lower-case words, scaled."""
-        n = len(words)
-        sums = [sum(x) for x in zip(*map(self.word, words))]
+        n = max(1, len(words))
+        sums = [sum(x) for x in zip(*map(self.word, words))] if words else [0.0] * len(self.m.pairs)
         return [(s / n + b) * k for s, b, k in zip(sums, self.m.bias, self.m.scale)]
 
     def latin(self, words: list[str]) -> tuple[str, float]:

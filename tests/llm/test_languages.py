@@ -13,7 +13,7 @@ from tessella.llm import languages as L
 def fitted():
     rows = pq.read_table("/root/testdata/sf0.01/qa_record.parquet", columns=["question", "answer", "q_lang"]).to_pylist()
     random.Random(1).shuffle(rows)
-    clean = [(r["question"], lang) for r in rows if (lang := L.label_code(r["q_lang"])) in ("en", "de", "fr", "es") and r["question"] and not any(x in r["question"][:-1] for x in "?./|\n-")]
+    clean = [(r["question"], lang) for r in rows if (lang := L.label_code(r["q_lang"])) in ("en", "de", "fr", "es") and L._WORD.search(r["question"] or "") and not L._HAN.search(r["question"]) and not any(x in r["question"][:-1] for x in "?./|\n-")]
     half = len(clean) // 2
     m = L.fit(*L.with_common([q for q, _ in clean[:half]], [lang for _, lang in clean[:half]]))
     return m, clean[half:]
