@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.courtesies import plain
 from tessella.llm.languages import Classifier, Machines, classifier, label_column, train
 from tessella.plans.cut import Scratch
 from tessella.plans.shared import Shared
@@ -36,6 +37,8 @@ LEAST, ENDS, LONGER = 12, 0.04, 12
 SHORT_WORDS, OFTEN, USUAL = 3, 5, 0.2
 #: Answers with statistics are broadcast up to this number, beyond it joined.
 BROADCAST_ROWS = 100_000
+#: Shares of matching letters from which an answer is the question again, one that ends as a question and any other.
+ASKS_SAME, NEARLY_SAME = 0.68, 0.82
 #: Questions and answers that a worker keeps; beyond that it starts afresh.
 KEEP = 300_000
 #: Scaled margins beyond which an answer isn't in a language: for one word, for two, for more.
@@ -132,6 +135,11 @@ def _norm(s: str) -> str:
     return _BARE.sub("", s.lower())
 
 
+def _bare(text: str) -> str:
+    """Letters and digits of a text without markers and courtesies."""
+    return _norm(plain(MARKERS.sub("", text)))
+
+
 def is_empty(answer: str | None) -> bool:
     return answer is None or not _SIGN.search(answer) or answer.strip().strip(".\"'()[]<>").lower() in PLACEHOLDERS or answer.strip().lower() in PLACEHOLDERS
 
@@ -154,9 +162,10 @@ def is_copy(q: str, a: str, answer: str) -> bool:
     if 5 * la >= 3 * lq:
         if a in q:
             return True
-        # a question with spelling slips or courtesies that one side lacks
-        if 10 * la <= 13 * lq and (m := SequenceMatcher(None, q, a, autojunk=False)).real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9:
-            return m.ratio() > 0.9
+        # a question with spelling slips or a word changed; one that still asks may differ more
+        least = ASKS_SAME if answer.rstrip(" \t\n\"'”’」)*_").endswith(("?", "？")) else NEARLY_SAME
+        if 10 * la <= 14 * lq and (m := SequenceMatcher(None, q, a, autojunk=False)).real_quick_ratio() > least and m.quick_ratio() > least:
+            return m.ratio() > least
     if lq > la >= (8 if han else 20) and answer.rstrip(" \"'”」)*_").endswith(("?", "？")):
         return SequenceMatcher(None, q, a, autojunk=False).find_longest_match(0, lq, 0, la).size >= 0.8 * la
     return False
@@ -209,7 +218,7 @@ class Checker:
         if got is None:
             if len(self.questions) > KEEP:
                 self.questions.clear()
-            got = self.questions[q] = (frozenset(s[0] for s in self.c.segments(q)), _norm(MARKERS.sub("", q)))
+            got = self.questions[q] = (frozenset(s[0] for s in self.c.segments(q)), _bare(q))
         return got
 
     def answer(self, a: str, cut: bool, usual: str | None) -> tuple:
@@ -220,7 +229,7 @@ class Checker:
             if is_empty(a):
                 got = (True,)
             else:
-                got = (False, _norm(MARKERS.sub("", a)), is_refusal(a), cut or is_cut(a), *answer_languages(self.c, a, usual))
+                got = (False, _bare(a), is_refusal(a), cut or is_cut(a), *answer_languages(self.c, a, usual))
             self.answers[a] = got
         return got
 

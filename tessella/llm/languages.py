@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.courtesies import POLITE, fold
 from tessella.plans.shared import Shared
 
 #: Labelled rows that the machines are fitted on, at most.
@@ -87,9 +88,11 @@ def _hash(s: str) -> int:
 
 def word_features(w: str) -> list[int]:
     """Buckets of a lower-case word: itself, and its n-grams of 1 to 4 characters with word ends."""
-    x = f"^{w}$"
-    grams = {x} | {x[i : i + n] for n in (2, 3, 4) for i in range(len(x) - n + 1)} | {"." + c for c in w}
-    return [_hash(g) for g in grams]
+    grams: set[str] = set()
+    for v in {w, fold(w)}:  # also without accents
+        x = f"^{v}$"
+        grams |= {x} | {x[i : i + n] for n in (2, 3, 4) for i in range(len(x) - n + 1)} | {"." + c for c in v}
+    return sorted(_hash(g) for g in grams)
 
 
 class Machines:
@@ -248,7 +251,8 @@ class Classifier:
                 parts.append(["zh", min(0.999, 0.9 + han / 100), a, b, strong, han >= LEAST_HAN, han])
             else:
                 lang, conf = self.latin(words)
-                parts.append([lang, conf, a, b, strong, len(words) >= (LEAST_WORDS if strong else LEAST_WORDS + 1), len(words)])
+                own = len(words) - sum(w in POLITE for w in words)  # courtesies tell nothing
+                parts.append([lang, conf, a, b, strong, own >= (LEAST_WORDS if strong else LEAST_WORDS + 1), own])
         if not parts:
             # only bracketed words: the brackets are the text
             words, han = _WORD.findall(text.lower()), len(_HAN.findall(text))
@@ -273,8 +277,10 @@ class Classifier:
             clauses.append(p)
         strong_ones = [c for c in clauses if c[5]]
         if not strong_ones:
-            big = max(clauses, key=lambda c: c[6])
-            return [(big[0], big[1], clauses[0][2], clauses[-1][3])]
+            # every part is short, as where each word has a line of its own: they are one text
+            han = len(_HAN.findall(self._bare))
+            lang, conf = ("zh", min(0.999, 0.9 + han / 100)) if han and 2 * han >= len(total) else self.latin(total)
+            return [(lang, conf, clauses[0][2], clauses[-1][3])]
         # greetings, single terms and doubtful parts go with their neighbour
         out: list[list] = []
         for k, c in enumerate(clauses):

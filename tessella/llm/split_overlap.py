@@ -21,7 +21,6 @@ evaluation, a null split as none.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log, sqrt
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.canonical_values import distance
+from tessella.llm.courtesies import POLITE, fold, plain
 from tessella.llm.linked_splits import attach, image_groups
 from tessella.plans.cut import Scratch
 from tessella.plans.shared import Shared
@@ -45,14 +45,7 @@ LOOSE = 0.6
 #: Words, at most, that only one side has.
 SPARE = 2
 
-# Courtesies, words that carry no meaning of their own, and words of one meaning.
-COURTESIES = [
-    "please tell me", "please answer", "quick question", "ok so", "please", "thank you", "thanks", "hello", "hi", "doctor", "briefly", "in brief", "kindly", "could you tell me", "can you tell me",
-    "bitte sagen", "kurze frage", "bitte kurz", "bitte antworten", "bitte", "danke", "hallo", "guten tag", "herr doktor", "also", "kurz",
-    "dites moi", "petite question", "s il vous plaît", "s il vous plait", "merci", "bonjour", "docteur", "brièvement", "brievement", "alors",
-    "por lo general", "en general", "por favor", "una pregunta", "brevemente", "dígame", "digame", "gracias", "hola", "doctora", "bueno",
-    "想问一下", "请问", "请回答", "您好", "你好", "谢谢", "医生", "请简要回答", "请简单回答", "简要回答", "麻烦", "那么", "请",
-]
+# Words that carry no meaning of their own, and words of one meaning.
 SYNONYMS = [
     ("_view", "image picture photo scan slice view photograph bild foto aufnahme schnitt scan cliché cliche coupe vue imagen escaneo corte vista"),
     ("_usual", "usually typically normally generally commonly meist meistens normalerweise üblicherweise gewöhnlich habitude habituellement généralement normalmente generalmente habitualmente general général"),
@@ -81,32 +74,12 @@ HAN_SAME = [("什么样的", "什么"), ("哪一种", "什么"), ("哪种", "什
 HAN_STOP = set("的呢吗了是这那该幅张里中内上处所示个请么啊吧之有一")
 
 _TOKENS = regex.compile(r"\p{Han}|\p{N}+|[\p{Latin}\p{M}]+|[\p{L}\p{M}]+")
-_BRACKETS = regex.compile(r"[(（\[][^()（）\[\]]{0,40}[)）\]]")
-_NUMBER = regex.compile(r"\p{N}")
-_COURTESY = regex.compile("|".join(rf"(?<![\p{{L}}]){regex.escape(x)}(?![\p{{L}}])" if x.isascii() or not regex.search(r"\p{Han}", x) else regex.escape(x) for x in sorted(COURTESIES, key=len, reverse=True)))
-
-
-def fold(w: str) -> str:
-    """Without accents, so that a missing one is no difference."""
-    return "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
 
 
-#: The words of the courtesies, also where they are misspelled.
-_POLITE = {w for x in COURTESIES for w in x.split() if x.isascii() and w not in {"you", "can", "could", "en", "lo", "una", "also"}}
 _SAME = {fold(w): name for name, words in SYNONYMS for w in words.split()}
 _STOP = {fold(w) for w in STOP}
 
 
-def plain(question: str) -> str:
-    """Lower case with single spaces, without brackets of words, courtesies and marks."""
-    x = regex.sub(r"[_\s]+", " ", question.lower())
-    bare = _BRACKETS.sub(lambda m: m.group() if _NUMBER.search(m.group()) else " ", x)
-    x = bare if 2 * len(bare) > len(x) else x  # a text that is all in brackets stays
-    x = regex.sub(r"[\p{P}\p{S}]+", " ", x)
-    x = regex.sub(r"(?<=\p{Han})\s+(?=\p{Han})", "", regex.sub(r"\s+", " ", x))
-    return _COURTESY.sub(" ", x)
-
-
 def tokens(question: str) -> list[str]:
     x = plain(question)
     for a, b in HAN_SAME:
@@ -156,7 +129,7 @@ class Vectors:
                 t = max(short, key=self.df.get)
         if t in _SAME:
             return (_SAME[t], 0.0)
-        if t in _STOP or t in _POLITE:
+        if t in _STOP or t in POLITE:
             return None
         return (t, self.weight(t)) if t in self.df else (t, LOOSE)
 
