@@ -18,9 +18,9 @@ def test_empty():
 
 
 def test_copy():
-    copy = lambda q, a: B.is_copy(B._norm(B.MARKERS.sub("", q)), B._norm(B.MARKERS.sub("", a)), a)
+    copy = lambda q, a: B.is_copy(B._bare(q), B._bare(a), a)
     q = "Which one looks larger, the heart or the liver?"
-    assert all(copy(q, a) for a in (q, q.upper(), "A: " + q, "> " + q, q + " " + q, "“" + q[:-1] + "”", q.replace(" ", "_"), "Which one loooks larger, the heart or the liver?"))
+    assert all(copy(q, a) for a in (q, q.upper(), "A: " + q, "> " + q, q + " " + q, "“" + q[:-1] + "”", q.replace(" ", "_"), "Which one loooks larger, the heart or the liver?", "Quick question - which one looks larger, heart or the liver? Please answer.", "Which one appears bigger, the heart or the liver?"))
     assert not any(copy(q, a) for a in ("The heart", "the liver", "Heart", "The heart looks larger than the liver in this slice because of its outline."))
     assert copy("图片里能看到胆囊吗？", "图片里能看到胆囊吗") and not copy("图片里能看到胆囊吗？", "能看到")
 

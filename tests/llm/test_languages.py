@@ -39,6 +39,8 @@ SEGMENTS = {
     "Is the left kidney (左肾) visible? Merci.": ["en"],
     "图片里能看到胆囊（gallbladder）吗？": ["zh"],
     "Quick question - is a stone present in the right eye?": ["en"],
+    "Doctor, Quick question - Is a stone present in the right eye?": ["en"],
+    "Is \nthe \nleft \nlung \nvisible \nin \nthis \nscan?": ["en"],
     "Voit-on la rate sur ce scan ? Der Patient lag auf der linken Seite. Nous voulons seulement ce qui est visible ici.": ["fr", "de", "fr"],
     "这幅扫描图中能看到甲状腺吗？ / Ist die Schilddrüse in dieser Aufnahme zu erkennen?": ["zh", "de"],
     "Mire primero el borde inferior.\nHow is a stone usually treated?": ["es", "en"],
