@@ -159,3 +159,17 @@ def name_matches(name: Column, spec: str) -> Column:
     for i in items:
         got = got | (name == i) | F.endswith(name, F.lit(i))
     return got
+
+
+def template_name(model: Column) -> Column:
+    """Conversation template that a model's name asks for; the first rule that fits holds."""
+    m = F.lower(text(model))
+    has = lambda *parts: F.array_contains(F.array(*[F.contains(m, F.lit(p)) for p in parts]), True)
+    return (
+        F.when(has("llava") & has("llama-2", "llama_2"), "llava_llama_2").when(has("mistral"), "mistral_instruct").when(has("mpt"), "mpt")
+        .when(has("plain"), "plain").when(has("v1"), "v1").otherwise("v0")
+    )
+
+
+def thousands(x: Column) -> Column:
+    return F.format_number(x, 0)

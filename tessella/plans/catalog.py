@@ -729,3 +729,197 @@ def precomputed_scorer(spark, d):
 def overlap_scorer(spark, d):
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED").select("rec_id", "question").withColumn("c", O.parse_options(F.col("question"))).filter("size(c) >= 2")
     return scorer.apply_scorer(r.select(F.col("rec_id").alias("qid"), F.col("question").alias("prompt"), F.col("c").alias("candidates")), scorer.overlap_score)
+
+
+# 16 further projections, checks and forms
+
+
+@register(f"{_FACTS} SELECT count(*) AS n, count(*) FILTER (WHERE route = 'yesno' AND regexp_matches(coalesce(question,''), '(?i)(^|[^a-z0-9_À-ɏ一-鿿])(or|either|vs|versus)($|[^a-z0-9_À-ɏ一-鿿])|/')) AS misrouted FROM scored")
+def misroute_count(spark, d):
+    f = facts(spark, d)
+    return f.agg(F.count("*").alias("n"), F.count_if((F.col("route") == "yesno") & O.has_option_markers(F.col("question"))).alias("misrouted"))
+
+
+@register("SELECT model_name, CASE WHEN contains(coalesce(raw_generation,''), chr(10)) THEN 'stop_string' WHEN coalesce(raw_generation,'') LIKE '%.' THEN 'eos' ELSE 'max_new_tokens' END AS reason, count(*) AS n FROM generation_result GROUP BY 1, 2")
+def stop_reasons(spark, d):
+    g = X.text(F.col("raw_generation"))
+    return table(spark, d, "generation_result").groupBy("model_name", X.stop_reason(g, F.lit("\n"), F.endswith(g, F.lit("."))).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@register("WITH b AS (SELECT rec_id, 100 + rec_id % 900 AS w, 80 + rec_id % 700 AS h FROM qa_record), r AS (SELECT *, greatest(w, h) / CAST(least(w, h) AS DOUBLE) AS asp FROM b), e AS (SELECT *, least(floor(800 / asp), 400, least(w, h)) AS sh FROM r), f AS (SELECT *, floor(sh * asp) AS lo FROM e) SELECT rec_id, CAST(CASE WHEN w >= h THEN lo ELSE sh END AS INTEGER) AS width, CAST(CASE WHEN w >= h THEN sh ELSE lo END AS INTEGER) AS height, greatest(w, h) AS side, CAST((greatest(w, h) - w) // 2 AS INTEGER) AS pad_left FROM f")
+def image_sizes(spark, d):
+    w, h = 100 + F.col("rec_id") % 900, 80 + F.col("rec_id") % 700
+    x = table(spark, d, "qa_record").select("rec_id", A.aspect_size(w, h).alias("s"), A.square_padding(w, h).alias("p"))
+    return x.select("rec_id", "s.width", "s.height", F.col("p.side").alias("side"), F.col("p.left").alias("pad_left"))
+
+
+@register(f"WITH b AS (SELECT qid, max(best_score) FILTER (WHERE {_norm('chosen_variant')} = 'yes') AS y, max(best_score) FILTER (WHERE {_norm('chosen_variant')} = 'no') AS n FROM prediction WHERE best_score IS NOT NULL GROUP BY 1) SELECT qid, CASE WHEN y >= n THEN 'yes' ELSE 'no' END AS choice, round(abs(y - n), 6) AS margin FROM b WHERE y IS NOT NULL AND n IS NOT NULL")
+def yes_no_choice(spark, d):
+    v = X.normalize_answer(F.col("chosen_variant"))
+    b = table(spark, d, "prediction").filter("best_score is not null").groupBy("qid").agg(F.max(F.when(v == "yes", F.col("best_score"))).alias("y"), F.max(F.when(v == "no", F.col("best_score"))).alias("n")).filter("y is not null and n is not null")
+    return b.select("qid", F.when(F.col("y") >= F.col("n"), "yes").otherwise("no").alias("choice"), F.round(F.abs(F.col("y") - F.col("n")), 6).alias("margin"))
+
+
+@register("SELECT rec_id, list_sort(list_distinct(list(model_name))) AS models FROM generation_result WHERE rec_id IS NOT NULL GROUP BY rec_id HAVING list_contains(list(model_name), 'probe-run')")
+def model_membership(spark, d):
+    g = table(spark, d, "generation_result").filter("rec_id is not null").groupBy("rec_id").agg(F.array_sort(F.collect_set("model_name")).alias("models"))
+    return g.filter(F.array_contains("models", "probe-run"))
+
+
+@register(f"WITH {_PIX}, a AS (SELECT DISTINCT img, slice, y, x, class_id % 7 AS v FROM px), b AS (SELECT img, slice + 1 AS slice, y, x, class_id % 5 AS v FROM px), ab AS (SELECT coalesce(a.img, b.img) AS img, coalesce(a.v, 0) AS va, coalesce(b.v, 0) AS vb FROM a FULL JOIN (SELECT DISTINCT img, slice - 1 AS slice, y, x, v FROM b) b USING (img, slice, y, x)) SELECT img, round(avg(abs(va - vb)), 6) AS diff FROM ab GROUP BY 1")
+def pixel_diff(spark, d):
+    px = pixels(spark, d)
+    a, b = px.select("img", "slice", "y", "x", (F.col("class_id") % 7).alias("v")).distinct(), px.select("img", "slice", "y", "x", (F.col("class_id") % 5).alias("v")).distinct()
+    on = ["img", "slice", "y", "x"]
+    j = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), on, "full")
+    return j.groupBy("img").agg(F.round(F.avg(F.abs(F.coalesce("va", F.lit(0)) - F.coalesce("vb", F.lit(0)))), 6).alias("diff"))
+
+
+@register("SELECT canon_id, list_sort(list_distinct(list_transform(list_filter([label, lower(label), upper(label)], lambda v: v <> ''), lambda v: ascii(v) % 100 + 2))) AS first_ids FROM canonical_answer")
+def banned_first_ids(spark, d):
+    v = F.array("label", F.lower("label"), F.upper("label"))
+    return table(spark, d, "canonical_answer").select("canon_id", A.banned_first_ids(v, A.char_tokens).alias("first_ids"))
+
+
+@register("SELECT rec_id, 2 + length(coalesce(question,'')) + 1 AS n_ids FROM qa_record WHERE question NOT LIKE '%<image>%'")
+def image_prompt_ids(spark, d):
+    r = table(spark, d, "qa_record").filter(~F.contains("question", F.lit("<image>")))
+    return r.select("rec_id", F.size(A.image_token_ids(P.with_image(F.col("question")), A.char_tokens, 1)).alias("n_ids"))
+
+
+@register("SELECT pred_id, round(best_score - (ln(exp(0) + exp(second_score - best_score)) + best_score), 6) AS logp_best FROM prediction WHERE best_score IS NOT NULL AND second_score IS NOT NULL AND second_score <= best_score")
+def candidate_softmax(spark, d):
+    p = table(spark, d, "prediction").filter("best_score is not null and second_score is not null and second_score <= best_score")
+    return p.select("pred_id", F.round(metrics.log_softmax(F.array("best_score", "second_score"))[0], 6).alias("logp_best"))
+
+
+@register(f"{_REV} SELECT round(max(CASE WHEN grp = 'overall' THEN rel END), 6) AS overall, round(max(CASE WHEN grp = 'mri' THEN rel END), 6) AS mri, round(max(CASE WHEN grp = 'ct_scan' THEN rel END), 6) AS ct_scan FROM (SELECT grp, avg(b / a) * 100 AS rel FROM g WHERE grp IS NOT NULL GROUP BY 1)")
+def judge_columns(spark, d):
+    return judge_summary(spark, d).groupBy().pivot("grp", ["overall", "mri", "ct_scan"]).agg(F.max("relative"))
+
+
+@register("SELECT strftime(generated_at, '%Y-%m-%d') || '-conv.json' AS file, count(*) AS n, round(min(epoch(generated_at)), 4) AS first_at FROM generation_result GROUP BY 1")
+def log_files(spark, d):
+    at = F.col("generated_at")
+    return table(spark, d, "generation_result").groupBy(readers.log_path(at).alias("file")).agg(F.count("*").alias("n"), F.round(F.min(F.unix_micros(at.cast("timestamp")) / 1_000_000), 4).alias("first_at"))
+
+
+@register("SELECT md5(payload) AS md5, count(*) AS n FROM raw_record WHERE payload IS NOT NULL GROUP BY 1")
+def payload_store(spark, d):
+    return table(spark, d, "raw_record").filter("payload is not null").groupBy(F.md5("payload").alias("md5")).agg(F.count("*").alias("n"))
+
+
+@register("SELECT canon_id, 'label    : ' || label || chr(10) || 'category : ' || category AS lines FROM canonical_answer")
+def key_value_tables(spark, d):
+    return table(spark, d, "canonical_answer").select("canon_id", X.key_value_table(F.array(F.lit("label"), F.lit("category")), F.array("label", "category")).alias("lines"))
+
+
+@register("SELECT rec_id, CASE WHEN upper(coalesce(answer_type, '')) <> 'OPEN' THEN 0 ELSE length(coalesce(answer, '')) END AS live_labels FROM qa_record")
+def closed_labels_off(spark, d):
+    ids = A.char_tokens(F.col("answer"))
+    off = F.when(F.upper(X.text(F.col("answer_type"))) != "OPEN", F.transform(ids, lambda x: F.lit(A.IGNORE))).otherwise(ids)
+    return table(spark, d, "qa_record").select("rec_id", F.size(F.filter(off, lambda x: x != A.IGNORE)).alias("live_labels"))
+
+
+@register("SELECT source, bool_and(coalesce(question, '') NOT LIKE '%<image>%') AS all_single, count(*) AS n FROM qa_record GROUP BY 1")
+def single_image_token(spark, d):
+    one = P.image_tokens(P.with_image(X.text(F.col("question")))) == 1
+    return table(spark, d, "qa_record").groupBy("source").agg(F.bool_and(one).alias("all_single"), F.count("*").alias("n"))
+
+
+@register("SELECT p_partkey, (p_type LIKE '%PROMO' OR p_type LIKE '%ARGE') AS hit FROM part")
+def target_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.name_matches(F.col("p_type"), "PROMO,ARGE").alias("hit"))
+
+
+@register("SELECT count(*) AS n, round(avg(CASE WHEN img_name IS NULL THEN 0.0 ELSE 1.0 END), 6) AS named, avg(CASE WHEN img_name IS NULL THEN 0.0 ELSE 1.0 END) >= 0.9 AS passes FROM qa_record")
+def image_gate(spark, d):
+    share = F.avg(F.col("img_name").isNotNull().cast("int"))
+    return table(spark, d, "qa_record").agg(F.count("*").alias("n"), F.round(share, 6).alias("named"), (share >= 0.9).alias("passes"))
+
+
+@register("SELECT doc_id, contains(lower(coalesce(text,'')), 'nodule') OR contains(lower(coalesce(text,'')), 'cyst') AS matches FROM documents")
+def error_classifier(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.error_matches(F.col("text"), ["nodule", "cyst"]).alias("matches"))
+
+
+@register("SELECT img_name, min(p) AS pos FROM (SELECT DISTINCT img_name FROM documents WHERE img_name IS NOT NULL) w LEFT JOIN (SELECT DISTINCT img_name AS path, 0 AS p FROM qa_record) l ON w.img_name = l.path GROUP BY 1")
+def resolved_paths(spark, d):
+    want = table(spark, d, "documents").filter("img_name is not null").select("img_name").distinct().withColumn("c", F.array("img_name", F.concat(F.lit("/nowhere/"), F.col("img_name"))))
+    got = masks.resolve_paths(want, table(spark, d, "qa_record").select(F.col("img_name").alias("path")).distinct(), "img_name", "c")
+    return got.select("img_name", F.when(F.col("path").isNotNull(), 0).alias("pos"))
+
+
+@register("SELECT img_id, img_name FROM (SELECT *, bool_or(regexp_matches(lower(img_name), 'view_2')) OVER (PARTITION BY img_id) AS anyd FROM (SELECT DISTINCT img_id, img_name FROM qa_record WHERE img_id > 0 AND img_name IS NOT NULL)) WHERE regexp_matches(lower(img_name), 'view_2') OR NOT anyd")
+def preferred_masks(spark, d):
+    m = table(spark, d, "qa_record").filter("img_id > 0 and img_name is not null").select("img_id", "img_name").distinct()
+    return masks.preferred_masks(m.withColumn("_n", F.regexp_replace(F.lower("img_name"), "view_2", "lesion")), "img_id", "_n").select("img_id", "img_name")
+
+
+@register("SELECT model_name, CASE WHEN contains(lower(model_name), 'mistral') THEN 'mistral_instruct' WHEN contains(lower(model_name), 'mpt') THEN 'mpt' WHEN contains(lower(model_name), 'plain') THEN 'plain' WHEN contains(lower(model_name), 'v1') THEN 'v1' ELSE 'v0' END AS template FROM (SELECT DISTINCT model_name FROM generation_result)")
+def model_templates(spark, d):
+    return table(spark, d, "generation_result").select("model_name").distinct().withColumn("template", X.template_name(F.col("model_name")))
+
+
+@register("SELECT CASE WHEN contains(p_type, 'PROMO') THEN 'vision' WHEN contains(p_type, 'ARGE') THEN 'language' ELSE 'other' END AS component, sum(p_size) AS total FROM part GROUP BY 1")
+def component_sums(spark, d):
+    c = monitoring.component_of(F.col("p_type"), [("PROMO", "vision"), ("ARGE", "language")])
+    return table(spark, d, "part").groupBy(c.alias("component")).agg(F.sum("p_size").alias("total"))
+
+
+@register("SELECT event_type, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1")
+def every_tenth_step(spark, d):
+    return table(spark, d, "events").filter(monitoring.every(F.col("event_id"), 10)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register(f"SELECT rec_id, {_norm('answer')} AS normalized_gt, coalesce(answer, '') AS raw_gt FROM qa_record")
+def gold_records(spark, d):
+    return table(spark, d, "qa_record").select("rec_id", X.normalize_answer(F.col("answer")).alias("normalized_gt"), X.text(F.col("answer")).alias("raw_gt"))
+
+
+@register("SELECT pred_id, qid, CASE WHEN upper(answer_type) = 'OPEN' THEN NULL ELSE route END AS route, CASE WHEN upper(answer_type) = 'OPEN' THEN NULL ELSE margin END AS margin FROM prediction")
+def prediction_shapes(spark, d):
+    p = table(spark, d, "prediction")
+    up = F.upper("answer_type")
+    return p.filter(up == "OPEN").select("pred_id", "qid").unionByName(p.filter(up != "OPEN").select("pred_id", "qid", "route", "margin"), allowMissingColumns=True)
+
+
+@register("SELECT gen_id, CASE WHEN coalesce(raw_generation,'') LIKE '%.' THEN left(raw_generation, length(raw_generation) - 1) ELSE raw_generation END AS chunk FROM generation_result")
+def trimmed_chunks(spark, d):
+    from tessella.streaming.workers import stop_trimmed
+
+    return table(spark, d, "generation_result").select("gen_id", stop_trimmed(F.col("raw_generation"), ".").alias("chunk"))
+
+
+@register("SELECT label, format('{:,}', count(*) * 1000) AS shown FROM embeddings GROUP BY 1")
+def formatted_counts(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(X.thousands(F.count("*") * 1000).alias("shown"))
+
+
+@register("WITH t AS (SELECT img_id, rec_id, question, answer, row_number() OVER (PARTITION BY img_id ORDER BY rec_id) AS turn FROM qa_record WHERE img_id > 0 AND question <> '' AND answer <> '') SELECT img_id, string_agg('[INST] ' || question || ' [/INST] ' || answer || ' </s>', '' ORDER BY turn) AS prompt FROM t WHERE turn <= 3 GROUP BY 1")
+def conversation_prompts(spark, d):
+    t = ranking.first_n(table(spark, d, "qa_record").filter("img_id > 0 and question <> '' and answer <> ''").select("img_id", "rec_id", "question", "answer"), ["img_id"], ["rec_id"], 3)
+    m = t.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("rn", "question", "answer"))).alias("m"))
+    texts = F.flatten(F.transform("m", lambda x: F.array(x["question"], x["answer"])))
+    return m.select("img_id", P.render(texts, "mistral_instruct").alias("prompt"))
+
+
+@register("WITH b AS (SELECT DISTINCT model_name AS name FROM generation_result), o AS (SELECT name, row_number() OVER (ORDER BY CASE WHEN name = 'probe-run' THEN 'aaa' ELSE name END, name) AS place FROM b) SELECT name, place FROM o")
+def model_order(spark, d):
+    from pyspark.sql import Window
+
+    # a row per model
+    key = F.when(F.col("name") == "probe-run", "aaa").otherwise(F.col("name"))
+    return table(spark, d, "generation_result").select(F.col("model_name").alias("name")).distinct().withColumn("place", F.row_number().over(Window.orderBy(key, "name")))
+
+
+@register()
+def lottery_worker(spark, d):
+    return ranking.weighted_lottery(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("weight")), "weight", F.col("user_id"), 7)
+
+
+@register("SELECT CASE WHEN v = 'Yes' THEN 'Yes' WHEN v = 'No' THEN 'No' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT CASE " + _norm("answer") + " WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' ELSE 'x' END AS v FROM qa_record WHERE upper(answer_type) = 'CLOSED') GROUP BY 1")
+def sft_closed_answers(spark, d):
+    v = X.title_yes_no(F.col("answer"))
+    r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED")
+    return r.groupBy(F.when(v == "Yes", "Yes").when(v == "No", "No").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
