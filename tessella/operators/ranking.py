@@ -93,11 +93,12 @@ def vocab_overlap(questions: DataFrame, key: str, tokens: str, vocabulary: DataF
     v = vocabulary.select("answer", F.explode(F.array_distinct(F.col("tokens"))).alias("t"))
     hit = q.join(v, "t").groupBy(key, "answer").agg(F.count("*").alias("overlap"))
     top = hit.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("overlap"), "answer"))).filter(F.col("rank") <= k)
-    first = vocabulary.select("answer").distinct().orderBy("answer").limit(2 * k).agg(F.sort_array(F.collect_list("answer")).alias("rest"))
-    per = questions.select(key).join(top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "answer", "overlap"))).alias("got")), key, "left").crossJoin(F.broadcast(first))
+    first = [r["answer"] for r in vocabulary.select("answer").distinct().orderBy("answer").limit(2 * k).collect()]  # 2 * k rows
+    rest = F.array(*[F.lit(a) for a in first]).cast("array<string>")
+    per = questions.select(key).join(top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "answer", "overlap"))).alias("got")), key, "left")
     got = F.coalesce("got", F.array().cast("array<struct<rank:int,answer:string,overlap:bigint>>"))
     have = F.transform(got, lambda g: g["answer"])
-    more = F.transform(F.filter("rest", lambda a: ~F.array_contains(have, a)), lambda a: F.struct(F.lit(0).alias("rank"), a.alias("answer"), F.lit(0).cast("bigint").alias("overlap")))
+    more = F.transform(F.filter(rest, lambda a: ~F.array_contains(have, a)), lambda a: F.struct(F.lit(0).alias("rank"), a.alias("answer"), F.lit(0).cast("bigint").alias("overlap")))
     full = F.slice(F.concat(got, more), 1, k)
     return per.select(key, F.posexplode(full).alias("p", "g")).select(key, F.col("g.answer").alias("answer"), F.col("g.overlap").alias("overlap"), (F.col("p") + 1).alias("rank"))
 

@@ -689,9 +689,9 @@ def latest_worker_state(spark, d):
 @register("WITH e AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events) SELECT user_id, last_seen FROM e, m WHERE last_seen >= now - INTERVAL 86400 SECOND")
 def heartbeat_ttl(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now"))  # one row
-    state = serving.latest_state(e, "user_id", "ts", ["value"], "event_id").select("user_id", "last_seen").crossJoin(F.broadcast(now))
-    return serving.alive(state, F.col("now"), 86400).select("user_id", "last_seen")
+    now = F.lit(e.agg(F.max("ts").cast("string")).first()[0]).cast(e.schema["ts"].dataType)
+    state = serving.latest_state(e, "user_id", "ts", ["value"], "event_id").select("user_id", "last_seen")
+    return serving.alive(state, now, 86400).select("user_id", "last_seen")
 
 
 @register("WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 21600 SECOND THEN 1 ELSE 0 END AS nw FROM events), s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM g) SELECT user_id, session_no, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS beats FROM s GROUP BY 1, 2")

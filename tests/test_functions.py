@@ -169,3 +169,16 @@ def test_tail_chunks_match_a_loop(spark):
     for total in (1, 3, 4, 5, 6, 7, 9, 10, 11, 14, 15, 16):
         rows = spark.range(total).select(A.tail_chunk(F.col("id"), F.lit(total), 4).alias("c")).groupBy("c").count().orderBy("c").collect()
         assert [r["count"] for r in rows] == loop(total, 4), total
+
+
+def test_sql_functions(spark):
+    from tessella.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT normalize_answer(' \\'YES\\'. ') AS n, token_f1('left lung apex', 'Left  lung') AS f, token_f1(null, 'x') AS z, has_option_markers('a vs b') AS m, has_option_markers('organ') AS o").first()
+    assert (row.n, round(row.f, 6), row.z, row.m, row.o) == ("yes", 0.8, 0.0, True, False)
+
+    texts = ["Yes", "a.b", "", None, "(No)", "left lung", " x　y "]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    bad = df.filter((F.expr("normalize_answer(a)") != X.normalize_answer(col("a"))) | (F.abs(F.expr("token_f1(a, b)") - X.token_f1(col("a"), col("b"))) > 1e-9))
+    assert bad.count() == 0
