@@ -29,6 +29,7 @@ class Template:
     system: str = ""
     sep: str = ""
     sep2: str = ""
+    opening: tuple[str, ...] = ()
 
 
 _CURIOUS_HUMAN = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
@@ -36,19 +37,26 @@ _CURIOUS_USER = "A chat between a curious user and an artificial intelligence as
 _VISION = "You are a helpful language and vision assistant. You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
 _TAGGED = "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language.The visual content will be provided with the following format: <Image>visual content</Image>."
 _MPT = "<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers."
+_SAFE = "You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.\n\nIf a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."
+_EXAMPLE = (
+    'What are the key differences between renewable and non-renewable energy sources?',
+    'Renewable energy sources are those that can be replenished naturally in a relatively short amount of time, such as solar, wind, hydro, geothermal, and biomass. Non-renewable energy sources, on the other hand, are finite and will eventually be depleted, such as coal, oil, and natural gas. Here are some key differences between renewable and non-renewable energy sources:\n1. Availability: Renewable energy sources are virtually inexhaustible, while non-renewable energy sources are finite and will eventually run out.\n2. Environmental impact: Renewable energy sources have a much lower environmental impact than non-renewable sources, which can lead to air and water pollution, greenhouse gas emissions, and other negative effects.\n3. Cost: Renewable energy sources can be more expensive to initially set up, but they typically have lower operational costs than non-renewable sources.\n4. Reliability: Renewable energy sources are often more reliable and can be used in more remote locations than non-renewable sources.\n5. Flexibility: Renewable energy sources are often more flexible and can be adapted to different situations and needs, while non-renewable sources are more rigid and inflexible.\n6. Sustainability: Renewable energy sources are more sustainable over the long term, while non-renewable sources are not, and their depletion can lead to economic and social instability.\n',
+)
 TEMPLATES = {
-    "v0": Template("single", ("Human", "Assistant"), _CURIOUS_HUMAN, "###"),
+    "v0": Template("single", ("Human", "Assistant"), _CURIOUS_HUMAN, "###", opening=_EXAMPLE),
+    "vision_v0": Template("single", ("Human", "Assistant"), _CURIOUS_HUMAN, "###"),
+    "llama_2": Template("llama_2", ("USER", "ASSISTANT"), _SAFE, "<s>", "</s>"),
     "v1": Template("two", ("USER", "ASSISTANT"), _CURIOUS_USER, " ", "</s>"),
     "plain": Template("plain", ("", ""), "", "\n"),
     "v0_mmtag": Template("single", ("Human", "Assistant"), _TAGGED, "###"),
-    "llava_v1": Template("two", ("USER", "ASSISTANT"), _CURIOUS_HUMAN, " ", "</s>"),
+    "vision_v1": Template("two", ("USER", "ASSISTANT"), _CURIOUS_HUMAN, " ", "</s>"),
     "v1_mmtag": Template("two", ("USER", "ASSISTANT"), _TAGGED, " ", "</s>"),
-    "llava_llama_2": Template("llama_2", ("USER", "ASSISTANT"), _VISION, "<s>", "</s>"),
+    "vision_llama_2": Template("llama_2", ("USER", "ASSISTANT"), _VISION, "<s>", "</s>"),
     "mistral_instruct": Template("llama_2", ("USER", "ASSISTANT"), "", "", "</s>"),
     "mpt": Template("mpt", ("<|im_start|>user\n", "<|im_start|>assistant\n"), _MPT, "<|im_end|>"),
     "mistral": Template("mistral", ("USER", "ASSISTANT")),
 }
-ALIASES = {"default": "v0", "vicuna_v1": "v1", "v0_plain": "plain", "llava_v0": "v0"}
+ALIASES = {"default": "v0", "vicuna_v1": "v1", "v0_plain": "plain"}
 
 
 def template(name: str) -> Template:
@@ -120,6 +128,8 @@ def with_image(user_text: Column, start_end: bool = False) -> Column:
 def render(messages: Column, name: str) -> Column:
     """Prompt of an ordered array of texts, user first; a null or empty text is still to be generated."""
     t = template(name)
+    if t.opening:
+        messages = F.concat(F.array(*[F.lit(m) for m in t.opening]), messages)
     role = lambda i: F.when(i % 2 == 0, t.roles[0]).otherwise(t.roles[1])
     given = lambda m: m.isNotNull() & (m != "")
     joined = lambda f: F.array_join(F.transform(messages, f), "")

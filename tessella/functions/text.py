@@ -161,14 +161,13 @@ def name_matches(name: Column, spec: str) -> Column:
     return got
 
 
-def template_name(model: Column) -> Column:
-    """Conversation template that a model's name asks for; the first rule that fits holds."""
+def template_name(model: Column, vision_mark: str) -> Column:
+    """Conversation template that a model's name asks for; names that hold vision_mark are vision models."""
     m = F.lower(text(model))
-    has = lambda *parts: F.array_contains(F.array(*[F.contains(m, F.lit(p)) for p in parts]), True)
-    return (
-        F.when(has("llava") & has("llama-2", "llama_2"), "llava_llama_2").when(has("mistral"), "mistral_instruct").when(has("mpt"), "mpt")
-        .when(has("plain"), "plain").when(has("v1"), "v1").otherwise("v0")
-    )
+    has = lambda part: F.contains(m, F.lit(part))
+    tagged = has("mmtag") | (has("plain") & ~has("finetune"))
+    vision = F.when(has("llama-2"), "vision_llama_2").when(has("v1"), F.when(tagged, "v1_mmtag").otherwise("vision_v1")).when(has("mpt"), "mpt").otherwise(F.when(tagged, "v0_mmtag").otherwise("vision_v0"))
+    return F.when(has(vision_mark.lower()), vision).when(has("mpt"), "mpt").when(has("llama-2"), "llama_2").otherwise("vicuna_v1")
 
 
 def thousands(x: Column) -> Column:

@@ -856,9 +856,9 @@ def preferred_masks(spark, d):
     return masks.preferred_masks(m.withColumn("_n", F.regexp_replace(F.lower("img_name"), "view_2", "lesion")), "img_id", "_n").select("img_id", "img_name")
 
 
-@register("SELECT model_name, CASE WHEN contains(lower(model_name), 'mistral') THEN 'mistral_instruct' WHEN contains(lower(model_name), 'mpt') THEN 'mpt' WHEN contains(lower(model_name), 'plain') THEN 'plain' WHEN contains(lower(model_name), 'v1') THEN 'v1' ELSE 'v0' END AS template FROM (SELECT DISTINCT model_name FROM generation_result)")
+@register("SELECT model_name, CASE WHEN contains(lower(model_name), 'vision') THEN CASE WHEN contains(lower(model_name), 'llama-2') THEN 'vision_llama_2' WHEN contains(lower(model_name), 'v1') THEN 'vision_v1' WHEN contains(lower(model_name), 'mpt') THEN 'mpt' ELSE 'vision_v0' END WHEN contains(lower(model_name), 'mpt') THEN 'mpt' WHEN contains(lower(model_name), 'llama-2') THEN 'llama_2' ELSE 'vicuna_v1' END AS template FROM (SELECT DISTINCT model_name FROM generation_result)")
 def model_templates(spark, d):
-    return table(spark, d, "generation_result").select("model_name").distinct().withColumn("template", X.template_name(F.col("model_name")))
+    return table(spark, d, "generation_result").select("model_name").distinct().withColumn("template", X.template_name(F.col("model_name"), "vision"))
 
 
 @register("SELECT CASE WHEN contains(p_type, 'PROMO') THEN 'vision' WHEN contains(p_type, 'ARGE') THEN 'language' ELSE 'other' END AS component, sum(p_size) AS total FROM part GROUP BY 1")

@@ -135,11 +135,13 @@ def test_prompts(spark):
     r = lambda name, *m: one(spark, P.render(F.array(*[F.lit(x).cast("string") for x in m]), name))
     assert r("mistral_instruct", "<image>\nQ", None) == "[INST] <image>\nQ [/INST]"
     assert r("mistral_instruct", "Q", "A") == "[INST] Q [/INST] A </s>"
-    assert r("v0", "Q", None).endswith("###Human: Q###Assistant:")
+    assert r("vision_v0", "Q", None).endswith("questions.###Human: Q###Assistant:")
+    assert r("default", "Q", None).endswith("instability.\n###Human: Q###Assistant:") and r("default", "Q", None).count("###Human: ") == 2
+    assert r("llama_2", "Q", None).startswith("[INST] <<SYS>>\nYou are a helpful, respectful and honest")
     assert r("v1", " Q ", "A").endswith(" USER: Q ASSISTANT: A</s>")
     assert r("mpt", "Q", "A").endswith("<|im_end|><|im_start|>user\nQ<|im_end|><|im_start|>assistant\nA<|im_end|>")
     assert r("plain", "Q", "A") == "Q\nA"
-    assert r("llava_llama_2", "Q", None).startswith("[INST] <<SYS>>\nYou are a helpful language")
+    assert r("vision_llama_2", "Q", None).startswith("[INST] <<SYS>>\nYou are a helpful language")
     assert r("mistral", "Q", "A") == "[INST]  Q [/INST]A</s>"
     assert P.stop_string("v1") == "</s>" and P.stop_string("v0") == "###" and P.stop_string("mistral_instruct") == "</s>"
 
