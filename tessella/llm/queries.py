@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import broken_pairs, canonical_values, encoding, format_copies, languages, linked_splits, packing, sentences, split_overlap
+from tessella.llm.oracle import ORACLE
 from tessella.plans.cut import Scratch
 from tessella.sources.tables import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -94,4 +97,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p3_found, p3_report, p4_found, p4_defects, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }
-ORACLE: dict[str, str] = {}
