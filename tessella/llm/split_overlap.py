@@ -76,6 +76,12 @@ HAN_STOP = set("的呢吗了是这那该幅张里中内上处所示个请么啊
 _TOKENS = regex.compile(r"\p{Han}|\p{N}+|[\p{Latin}\p{M}]+|[\p{L}\p{M}]+")
 
 
+#: Common words that tell a language by themselves.
+TONGUES = {
+    "en": "the is are what which where how does in of this that and", "de": "der die das ist was welche welches wo wie im auf wenn ein eine und zu",
+    "fr": "le la les est quel quelle où comment dans sur ce cette une qui voit on", "es": "el los las está hay qué dónde cómo en se del esta este una",
+}
+_TONGUES = {lang: set(words.split()) for lang, words in TONGUES.items()}
 _SAME = {fold(w): name for name, words in SYNONYMS for w in words.split()}
 _STOP = {fold(w) for w in STOP}
 
@@ -88,6 +94,13 @@ def tokens(question: str) -> list[str]:
     return [fold(t) for t in _TOKENS.findall(x)]
 
 
+def tongue(question: str) -> str | None:
+    """The language whose common words a text in Latin letters has most of, if one leads clearly."""
+    words = _TOKENS.findall(question.lower())
+    hits = sorted(((sum(w in known for w in words), lang) for lang, known in _TONGUES.items()), reverse=True)
+    return hits[0][1] if hits[0][0] >= hits[1][0] + 2 else None
+
+
 class Vectors:
     """Turns questions into weighted terms, with the corpus's document frequencies."""
 
@@ -158,6 +171,8 @@ class Vectors:
     def same(self, a: str, b: str) -> bool:
         """The exact check: what only one side has are spare words, never established ones of meaning."""
         ta, tb = self.of(a)[0], self.of(b)[0]
+        if (la := tongue(a)) and (lb := tongue(b)) and la != lb:
+            return False  # a translation
         only_a, only_b = [t for t in ta if t not in tb], [t for t in tb if t not in ta]
         weighty = lambda x: [t for t in x if t in self.df and not t.startswith("_")]
         han = lambda x: [t for t in x if regex.match(r"\p{Han}", t)]
