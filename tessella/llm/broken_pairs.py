@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -40,7 +41,7 @@ BROADCAST_ROWS = 100_000
 #: Shares of matching letters from which an answer is the question again, one that ends as a question and any other.
 ASKS_SAME, NEARLY_SAME = 0.68, 0.82
 #: Questions and answers that a worker keeps; beyond that it starts afresh.
-KEEP = 300_000
+KEEP = 150_000
 #: Scaled margins beyond which an answer isn't in a language: for one word, for two, for more.
 MARGINS = (1.2, 0.8, 0.5)
 
@@ -140,6 +141,11 @@ def _bare(text: str) -> str:
     return _norm(plain(MARKERS.sub("", text)))
 
 
+def _letter_pairs(text: str) -> frozenset[str]:
+    x = _norm(text)
+    return frozenset(map(add, x, x[1:]))
+
+
 def is_empty(answer: str | None) -> bool:
     return answer is None or not _SIGN.search(answer) or answer.strip().strip(".\"'()[]<>").lower() in PLACEHOLDERS or answer.strip().lower() in PLACEHOLDERS
 
@@ -210,15 +216,16 @@ class Checker:
 
     def __init__(self, c: Classifier):
         self.c = c
-        self.questions: dict[str, tuple[frozenset[str], str]] = {}
+        self.questions: dict[str, list] = {}
         self.answers: dict[str, tuple] = {}
 
-    def question(self, q: str) -> tuple[frozenset[str], str]:
+    def question(self, q: str) -> list:
+        """Languages, then letter pairs and bare text, which are made when an answer first needs them."""
         got = self.questions.get(q)
         if got is None:
             if len(self.questions) > KEEP:
                 self.questions.clear()
-            got = self.questions[q] = (frozenset(s[0] for s in self.c.segments(q)), _bare(q))
+            got = self.questions[q] = [frozenset(s[0] for s in self.c.segments(q)), None, None]
         return got
 
     def answer(self, a: str, cut: bool, usual: str | None) -> tuple:
@@ -229,7 +236,7 @@ class Checker:
             if is_empty(a):
                 got = (True,)
             else:
-                got = (False, _bare(a), is_refusal(a), cut or is_cut(a), *answer_languages(self.c, a, usual))
+                got = (False, _letter_pairs(a), _bare(a), is_refusal(a), cut or is_cut(a), *answer_languages(self.c, a, usual))
             self.answers[a] = got
         return got
 
@@ -240,15 +247,25 @@ class Checker:
         got = self.answer(answer, cut, usual)
         if got[0]:
             return ["empty"]
-        _, a, refusal, short, script, foreign = got
-        langs, q = self.question(question) if question else (frozenset(), "")
+        _, pairs, a, refusal, short, script, foreign = got
+        of = self.question(question) if question else None
         out = []
-        if q and is_copy(q, a, answer):
+        if of and len(pairs) > 3:
+            if of[1] is None:
+                of[1] = _letter_pairs(question)
+            # most letter pairs of a copy are the question's
+            if 2 * len(pairs & of[1]) >= len(pairs):
+                if of[2] is None:
+                    of[2] = _bare(question)
+                if of[2] and is_copy(of[2], a, answer):
+                    out.append("copy")
+        elif of and a and len(question) < 4 * len(answer) and a == _bare(question):
             out.append("copy")
         if refusal:
             out.append("refusal")
         if short:
             out.append("truncated")
+        langs = of[0] if of else ()
         if langs and (script == "han" and "zh" not in langs or script == "latin" and all(foreign.get(x, True) for x in langs)):
             out.append("other_language")
         return out

@@ -19,6 +19,7 @@ COURTESIES = [
 POLITE = {w for x in COURTESIES for w in x.split() if x.isascii() and w not in {"you", "can", "could", "en", "lo", "una", "also"}}
 _BRACKETS = regex.compile(r"[(（\[][^()（）\[\]]{0,40}[)）\]]")
 _NUMBER = regex.compile(r"\p{N}")
+_GAPS, _MARKS, _HAN_GAPS = regex.compile(r"[_\s]+").sub, regex.compile(r"[\p{P}\p{S}]+").sub, regex.compile(r"(?<=\p{Han})\s+(?=\p{Han})").sub
 _COURTESY = regex.compile("|".join(rf"(?<![\p{{L}}]){regex.escape(x)}(?![\p{{L}}])" if x.isascii() or not regex.search(r"\p{Han}", x) else regex.escape(x) for x in sorted(COURTESIES, key=len, reverse=True)))
 
 
@@ -29,9 +30,8 @@ def fold(w: str) -> str:
 
 def plain(question: str) -> str:
     """Lower case with single spaces, without brackets of words, courtesies and marks."""
-    x = regex.sub(r"[_\s]+", " ", question.lower())
+    x = _GAPS(" ", question.lower())
     bare = _BRACKETS.sub(lambda m: m.group() if _NUMBER.search(m.group()) else " ", x)
     x = bare if 2 * len(bare) > len(x) else x  # a text that is all in brackets stays
-    x = regex.sub(r"[\p{P}\p{S}]+", " ", x)
-    x = regex.sub(r"(?<=\p{Han})\s+(?=\p{Han})", "", regex.sub(r"\s+", " ", x))
+    x = _HAN_GAPS("", _GAPS(" ", _MARKS(" ", x)))
     return _COURTESY.sub(" ", x)

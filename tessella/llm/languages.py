@@ -38,7 +38,7 @@ BUCKETS = 1 << 16
 LEAST_WORDS, LEAST_HAN = 3, 5
 #: Clauses of less confidence go with their neighbour.
 DOUBT = 0.45
-KEEP = 300_000
+KEEP = 150_000
 
 # Names of languages in labels.
 NAMES = {
