@@ -139,22 +139,11 @@ def error_matches(message: Column, tokens: list[str]) -> Column:
 
 def name_matches(name: Column, spec: str) -> Column:
     """Module names that a target spec selects: 're:' or a text with regex marks by search, else by equality or suffix of any item."""
-    import json
-    import re
-
-    raw = spec.strip()
-    if raw.startswith("re:"):
-        return name.rlike(raw[3:])
-    if raw.startswith("list:"):
-        items = [raw[5:]]
-    elif raw.startswith("["):
-        items = [str(x) for x in json.loads(raw)]
-    elif "," in raw:
-        items = [x.strip() for x in raw.split(",") if x.strip()]
-    elif re.search(r"[|()^$*+?\\]", raw):
-        return name.rlike(raw)
-    else:
-        items = [raw]
+    from tessella.functions.driver import parse_target_spec
+
+    kind, items = parse_target_spec(spec)
+    if kind == "regex":
+        return name.rlike(items[0])
     got = F.lit(False)
     for i in items:
         got = got | (name == i) | F.endswith(name, F.lit(i))

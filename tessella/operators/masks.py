@@ -65,3 +65,32 @@ def resolve_paths(wanted: DataFrame, listing: DataFrame, key: str, candidates: s
     c = wanted.select(key, F.posexplode(candidates).alias("p", "path"))
     got = c.join(listing.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "p").alias("path"))
     return wanted.select(key).join(got, key, "left")
+
+
+def apply_mask(pixels: DataFrame, mask: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """Image pixels with those outside the mask set to 0; an image whose mask has no pixel stays as it is."""
+    on = [*by, "y", "x"]
+    inside = mask.select(*on).distinct().withColumn("_in", F.lit(True))
+    masked = mask.select(*by).distinct().withColumn("_has", F.lit(True))
+    j = pixels.join(inside, on, "left").join(masked, by, "left")
+    return j.select(*on, F.when(F.col("_in") | F.col("_has").isNull(), F.col(value)).otherwise(F.lit(0)).alias(value))
+
+
+def crop(pixels: DataFrame, boxes: DataFrame, by: list[str]) -> DataFrame:
+    """Pixels inside their image's box (x0, y0, x1, y1), moved to its corner; images without a box stay whole."""
+    j = pixels.join(boxes.select(*by, "x0", "y0", "x1", "y1"), by, "left")
+    j = j.filter("x0 is null or (x >= x0 and x < x1 and y >= y0 and y < y1)")
+    return j.withColumns({"x": F.col("x") - F.coalesce("x0", F.lit(0)), "y": F.col("y") - F.coalesce("y0", F.lit(0))}).select(*pixels.columns)
+
+
+def resize_nearest(pixels: DataFrame, by: list[str], size: tuple[Column, Column], target: tuple[Column, Column]) -> DataFrame:
+    """Pixels of images of size (width, height) at target size; every target pixel takes the nearest source pixel.
+
+    Each source pixel is repeated over the target pixels that fall on it, so there is no join.
+    """
+    (w, h), (tw, th) = size, target
+    reach = lambda at, n, to: F.sequence(F.ceil((at * to - (n / 2)) / n + F.lit(0.0)).cast("int"), F.ceil(((at + 1) * to - (n / 2)) / n).cast("int") - 1)
+    inside = lambda at, n, to: F.filter(F.when(F.ceil(((at + 1) * to - (n / 2)) / n).cast("int") - 1 >= F.ceil((at * to - (n / 2)) / n).cast("int"), reach(at, n, to)).otherwise(F.array().cast("array<int>")), lambda v: (v >= 0) & (v < to))
+    rest = [c for c in pixels.columns if c not in (*by, "x", "y")]
+    d = pixels.select(*by, *rest, F.explode(inside(F.col("x"), w, tw)).alias("_x"), "y")
+    return d.select(*by, *rest, F.col("_x").alias("x"), F.explode(inside(F.col("y"), h, th)).alias("y")).select(*pixels.columns)
