@@ -40,6 +40,8 @@ SHORT_WORDS, OFTEN, USUAL = 3, 5, 0.2
 BROADCAST_ROWS = 100_000
 #: Shares of matching letters from which an answer is the question again, one that ends as a question and any other.
 ASKS_SAME, NEARLY_SAME = 0.68, 0.82
+#: Letters from which texts are only compared exactly.
+LONG = 4000
 #: Questions and answers that a worker keeps; beyond that it starts afresh.
 KEEP = 150_000
 #: Scaled margins beyond which an answer isn't in a language: for one word, for two, for more.
@@ -165,6 +167,8 @@ def is_copy(q: str, a: str, answer: str) -> bool:
     han = bool(_HAN.search(a))
     if la < (6 if han else 15):
         return False
+    if max(la, lq) > LONG:
+        return 5 * la >= 3 * lq and a in q  # slips are only weighed in texts of usual length
     if 5 * la >= 3 * lq:
         if a in q:
             return True

@@ -42,6 +42,8 @@ THRESHOLD = 0.9
 ESTABLISHED = 0.003
 #: Weight of words that aren't established and near no established one.
 LOOSE = 0.6
+#: Longer words are never taken for slips; the longest established ones are much shorter.
+MOST_LETTERS = 40
 #: Words, at most, that only one side has.
 SPARE = 2
 
@@ -123,6 +125,8 @@ class Vectors:
 
     def near(self, t: str) -> str | None:
         """The established word that t is most likely a slip of."""
+        if len(t) > MOST_LETTERS:
+            return None
         most = 1 if len(t) < 6 else 2
         seen = {w for x in self._shorter(t) for w in self.cut.get(x, ())}
         got = [(d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w)) <= most]

@@ -52,3 +52,9 @@ def test_frames(spark, machines, few):
     got = {r.rec_id: r.defect for r in B.all_defects(df, machines, first_only=True, broadcast_rows=few).collect()}
     assert got == {1000: "truncated", 1001: "truncated", 1002: "empty", 1004: "empty", 1005: "other_language"}
     assert B.all_defects(df.limit(0), machines, broadcast_rows=few).count() == 0
+
+
+def test_long_texts_are_quick(machines):
+    check = B.Checker(L.Classifier(machines))
+    q = "Where does the cyst appear in this image? " * 5000
+    assert check.defects(q, q) == ["copy"] and "copy" not in check.defects(q, "It appears in the upper left zone of it. " * 5000)
