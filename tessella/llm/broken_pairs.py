@@ -187,7 +187,7 @@ def is_refusal(answer: str) -> bool:
 
 def is_cut(answer: str) -> bool:
     """Abrupt by its own marks."""
-    s = answer.rstrip(" \t\r\n　 ")
+    s = answer.rstrip(" \t\r\n\u3000\xa0")
     if s.endswith(("…", "...")):
         return True
     t = s.rstrip("\"'”’»*_")

@@ -34,7 +34,7 @@ BROADCAST_BYTES = 64 << 20
 def canonical_text(x: Column) -> Column:
     """Without white space, letter case and punctuation; a point or comma between two digits stays."""
     x = F.regexp_replace(F.lower(x), "ß", "ss")
-    x = F.regexp_replace(x, r"(?U)[\s​﻿]+", " ")
+    x = F.regexp_replace(x, r"(?U)[\s\u200B\uFEFF]+", " ")
     x = F.regexp_replace(x, r"(?<=\d)，(?=\d)", ",")
     x = F.regexp_replace(x, r"(?<!\d)[.,]|[.,](?!\d)|[\p{P}`´^~|&&[^.,]]", "")
     return F.regexp_replace(x, " ", "")

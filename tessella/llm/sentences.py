@@ -48,7 +48,7 @@ OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》
 CLOSERS = {")", "]", "}", "）", "】", "》", "〉", "」", "』", "»", "”", "“", "］"}
 QUOTES = set("「『«“„\"")
 
-BLANK = regex.compile(r"(?:\r\n|[\n\r\x85  ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85  ])\s*")
+BLANK = regex.compile(r"(?:\r\n|[\n\r\x85\u2028\u2029])[^\S\n\r\x85\u2028\u2029]*(?:\r\n|[\n\r\x85\u2028\u2029])\s*")
 MARKS = regex.compile(r"[.…]+|[!?。！？।॥؟｡]|[()\[\]{}（）【】《》〈〉「」『』«»“”„\"［］]|(?<=[฀-๿])\s+(?=[฀-๏])")
 DASH = "-–—―"
 CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Devanagari}\p{Hangul}]")
