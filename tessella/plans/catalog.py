@@ -270,17 +270,73 @@ def option_markers(spark, d):
     return table(spark, d, "qa_record").select("rec_id", O.has_option_markers(F.col("question")).alias("has_markers"))
 
 
-@register()
+_BAR = f"([-:.,;()\\[\\]]|{_WS})+"
+_LEADS = "|".join(O.LEAD)
+_STOPS = ",".join(f"'{w}'" for w in O.STOPWORDS)
+_MEDS = "|".join(m for m in O.MEDICAL)
+_NORMOPT = _norm("regexp_replace(" + _squash(f"regexp_replace(r, '^{_BAR}|{_BAR}$', '', 'g')") + f", '(?i)^(({_LEADS})( |$))+', '')")
+_WORD = "[A-Za-z0-9][\\p{L}\\p{N}_/-]*"
+_RUN = f"{_WORD}(?:{_WS}+{_WORD}){{0,9}}"
+
+
+def _two(sep: str) -> str:
+    return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({_RUN}){_WS}+(?:{sep}){_WS}+({_RUN})(?:$|[^\\p{{L}}\\p{{N}}_])"
+
+
+def _final(raws: str) -> str:
+    """Finalized options of a list of raw ones, in order, each once."""
+    n = f"list_transform(list_filter(list_transform({raws}, lambda r: {{'r': r, 'n': {_NORMOPT}}}), lambda p: length({_strip('p.n')}) > 1 AND len(list_filter({_words(_squash('lower(p.n)'))}, lambda k: k NOT IN ({_STOPS}))) > 0 AND (len({_words(_squash('p.n'))}) <= {O.WORD_LIMIT} OR regexp_matches(lower(p.r), '[0-9]|-|{_MEDS}'))), lambda p: p.n)"
+    return n
+
+
+def _once(name: str) -> str:
+    return f"list_filter({name}, lambda v, i: list_position({name}, v) = i)"
+
+
+_LABEL = "(?:^|[\\s(\\[])(?:[A-Z]|[0-9]+)[.):]\\s*"
+_LASTOR = "(length(q) - strpos(reverse(lower(q)), ' ro ') + 1)"
+_OPTS = f"""WITH b AS (SELECT *, {_strip('question')} AS q FROM qa_record),
+raws AS (SELECT *, CASE WHEN regexp_matches(q, '(?s){_LABEL}.*{_LABEL}') THEN list_filter(list_transform(string_split_regex(q, '{_LABEL}')[2:], lambda v: trim(v, ' ;:,.')), lambda v: v <> '') ELSE [] END AS r1,
+  CASE WHEN contains(q, '/') THEN list_filter(flatten(list_transform(regexp_extract_all(regexp_replace(q, '{_WS}*/{_WS}*', '/', 'g'), '[^/\\t-\\r\\x{{20}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+(?:/[^/\\t-\\r\\x{{20}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+)+'), lambda v: string_split(trim(regexp_replace(v, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g'), ' ,;:?.'), '/'))), lambda v: v <> '') ELSE [] END AS r2,
+  CASE WHEN regexp_matches(q, '(?i)\\s(vs|versus)\\s') AND regexp_matches(q, '{_two('vs|versus')}') THEN [regexp_extract(q, '{_two('vs|versus')}', 1), regexp_extract(q, '{_two('vs|versus')}', 2)] ELSE [] END AS r3,
+  CASE WHEN regexp_matches(q, '(?i)\\sor\\s') AND regexp_matches(q, '{_two('or')}') THEN [regexp_extract(q, '{_two('or')}', 1), regexp_extract(q, '{_two('or')}', 2)] ELSE [] END AS r4,
+  CASE WHEN contains(lower(q), ' or ') AND contains(q, ',') THEN list_concat(list_filter(list_transform(string_split(substr(q, 1, {_LASTOR} - 4), ','), lambda v: {_strip('v')}), lambda v: v <> ''), [trim(substr(q, {_LASTOR} + 1), ' ?;:.')]) ELSE [] END AS r5 FROM b),
+fin AS (SELECT *, {_final('r1')} AS f1, {_final('r2')} AS f2, {_final('r3')} AS f3, {_final('r4')} AS f4, {_final('r5')} AS f5 FROM raws),
+dist AS (SELECT *, {_once('f1')} AS o1, {_once('f2')} AS o2, {_once('f3')} AS o3, {_once('f4')} AS o4, {_once('f5')} AS o5 FROM fin),
+opts AS (SELECT rec_id, question, answer, answer_type, CASE WHEN len(o1) >= 2 THEN o1 WHEN len(o2) >= 2 THEN o2 WHEN len(o3) >= 2 THEN o3 WHEN len(o4) >= 2 THEN o4 WHEN len(o5) >= 2 THEN o5 ELSE [] END AS options FROM dist)
+"""
+
+
+@register(f"{_OPTS} SELECT rec_id, options FROM opts")
 def parse_options(spark, d):
     return table(spark, d, "qa_record").select("rec_id", O.parse_options(F.col("question")).alias("options"))
 
 
-@register()
+_AUX_IN = ",".join(f"'{a}'" for a in [*O.AUX_DETECT, "what", "which"])
+_CW = "[\\p{L}\\p{M}\\p{N}_"
+_SLASHED = f"(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])([A-Za-z0-9]{_CW}-]*(?:{_WS}*/{_WS}*[A-Za-z0-9]{_CW}-]*)+)"
+_ITEM = f"[A-Za-z0-9]{_CW}/ -]*"
+_LISTED = f"({_ITEM}(?:{_WS}*,{_WS}*{_ITEM})+{_WS}*\\b(?:or|and)\\b{_WS}*[A-Za-z0-9]{_CW}/ -]+)"
+_EITHER = f"(?i)(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])([A-Za-z0-9]{_CW}/ -]+){_WS}+or{_WS}+([A-Za-z0-9]{_CW}/ -]+)"
+_CLEAN = lambda x: f"list_filter(list_transform({x}, lambda v: {_strip('v')}), lambda v: v <> '')"
+_QO = f"""WITH b AS (SELECT rec_id, coalesce(question, '') AS q, {_strip('question')} AS sq FROM qa_record),
+m AS (SELECT *, CASE WHEN regexp_matches(q, '{_SLASHED}') THEN regexp_extract(q, '{_SLASHED}', 1) END AS sl,
+  CASE WHEN regexp_matches(q, '(?i),{_WS}*{_LISTED}') THEN regexp_extract(q, '(?i),{_WS}*{_LISTED}', 1) WHEN regexp_matches(sq, '(?i)^{_LISTED}') THEN regexp_extract(sq, '(?i)^{_LISTED}', 1) END AS bl,
+  CASE WHEN regexp_matches(q, '{_EITHER}') THEN [{_strip(f"regexp_extract(q, '{_EITHER}', 1)")}, {_strip(f"regexp_extract(q, '{_EITHER}', 2)")}] END AS ab FROM b),
+o AS (SELECT rec_id, CASE WHEN sl IS NOT NULL THEN {_CLEAN("string_split(sl, '/')")} WHEN bl IS NOT NULL THEN {_CLEAN(f"string_split_regex(bl, '(?i){_WS}*(?:,|\\bor\\b|\\band\\b){_WS}*')")}
+  WHEN ab IS NOT NULL AND lower(coalesce({_words(_squash('ab[1]'))}[1], '')) NOT IN ({_AUX_IN}) THEN ab ELSE [] END AS options FROM m)
+SELECT rec_id, CASE WHEN len(options) > 1 THEN options ELSE [] END AS options FROM o"""
+
+
+@register(_QO)
 def question_options(spark, d):
     return table(spark, d, "qa_record").select("rec_id", O.question_options(F.col("question")).alias("options"))
 
 
-@register()
+_ROUTE = f"CASE WHEN len(options) >= 2 THEN 'options' WHEN lower({_strip('answer')}) IN ('yes','no') OR (NOT regexp_matches(coalesce(question,''), '(?i)(^|[^a-z0-9_À-ɏ一-鿿])(or|either|vs|versus)($|[^a-z0-9_À-ɏ一-鿿])|/') AND lower(coalesce({_words(_squash('question'))}[1], '')) IN ({','.join(repr(a) for a in O.AUX)})) THEN 'yesno' ELSE 'vocab' END"
+
+
+@register(f"{_OPTS} SELECT {_ROUTE} AS route, count(*) AS n FROM opts WHERE upper(answer_type) = 'CLOSED' GROUP BY 1")
 def route_counts(spark, d):
     closed = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED").withColumn("o", O.parse_options(F.col("question")))
     return closed.groupBy(O.closed_route(F.col("question"), F.col("answer"), F.col("o")).alias("route")).agg(F.count("*").alias("n"))
@@ -310,13 +366,13 @@ def closed_vocab_normalized(spark, d):
     return r.groupBy("value").agg(F.count("*").alias("n"), F.min("rec_id").alias("first_pos"))
 
 
-@register()
+@register(f"{_OPTS}, c AS (SELECT {_norm('answer')} AS a, options FROM opts WHERE upper(answer_type) = 'CLOSED' AND len(options) >= 2) SELECT count(*) AS n, round(count(*) FILTER (WHERE list_contains(list_transform(options, lambda o: {_norm('o')}), a)) / CAST(greatest(1, count(*)) AS DOUBLE), 6) AS gold_rate FROM c")
 def gold_in_candidates(spark, d):
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED").select(O.parse_options(F.col("question")).alias("o"), "answer").filter("size(o) >= 2")
     return r.agg(F.count("*").alias("n"), F.round(F.count_if(O.option_target(F.col("o"), F.col("answer")) >= 0) / F.greatest(F.lit(1), F.count("*")), 6).alias("gold_rate"))
 
 
-@register()
+@register(f"{_OPTS}, v AS (SELECT count(*) AS n FROM (SELECT {_strip('answer')} AS value, count(*) AS k, min(rec_id) AS fp FROM qa_record WHERE upper(answer_type) = 'CLOSED' AND coalesce(lower(split), 'train') IN ('', 'train') AND lower({_strip('answer')}) NOT IN ('yes','no','') GROUP BY 1 ORDER BY k DESC, fp LIMIT 20)), c AS (SELECT rec_id, {_ROUTE} AS route, len(options) AS k FROM opts WHERE upper(answer_type) = 'CLOSED') SELECT rec_id, route, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_labels, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_bases FROM c, v")
 def closed_candidates(spark, d):
     vocab = F.array(*[F.lit(r["value"]) for r in closed_vocabulary(spark, d, 20).collect()]).cast("array<string>")  # capped vocabulary
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED")
@@ -513,7 +569,42 @@ def render_template(spark, d):
     return r.select("rec_id", P.build_prompt(F.col("question"), "mistral_instruct", F.col("answer")).alias("prompt"))
 
 
-@register()
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _template_sql(name: str) -> str:
+    """The prompt of question and answer in one template."""
+    t = P.template(name)
+    turns = [(_lit(x), i) for i, x in enumerate(t.opening)]
+    turns += [("('<image>' || chr(10) || question)", len(turns)), ("answer", len(turns) + 1)]
+    out = []
+    for m, i in turns:
+        role, given = t.roles[i % 2], f"({m}) IS NOT NULL AND ({m}) <> ''"
+        first = i == 0
+        if t.style in ("single", "mpt"):
+            colon = ": " if t.style == "single" else ""
+            out.append(f"CASE WHEN {given} THEN {_lit(role + colon)} || {m} || {_lit(t.sep)} ELSE {_lit(role + colon.strip())} END")
+        elif t.style == "two":
+            out.append(f"CASE WHEN {given} THEN {_lit(role + ': ')} || {_strip(m)} || {_lit(t.sep2 + ' ' if i % 2 else t.sep)} ELSE {_lit(role + ':')} END")
+        elif t.style == "plain":
+            out.append(f"CASE WHEN {given} THEN {m} || {_lit(t.sep2 if i % 2 else t.sep)} ELSE '' END")
+        elif i % 2:
+            out.append(f"CASE WHEN {given} THEN " + (f"' ' || {m} || {_lit(' ' + t.sep2)}" if t.style == "llama_2" else f"{m} || '</s>'") + " ELSE '' END")
+        else:
+            head = f"<<SYS>>\n{t.system}\n<</SYS>>\n\n" if t.style == "llama_2" and t.system and first else ""
+            body = f"{_lit(t.system + ' ')} || {_strip(m)}" if t.style == "mistral" and first else m
+            out.append(f"CASE WHEN {given} THEN {_lit((t.sep if t.style == 'llama_2' else '') + '[INST] ' + head)} || {body} || ' [/INST]' ELSE '' END")
+    start = t.system + t.sep if t.style in ("single", "mpt", "two") else t.system if t.style == "plain" else ""
+    sql = _lit(start) + " || " + " || ".join(out)
+    if t.style == "two":
+        return _strip(sql)
+    if t.style == "llama_2":
+        return f"ltrim({sql}, {_lit(t.sep)})" if t.sep else f"regexp_replace({sql}, '^\\s+', '')"
+    return sql
+
+
+@register("SELECT rec_id, " + ", ".join(f"{_template_sql(n)} AS {n}" for n in P.TEMPLATES) + " FROM qa_record")
 def render_all_templates(spark, d):
     r = table(spark, d, "qa_record")
     return r.select("rec_id", *[P.build_prompt(F.col("question"), n, F.col("answer")).alias(n) for n in P.TEMPLATES])
@@ -725,10 +816,10 @@ def precomputed_scorer(spark, d):
     return _scores(spark, d).select("pred_id", "position", F.round(O.length_normalized(F.col("logprob_sum"), F.col("n_tokens")), 6).alias("score"))
 
 
-@register()
+@register(f"{_OPTS}, c AS (SELECT rec_id AS qid, unnest(options) AS candidate, generate_subscripts(options, 1) - 1 AS position, list_distinct({_words(_squash('lower(question)'))}) AS known FROM opts WHERE upper(answer_type) = 'CLOSED' AND len(options) >= 2), w AS (SELECT *, {_words(_squash('lower(candidate)'))} AS cw FROM c) SELECT qid, candidate, position, round(ln((1 + len(list_filter(cw, lambda k: list_contains(known, k)))) / CAST(2 + len(cw) AS DOUBLE)), 5) AS logprob_sum, greatest(1, len(cw)) AS n_tokens FROM w")
 def overlap_scorer(spark, d):
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED").select("rec_id", "question").withColumn("c", O.parse_options(F.col("question"))).filter("size(c) >= 2")
-    return scorer.apply_scorer(r.select(F.col("rec_id").alias("qid"), F.col("question").alias("prompt"), F.col("c").alias("candidates")), scorer.overlap_score)
+    return scorer.apply_scorer(r.select(F.col("rec_id").alias("qid"), F.col("question").alias("prompt"), F.col("c").alias("candidates")), scorer.overlap_score).withColumn("logprob_sum", F.round("logprob_sum", 5))
 
 
 # 16 further projections, checks and forms
@@ -913,7 +1004,7 @@ def model_order(spark, d):
     return table(spark, d, "generation_result").select(F.col("model_name").alias("name")).distinct().withColumn("place", F.row_number().over(Window.orderBy(key, "name")))
 
 
-@register()
+@register("WITH w AS (SELECT user_id, count(*) AS weight FROM events GROUP BY 1), u AS (SELECT *, (CAST('0x' || substr(md5('7:' || user_id), 1, 8) AS BIGINT) + 1) / 4294967297.0 AS u FROM w) SELECT user_id, weight FROM u ORDER BY -ln(u) / weight LIMIT 1")
 def lottery_worker(spark, d):
     return ranking.weighted_lottery(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("weight")), "weight", F.col("user_id"), 7)
 
