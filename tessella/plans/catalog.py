@@ -12,6 +12,7 @@ from tessella.functions import options as O
 from tessella.functions import prompts as P
 from tessella.functions import text as X
 from tessella.operators import joins, judge, masks, metrics, monitoring, ranking, scorer, serving
+from tessella.plans import ordinals
 from tessella.sources import readers
 from tessella.sources.tables import table
 
@@ -995,6 +996,14 @@ def conversation_prompts(spark, d):
     return m.select("img_id", P.render(texts, "mistral_instruct").alias("prompt"))
 
 
+@register("SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY rec_id, question, answer) AS turn, rec_id, '[INST] ' || question || ' [/INST] ' || answer || ' </s>' AS prompt FROM qa_record WHERE img_id > 0 AND question <> '' AND answer <> ''")
+def conversation_turns(spark, d):
+    """Every turn of every image, a row each; in the order of turn they are the image's whole conversation, without conversation_prompts' limit of three."""
+    r = table(spark, d, "qa_record").filter("img_id > 0 and question <> '' and answer <> ''").select("img_id", "rec_id", "question", "answer")
+    t = ordinals.with_number_in(r, "img_id", "rec_id", "turn", ["question", "answer"])
+    return t.select("img_id", "turn", "rec_id", P.render(F.array("question", "answer"), "mistral_instruct").alias("prompt"))
+
+
 @register("WITH b AS (SELECT DISTINCT model_name AS name FROM generation_result), o AS (SELECT name, row_number() OVER (ORDER BY CASE WHEN name = 'probe-run' THEN 'aaa' ELSE name END, name) AS place FROM b) SELECT name, place FROM o")
 def model_order(spark, d):
     from pyspark.sql import Window
