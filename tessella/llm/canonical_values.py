@@ -9,8 +9,11 @@ cost wins. A value that names nothing, two entries, or several equally well is
 unmatched (-1).
 
 A reference list of up to BROADCAST_ENTRIES spellings is broadcast; a longer one
-is dealt to shards, each value meets each shard, and the shards' candidates are
-merged by the same rule.
+is dealt to shards and each value meets each shard. What a shard needs to know of
+the others comes with the value or the shard: which of the value's words are
+written in the list, which fillers and joiners are spellings, the longest key.
+The shards' parts are merged before anything is decided, and a whole list is
+merged as its only part, so both ways give the same entry.
 
 Defined cases: null values and values without a letter or digit are no cases;
 values that literally are a label need no mapping; an empty reference list
@@ -19,9 +22,11 @@ leaves every value unmatched.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -135,12 +140,42 @@ def _shortened_run(j: str, form: tuple[str, ...]) -> bool:
     return any(j.startswith(x) and _shortened_run(j[len(x) :], form[1:]) for x in ways)
 
 
+def _forms(w: list[str]) -> list[tuple[str, ...]]:
+    """The words of a spelling, and with a plural at the end."""
+    forms = [tuple(w)]
+    if len(w[-1]) > 3:
+        forms.append((*w[:-1], w[-1] + ("es" if w[-1].endswith(("s", "x")) else "s")))
+    return forms
+
+
+def _keys(w: list[str]) -> list[str]:
+    """A spelling in one word, also with leading words moved to the end."""
+    return ["".join(w[k:] + w[:k]) for k in range(len(w))]
+
+
+class Part(NamedTuple):
+    """What one list of spellings, or one shard of it, holds for a value."""
+
+    named: bool  # the value's words in one are a spelling
+    han: list[tuple[str, list[int]]]  # Han spellings inside the value
+    han_near: list[tuple[int, float]]  # Han spellings that the value may misspell
+    first: dict[tuple[int, int], float]  # (canon_id, mask) to cost: by words, or exactly in one
+    second: dict[tuple[int, int], float]  # by a joined spelling that is misspelled or shortened; counts if no first candidate is good
+    n: int  # words that aren't fillers
+    letters: int  # of the words in one
+
+
+def _good(first: dict[tuple[int, int], float], n: int, letters: int) -> bool:
+    """A candidate uses every word at little cost, so misspelled joined spellings aren't asked for."""
+    return any(mask == (1 << n) - 1 and cost < 1 + letters / 8 for (_, mask), cost in first.items())
+
+
 class Matcher:
-    """Matches values against spellings (canon_id, text)."""
+    """Matches values against spellings (canon_id, text); kept, longest and several say what a shard can't know of the whole list."""
 
-    def __init__(self, spellings: list[tuple[int, str]]):
+    def __init__(self, spellings: list[tuple[int, str]], kept: frozenset[str] | None = None, longest: int = 0, several: frozenset[str] = frozenset()):
         self.entries: list[tuple[int, tuple[str, ...]]] = []
-        self.han: list[tuple[str, int]] = []
+        self.han: dict[str, list[int]] = {}
         self.joined: dict[str, set[int]] = {}
         self.several: set[str] = set()
         self.by_word: dict[str, list[int]] = {}
@@ -149,33 +184,32 @@ class Matcher:
             if not w:
                 continue
             if _HAN.search(text):
-                self.han.append(("".join(w), cid))
+                self.han.setdefault("".join(w), []).append(cid)
                 continue
-            for k in range(len(w)):  # also with leading words moved to the end
-                self.joined.setdefault("".join(w[k:] + w[:k]), set()).add(cid)
-                if len(w) > 1:
-                    self.several.add("".join(w[k:] + w[:k]))
-            forms = [tuple(w)]
-            if len(w[-1]) > 3:
-                forms.append((*w[:-1], w[-1] + ("es" if w[-1].endswith(("s", "x")) else "s")))
-            for f in forms:
+            for key in _keys(w):
+                self.joined.setdefault(key, set()).add(cid)
+                if len(w) > 1 or key in several:
+                    self.several.add(key)
+            for f in _forms(w):
                 self.entries.append((cid, f))
                 for x in set(f):
                     self.by_word.setdefault(x, []).append(len(self.entries) - 1)
-        self.han.sort(key=lambda x: -len(x[0]))
+        self.kept = frozenset((FILLERS | JOINERS) & self.joined.keys()) if kept is None else kept
         self.word_tree, self.joined_tree = BkTree(self.by_word), BkTree(self.joined)
-        self.longest = max(map(len, [*self.by_word, *self.joined]), default=0) + max(map(len, JOINED_BEFORE)) + max(map(len, JOINED_AFTER))
+        self.longest = max(longest, *map(len, [*self.by_word, *self.joined]), 0) + max(map(len, JOINED_BEFORE)) + max(map(len, JOINED_AFTER))
         self.prefixes: dict[str, list[str]] = {}
         for x in self.by_word:
             for k in range(2, len(x)):
                 self.prefixes.setdefault(x[:k], []).append(x)
         self.near = lru_cache(200_000)(self._near)
 
-    def _near(self, token: str) -> tuple[tuple[str, float], ...]:
-        """(reference word, cost) that the token may write."""
+    def _near(self, token: str, known: bool) -> tuple[tuple[str, float], ...]:
+        """(reference word, cost) that the token may write; a word known in another shard writes nothing else."""
         got: dict[str, float] = {}
         if token in self.by_word:
             return ((token, 0.0),)
+        if known:
+            return ()
         if len(token) > 2 * self.longest:
             return ()  # no edit threshold reaches that far
         most = max(threshold(len(token)), threshold(len(token) + 2)) if len(token) > 3 else 1 if len(token) == 3 else 0
@@ -188,19 +222,16 @@ class Matcher:
             got[w] = min(got.get(w, 9.0), 0.2)
         return tuple(got.items())
 
-    def candidates(self, value: str) -> list[tuple[int, float, int, int]]:
-        """(canon_id, cost, mask of the value's words used, number of words that aren't fillers)."""
-        if _HAN.search(value):
-            got = self._han(value)
-            if got or not regex.search(r"\p{Latin}{2}", value):
-                return got
-            value = _HAN.sub(" ", value)  # other words around a value in Latin letters
-        tokens = [t for t in words(value) if t not in FILLERS or t in self.joined]
+    def part(self, value: str, known: frozenset[str] = frozenset()) -> Part:
+        named = "".join(words(value)) in self.joined
+        han, han_near = self._han(value) if _HAN.search(value) else ([], [])
+        value = _latin(value)
+        tokens = [t for t in words(value) if t not in FILLERS or t in self.kept]
         if not tokens:
             tokens = words(value)
-        content = [t for t in tokens if t not in JOINERS or t in self.joined]
+        content = [t for t in tokens if t not in JOINERS or t in self.kept]
         out: dict[tuple[int, int], float] = {}
-        near = [dict(self.near(t)) for t in content]
+        near = [dict(self.near(t, t in known)) for t in content]
         for e in {e for n in near for w in n for e in self.by_word[w]}:
             cid, form = self.entries[e]
             got = self._align(form, near, content)
@@ -212,23 +243,24 @@ class Matcher:
         for j in dict.fromkeys([joined, self._bare(joined)]):
             for cid in self.joined.get(j, ()):
                 out[cid, everything] = 0.0
-        if len(joined) <= 2 * self.longest and not any(mask == everything and cost < 1 + len(joined) / 8 for (_, mask), cost in out.items()):
+        more: dict[tuple[int, int], float] = {}
+        if joined and len(joined) <= 2 * self.longest and not _good(out, len(content), len(joined)):
             for j in dict.fromkeys([joined, self._bare(joined)]):
                 for key, d in self.joined_tree.within(j, self._joined_threshold(j)):
                     if d <= (max(1, len(key) // 5) if key in self.several else threshold(len(key))):
                         cost = d + 0.01 + (0.4 if key[0] != j[0] else 0.0)
                         for cid in self.joined[key]:
-                            out[cid, everything] = min(out.get((cid, everything), 99.0), cost)
+                            more[cid, everything] = min(more.get((cid, everything), 99.0), cost)
                 for cid, form in self.entries if len(j) > 3 else ():
                     if len(form) > 1 and j[0] == form[0][0] and _shortened_run(j, form):
-                        out[cid, everything] = min(out.get((cid, everything), 99.0), SHORTENED)
+                        more[cid, everything] = min(more.get((cid, everything), 99.0), SHORTENED)
                 if len(j) > 6:
                     for key in self.several:
                         if key.startswith(j):
                             cost = MISSING + (0.0 if 5 * len(j) >= 3 * len(key) else WEAK)
                             for cid in self.joined[key]:
-                                out[cid, everything] = min(out.get((cid, everything), 99.0), cost)
-        return [(cid, cost, mask, len(content)) for (cid, mask), cost in out.items()]
+                                more[cid, everything] = min(more.get((cid, everything), 99.0), cost)
+        return Part(named, han, han_near, out, more, len(content), len(joined))
 
     @staticmethod
     def _joined_threshold(j: str) -> int:
@@ -274,19 +306,49 @@ class Matcher:
         strong = any(w in n and n[w] != CLIPPED and w not in SIDES.values() for w in form for n in near)
         return (best[0], best[1]) if strong else None
 
-    def _han(self, value: str) -> list[tuple[int, float, int, int]]:
-        text, out, k = "".join(words(value)), [], 0
-        rest = text
-        for key, cid in self.han:
-            if key in rest:
-                out.append((cid, 0.0, 1 << k, 1))
-                rest = rest.replace(key, " ")
-                k += 1
-        if not out:
-            for key, cid in self.han:
-                if len(key) >= 4 and abs(len(key) - len(text)) <= 1 and distance(key, text) <= 1:
-                    out.append((cid, 1.0, 1, 1))
-        return out
+    def _han(self, value: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, float]]]:
+        """Han spellings inside the value, and those it may misspell."""
+        text = "".join(words(value))
+        inside = [(key, cids) for key, cids in self.han.items() if key in text]
+        if inside:
+            return inside, []
+        return [], [(cid, 1.0) for key, cids in self.han.items() if len(key) >= 4 and abs(len(key) - len(text)) <= 1 and distance(key, text) <= 1 for cid in cids]
+
+
+def _latin(value: str) -> str:
+    """The value without Han characters, if other words in Latin letters are around them; else it names nothing by words."""
+    if not _HAN.search(value):
+        return value
+    return _HAN.sub(" ", value) if regex.search(r"\p{Latin}{2}", value) else ""
+
+
+def han_candidates(value: str, parts: list[Part]) -> list[tuple[int, float, int, int]]:
+    """The longest Han spellings inside the value, each taken out of it before a shorter one is looked for; else the misspelled ones."""
+    out, rest, k = [], "".join(words(value)), 0
+    inside: dict[str, list[int]] = {}
+    for p in parts:
+        for key, cids in p.han:
+            inside.setdefault(key, []).extend(cids)
+    for key in sorted(inside, key=lambda x: (-len(x), x)):
+        if key in rest:
+            out.extend((cid, 0.0, 1 << k, 1) for cid in sorted(set(inside[key])))
+            rest = rest.replace(key, " ")
+            k += 1
+    return out or [(cid, cost, 1, 1) for p in parts for cid, cost in p.han_near]
+
+
+def candidates(value: str, parts: list[Part]) -> list[tuple[int, float, int, int]]:
+    """(canon_id, cost, mask of the value's words used, number of words that aren't fillers) of the parts of the whole list."""
+    if got := han_candidates(value, parts):
+        return got
+    out: dict[tuple[int, int], float] = {}
+    for p in parts:
+        out.update(p.first)
+    if not _good(out, parts[0].n, parts[0].letters):
+        for p in parts:
+            for key, cost in p.second.items():
+                out[key] = min(out.get(key, 99.0), cost)
+    return [(cid, cost, mask, parts[0].n) for (cid, mask), cost in out.items()]
 
 
 def decide(candidates: list[tuple[int, float, int, int]]) -> int:
@@ -308,26 +370,36 @@ def decide(candidates: list[tuple[int, float, int, int]]) -> int:
     return cid
 
 
+def asked(value: str) -> list[str]:
+    """The value and, if words stand on both sides of a joiner, the texts before and after it."""
+    tokens = words(value)
+    at = next((i for i, t in enumerate(tokens[:-1]) if i and t in JOINERS), None)
+    return [value] if at is None else [value, " ".join(tokens[:at]), " ".join(tokens[at + 1 :])]
+
+
+def conclude(value: str, parts: list[list[Part]], kept: frozenset[str]) -> int:
+    """The entry of a value from the parts of each of its asked texts."""
+    if len(parts) > 1 and not han_candidates(value, parts[0]) and not any(p.named for p in parts[0]):
+        left, right = (decide(candidates(t, p)) for t, p in zip(asked(value)[1:], parts[1:]))
+        return left if left == right else UNMATCHED
+    got = candidates(value, parts[0])
+    cid = decide(got)
+    if cid == UNMATCHED or _HAN.search(value):
+        return cid
+    best = max((c for c in got if c[0] == cid), key=lambda c: (bin(c[2]).count("1"), -c[1], -c[2]))
+    tokens = words(value)
+    content = [t for t in tokens if t not in FILLERS or t in kept] or tokens
+    left = [t for i, t in enumerate([t for t in content if t not in JOINERS or t in kept]) if not best[2] >> i & 1]
+    # a word of side beside the entry names another one
+    return UNMATCHED if any(t in ("left", "right", "upper", "lower") for t in left) else cid
+
+
 class _Decider:
     def __init__(self, matcher: Matcher):
         self.matcher = matcher
 
     def __call__(self, value: str) -> int:
-        tokens = words(value)
-        m = self.matcher
-        if not self.matcher._han(value) and any(t in JOINERS for t in tokens[1:-1]) and "".join(tokens) not in m.joined:
-            at = next(i for i, t in enumerate(tokens) if i and t in JOINERS)
-            left, right = decide(m.candidates(" ".join(tokens[:at]))), decide(m.candidates(" ".join(tokens[at + 1 :])))
-            return left if left == right else UNMATCHED
-        got = m.candidates(value)
-        cid = decide(got)
-        if cid == UNMATCHED:
-            return cid
-        best = max((c for c in got if c[0] == cid), key=lambda c: (bin(c[2]).count("1"), -c[1]))
-        content = [t for t in tokens if t not in FILLERS or t in m.joined] or tokens
-        left = [t for i, t in enumerate([t for t in content if t not in JOINERS or t in m.joined]) if not best[2] >> i & 1]
-        # a word of side beside the entry names another one
-        return UNMATCHED if not _HAN.search(value) and any(t in ("left", "right", "upper", "lower") for t in left) else cid
+        return conclude(value, [[self.matcher.part(t)] for t in asked(value)], self.matcher.kept)
 
 
 def spellings(reference: DataFrame) -> DataFrame:
@@ -351,20 +423,47 @@ def match_values(values: DataFrame, reference: DataFrame, broadcast_entries: int
         # few bytes, much work: spread over all cores, whatever the size
         parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         return values.select("value").repartition(parts).mapInPandas(run, "value string, canon_id bigint")
+    scratch = Scratch(spark, "spellings")
+    listed = scratch.keep(texts.mapInPandas(_listed, "canon_id bigint, text string, words array<string>, keys array<string>"))
+    known = listed.select(F.explode("words").alias("word")).distinct()
+    several = listed.filter("size(keys) > 1").select(F.explode("keys").alias("key")).distinct()
+    keys = listed.select(F.explode("keys").alias("key"))
+    kept = frozenset(r["key"] for r in keys.filter(F.col("key").isin(sorted(FILLERS | JOINERS))).distinct().collect())
+    longest = keys.unionAll(known.select("word")).agg(F.max(F.char_length("key"))).first()[0] or 0
+    # a spelling of one word that other entries write in several
+    listed = listed.join(several, F.when(F.size("keys") == 1, F.get("keys", F.lit(0))) == F.col("key"), "left").select("canon_id", "text", "key")
+    written = values.select("value").mapInPandas(_written, "value string, word string").join(known, "word", "left_semi").groupBy("value").agg(F.collect_set("word").alias("known"))
     # every value meets every shard of the list, and a shard's part of the values is bounded by the slices
-    listed = texts.withColumn("shard", F.pmod(F.xxhash64("canon_id"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    asked = values.select("value").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
+    listed = listed.withColumn("shard", F.pmod(F.xxhash64("canon_id"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    every = values.select("value").join(written, "value", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        m = Matcher(list(zip(b["canon_id"], b["text"])))
-        rows = [(v, [list(map(float, c)) for c in m.candidates(v)]) for v in a["value"]]
+        m = Matcher(list(zip(b["canon_id"], b["text"])), kept, longest, frozenset(b["key"].dropna()))
+        rows = []
+        for v, k in zip(a["value"], a["known"]):
+            k = frozenset(() if k is None else k)
+            rows.append((v, pickle.dumps([tuple(m.part(t, k)) for t in asked(v)])))
         return pd.DataFrame(rows, columns=["value", "got"])
 
-    def merge(got: pd.Series) -> pd.Series:
-        return got.map(lambda shards_: decide([(int(c[0]), c[1], int(c[2]), int(c[3])) for s in shards_ for c in s]))
+    def merge(value: pd.Series, got: pd.Series) -> pd.Series:
+        return pd.Series([conclude(v, [[Part(*p) for p in text] for text in zip(*map(pickle.loads, g))], kept) for v, g in zip(value, got)], dtype="int64")
+
+    met = every.groupBy("shard", "slice").cogroup(listed.groupBy("shard", "slice")).applyInPandas(meet, "value string, got binary")
+    return met.groupBy("value").agg(F.collect_list("got").alias("got")).select("value", F.pandas_udf(merge, "bigint")("value", "got").alias("canon_id"))
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spellings with the words and joined keys they add to the list; those in Han characters add none."""
+    for b in batches:
+        split = [[] if _HAN.search(t) else words(t) for t in b["text"]]
+        yield b.assign(words=[sorted({x for f in _forms(w) for x in f}) if w else [] for w in split], keys=[_keys(w) for w in split])[["canon_id", "text", "words", "keys"]]
+
 
-    met = asked.groupBy("shard", "slice").cogroup(listed.groupBy("shard", "slice")).applyInPandas(meet, "value string, got array<array<double>>")
-    return met.groupBy("value").agg(F.collect_list("got").alias("got")).select("value", F.pandas_udf(merge, "bigint")("got").alias("canon_id"))
+def _written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word of each value, once, as the texts asked for it hold them."""
+    for b in batches:
+        rows = [(v, w) for v in b["value"] for w in sorted({w for t in asked(v) for w in words(_latin(t))})]
+        yield pd.DataFrame(rows, columns=["value", "word"])
 
 
 def found(results: DataFrame, reference: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -53,6 +53,24 @@ def test_cases(spark, entries):
     assert not {k for k in wrong if entries} and len(wrong) <= 4
 
 
+BOTH = {
+    **WANT, "tumor or xyz": -1, "left kidney upper": -1, "tumor or neoplasm": 7, "cyst vs tumor": -1, "tumor": 7, "cysts": 8, "left atrium or left kidney": -1, "uterus": 14, "uterine": -1, "plus": 15, "plus plus": 15,
+    "左肾上腺": 16, "左肾上腺皮质": 16, "左肾上腺和心脏": -1, "左肾tumor": 1, "heartattack": 17, "hartattack": 17, "heartbeat": -1, "hertbaet": 19, "word " * 1200 + "left kidney": 1,
+}
+MORE = [(14, "Uterus", []), (15, "Plus", []), (16, "左肾上腺", []), (17, "Heart Attack", []), (18, "Heart Beat", []), (19, "Heartbeat", []), (20, "Ureters", [])]
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_shards_give_what_the_whole_list_gives(spark, shards):
+    more = spark.createDataFrame(MORE, "canon_id bigint, label string, aliases array<string>")
+    every = ref(spark).drop("value").unionByName(more)
+    values = spark.createDataFrame([(k,) for k in BOTH], "value string")
+    whole = {r.value: r.canon_id for r in V.match_values(values, every).collect()}
+    got = {r.value: r.canon_id for r in V.match_values(values, every, broadcast_entries=0, shards=shards).collect()}
+    assert got == whole
+    assert {k[-40:]: (got[k], w) for k, w in BOTH.items() if got[k] != w} == {}
+
+
 def test_found(spark):
     rows = [(1, "Heart", "hart"), (2, None, " - "), (3, "heart", "Heart"), (4, "??", "zzz"), (5, "", None)]
     df = spark.createDataFrame(rows, "gen_id bigint, answer string, normalized_generation string").withColumn("field_name", F.lit("x")).withColumn("canon_id", F.lit(0))
