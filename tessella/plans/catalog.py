@@ -375,12 +375,22 @@ def gold_in_candidates(spark, d):
 
 @register(f"{_OPTS}, v AS (SELECT count(*) AS n FROM (SELECT {_strip('answer')} AS value, count(*) AS k, min(rec_id) AS fp FROM qa_record WHERE upper(answer_type) = 'CLOSED' AND coalesce(lower(split), 'train') IN ('', 'train') AND lower({_strip('answer')}) NOT IN ('yes','no','') GROUP BY 1 ORDER BY k DESC, fp LIMIT 20)), c AS (SELECT rec_id, {_ROUTE} AS route, len(options) AS k FROM opts WHERE upper(answer_type) = 'CLOSED') SELECT rec_id, route, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_labels, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_bases FROM c, v")
 def closed_candidates(spark, d):
-    vocab = F.array(*[F.lit(r["value"]) for r in closed_vocabulary(spark, d, 20).collect()]).cast("array<string>")  # capped vocabulary
+    return _candidate_counts(spark, d, 20)  # capped vocabulary
+
+
+def _candidate_counts(spark: SparkSession, d: str, k: int) -> DataFrame:
+    vocab = F.array(*[F.lit(r["value"]) for r in closed_vocabulary(spark, d, k).collect()]).cast("array<string>")
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED")
     c = r.withColumn("o", O.parse_options(F.col("question"))).select("rec_id", O.closed_candidates(F.col("question"), F.col("answer"), vocab, options=F.col("o")).alias("c"))
     return c.select("rec_id", "c.route", F.size("c.labels").alias("n_labels"), F.size("c.variants").alias("n_bases"))
 
 
+@register(ORACLE["closed_candidates"].replace(" LIMIT 20)", " LIMIT 200)"))
+def closed_candidates_whole(spark, d):
+    """closed_candidates with the whole vocabulary of the operator, 200 labels."""
+    return _candidate_counts(spark, d, 200)
+
+
 @register("WITH b AS (SELECT canon_id, label, [label, lower(label), upper(substr(label,1,1)) || lower(substr(label,2))] AS f FROM canonical_answer) SELECT canon_id, len(list_distinct(list_concat(f, list_transform(f, lambda x: ' ' || x)))) * 4 AS n_variants FROM b")
 def candidate_variants(spark, d):
     return table(spark, d, "canonical_answer").select("canon_id", F.size(O.candidate_variants(F.col("label"))).cast("bigint").alias("n_variants"))

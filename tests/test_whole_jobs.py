@@ -24,3 +24,10 @@ def test_every_turn_of_an_image(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id bigint, img_id bigint, question string, answer string").write.parquet(str(tmp_path / "qa_record.parquet"))
     got = {(r.img_id, r.turn): r.prompt for r in catalog.QUERIES["conversation_turns"](spark, str(tmp_path)).collect()}
     assert got == {(7, k): f"[INST] q{k} [/INST] a{k} </s>" for k in range(1, 41)} | {(8, 1): "[INST] q [/INST] a </s>"}
+
+
+def test_candidates_beyond_the_twentieth_label(spark, tmp_path):
+    rows = [(k, f"Name thing {k}.", f"label {k % 230}", "CLOSED", "train") for k in range(700)]
+    spark.createDataFrame(rows, "rec_id bigint, question string, answer string, answer_type string, split string").write.parquet(str(tmp_path / "qa_record.parquet"))
+    got = {(r.route, r.n_labels) for r in catalog.QUERIES["closed_candidates_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("vocab", 200)}
