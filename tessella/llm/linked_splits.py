@@ -13,13 +13,17 @@ empty results; only the named columns are read, so extra columns can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.cut import Scratch
+from tessella.plans.cut import Lasting, Scratch, has_rows
 from tessella.plans.spread import spread_join
 
-#: Spellings that stand for "no name".
+#: Records of a deal's cycle, for groups of one record; for groups of 2 ** band records so many times more.
+CYCLE = 40.0
+# Spellings that stand for "no name".
 PLACEHOLDERS = [
     "", "-", "--", "_", "?", ".", "n/a", "na", "nan", "nil", "none", "null", "missing",
     "no image", "no name", "not available", "tbd", "unknown", "undefined", "unnamed", "placeholder",
@@ -41,57 +45,60 @@ def usable_name(name: Column) -> Column:
     return F.when(~x.isin(PLACEHOLDERS), F.regexp_extract(x, r"([^/]+/)?[^/]+$", 0))
 
 
-def boruvka(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def boruvka(edges: DataFrame, scratch: Scratch, store: Scratch | Lasting) -> tuple[DataFrame, list[DataFrame]]:
     """Components of an undirected graph.
 
-    edges: (u, v) with u != v, any comparable type, distinct. Returns the map
-    (node, root), root being one node of the component, for every node that has
-    an edge, and the spanning forest (u, v). Both are written tables.
+    edges: (u, v, via) with u != v, each pair once, ``via`` naming the link that
+    makes the edge. Returns the map (node, root), root being one node of the
+    component, for every node that has an edge, and the rounds of the spanning
+    forest (id_key, name_key, child, parent, degree): component ``child`` joins
+    ``parent`` over the link id_key - name_key; a root is its own parent. Each
+    round is written to ``store``, and what is read back from there is contracted,
+    so the roots follow from the forest as it lies on disk.
     """
     spark = edges.sparkSession
-    live = scratch.keep(edges.select("u", "v", F.col("u").alias("eu"), F.col("v").alias("ev")))
+    live = scratch.keep(edges.select("u", "v", F.struct(F.col("u").alias("u"), F.col("v").alias("v"), "via").alias("e")))
     comp = None
-    forest = []
+    parts = []
     while True:
         # the smallest edge of each component, by a total order of the original edges, so picks make no cycles but mutual ones
-        ends = live.select(F.col("u").alias("c"), F.col("v").alias("other"), "eu", "ev").union(live.select(F.col("v").alias("c"), F.col("u").alias("other"), "eu", "ev"))
-        picked = scratch.keep(ends.groupBy("c").agg(F.min(F.struct("eu", "ev", "other")).alias("e")).select("c", "e.eu", "e.ev", "e.other"))
-        if picked.isEmpty():
+        ends = live.select(F.col("u").alias("c"), F.col("v").alias("other"), "e").union(live.select(F.col("v").alias("c"), F.col("u").alias("other"), "e"))
+        picked = scratch.keep(ends.groupBy("c").agg(F.min(F.struct("e", "other")).alias("x"), F.count("*").alias("deg")).select("c", "x.e.via", F.col("x.e.v").alias("name"), "x.other", "deg"))
+        if not has_rows(picked):
             break
-        forest.append(picked.select(F.col("eu").alias("u"), F.col("ev").alias("v")))
-        # of two components that pick each other the smaller one becomes the root
+        # of two components that pick each other the smaller one becomes the root and has no edge of its own
         back = picked.select(F.col("c").alias("bc"), F.col("other").alias("bo"))
-        step = picked.join(back, (F.col("other") == F.col("bc")) & (F.col("c") == F.col("bo")), "left").select("c", F.when(F.col("bc").isNotNull() & (F.col("c") < F.col("other")), F.col("c")).otherwise(F.col("other")).alias("p"))
-        step = scratch.keep(step)
-        while True:  # pointer jumping until every component points at its root
-            up = step.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            nxt = scratch.keep(step.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            moved = nxt.filter("moved").isEmpty()
-            scratch.drop(step)
-            step = nxt.select("c", "p")
-            step._tessella_path = nxt._tessella_path
-            if moved:
+        root = F.col("bc").isNotNull() & (F.col("c") < F.col("other"))
+        step = picked.join(back, (F.col("other") == F.col("bc")) & (F.col("c") == F.col("bo")), "left").select(F.col("via").alias("id_key"), F.col("name").alias("name_key"), F.col("c").alias("child"), F.when(root, F.col("c")).otherwise(F.col("other")).alias("parent"), F.col("deg").alias("degree"))
+        parts.append(store.keep(step))
+        scratch.drop(picked)
+        to = parts[-1]
+        while True:  # pointer jumping until every component points at its root; a root that many point at is spread
+            nxt = scratch.keep(spread_join(to, to, [("parent", "child")], None, F.xxhash64("child"), [("parent", "up")]).select("child", F.col("up").alias("parent"), "degree", (F.col("parent") != F.col("up")).alias("moved")))
+            still = nxt.filter("moved").isEmpty()
+            if to is not parts[-1]:
+                scratch.drop(to)
+            to = nxt
+            if still:
                 break
-        to = step.select("c", F.col("p"))
         if comp is None:
-            new = scratch.keep(to.select(F.col("c").alias("node"), F.col("p").alias("root")))
+            new = scratch.keep(to.select(F.col("child").alias("node"), F.col("parent").alias("root")))
         else:
-            new = scratch.keep(comp.join(to, comp.root == to.c, "left").select("node", F.coalesce("p", "root").alias("root")))
+            new = scratch.keep(spread_join(comp, to, [("root", "child")], None, F.xxhash64("node"), ["parent"], "left").select("node", F.coalesce("parent", "root").alias("root")))
             scratch.drop(comp)
         comp = new
-        a, b = to.select(F.col("c").alias("u"), F.col("p").alias("ru")), to.select(F.col("c").alias("v"), F.col("p").alias("rv"))
-        rest = live.join(a, "u").join(b, "v").filter("ru <> rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min(F.struct("eu", "ev")).alias("e")).select("u", "v", "e.eu", "e.ev")
+        # a component with very many edges is spread by its degree, which its pick has counted
+        ends = spread_join(spread_join(live, to, [("u", "child")], "degree", F.xxhash64("v"), [("parent", "ru")]), to, [("v", "child")], "degree", F.xxhash64("u"), [("parent", "rv")])
+        rest = ends.filter("ru <> rv").groupBy(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).agg(F.min("e").alias("e"))
         rest = scratch.keep(rest)
         scratch.drop(live)
+        scratch.drop(to)
         live = rest
-        if live.isEmpty():
+        if not has_rows(live):
             break
     if comp is None:
         comp = spark.createDataFrame([], edges.select(F.col("u").alias("node"), F.col("v").alias("root")).schema)
-    span = edges.limit(0).select("u", "v")
-    for part in forest:
-        span = span.union(part)
-    return comp, span.distinct()
+    return comp, parts
 
 
 def _pairs(records: DataFrame) -> DataFrame:
@@ -100,29 +107,34 @@ def _pairs(records: DataFrame) -> DataFrame:
     return got.withColumns({"ik": F.concat(F.lit("i"), usable_id(F.col("img_id")).cast("string")), "nk": F.concat(F.lit("n"), usable_name(F.col("img_name")))})
 
 
-def image_groups(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def image_groups(records: DataFrame, scratch: Scratch, forest_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups of records that share an image.
 
     records: rec_id, img_id, img_name. Returns, as written tables, the literal
     pairs (img_id, img_name, ik, nk, n, group_id, size, same), where size counts
     the group's records and same tells that all have this one literal pair, and
-    the spanning forest. Pairs with no usable key are left out: each of their
-    records is its own group.
+    the spanning forest (id_key, name_key, child, parent, degree), which stays at
+    forest_path for good if that is given. Pairs with no usable key are left out: each of their records is its
+    own group.
     """
     pairs = scratch.keep(_pairs(records).filter("ik is not null or nk is not null"))
-    edges = pairs.filter("ik is not null and nk is not null").select("ik", "nk").distinct()
+    edges = scratch.keep(pairs.filter("ik is not null and nk is not null").groupBy("ik", "nk").agg(F.count("*").alias("n")))
     # the first round for the id side: every id picks its smallest name and is contracted into it
-    first = scratch.keep(edges.groupBy("ik").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi")))
-    several = first.filter("lo <> hi").select("ik", "lo")
-    names = scratch.keep(edges.join(several, "ik").filter("nk <> lo").groupBy(F.col("lo").alias("u"), F.col("nk").alias("v")).agg(F.min("ik").alias("ik")))
-    comp, span = boruvka(names.select("u", "v"), scratch)
-    forest = first.select(F.col("ik").alias("u"), F.col("lo").alias("v")).union(names.join(span, ["u", "v"]).select(F.col("ik").alias("u"), "v"))
-    lone = first.select(F.col("ik").alias("_ik"), "lo")
-    linked = pairs.filter("nk is not null").withColumn("node", F.col("nk")).unionByName(pairs.filter("nk is null").join(lone, F.col("ik") == F.col("_ik"), "left").select(*pairs.columns, F.coalesce("lo", "ik").alias("node")))
-    root = F.coalesce(F.col("root"), F.col("_node"))
-    linked = linked.withColumnRenamed("node", "_node").join(comp, F.col("_node") == F.col("node"), "left").select("img_id", "img_name", "ik", "nk", "first", "n", root.alias("root"))
-    groups = linked.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("n").alias("size"), (F.count("*") == 1).alias("same"))
-    return scratch.keep(linked.join(groups, "root").select("img_id", "img_name", "ik", "nk", "n", "group_id", "size", "same")), forest
+    first = scratch.keep(edges.groupBy("ik").agg(F.min("nk").alias("lo"), F.max("nk").alias("hi"), F.count("*").alias("k")))
+    several = scratch.keep(first.filter("lo <> hi").select("ik", "lo", "k"))
+    store = Lasting(records.sparkSession, forest_path) if forest_path else Scratch(records.sparkSession, "forest")
+    parts = [store.keep(first.select(F.col("ik").alias("id_key"), F.col("lo").alias("name_key"), F.col("ik").alias("child"), F.col("lo").alias("parent"), F.col("k").alias("degree")))]
+    names = scratch.keep(spread_join(edges, several, ["ik"], "k", F.xxhash64("nk"), ["lo"]).filter("nk <> lo").groupBy(F.col("lo").alias("u"), F.col("nk").alias("v")).agg(F.min("ik").alias("via")))
+    comp, rounds = boruvka(names, scratch, store)
+    forest = reduce(DataFrame.unionByName, parts + rounds)
+    nameless = spread_join(pairs.filter("nk is null"), first, ["ik"], None, F.xxhash64("img_name"), ["lo"], "left")
+    linked = pairs.filter("nk is not null").withColumn("node", F.col("nk")).unionByName(nameless.withColumn("node", F.coalesce("lo", "ik")).drop("lo"))
+    linked = scratch.keep(spread_join(linked, comp, ["node"], None, F.xxhash64("img_id", "img_name"), ["root"], "left").select("img_id", "img_name", "ik", "nk", "first", "n", F.coalesce("root", "node").alias("root")))
+    groups = scratch.keep(linked.groupBy("root").agg(F.min("first").alias("group_id"), F.sum("n").alias("size"), (F.count("*") == 1).alias("same"), F.count("*").alias("k")))
+    out = scratch.keep(spread_join(linked, groups, ["root"], "k", F.xxhash64("img_id", "img_name"), ["group_id", "size", "same"]).select("img_id", "img_name", "ik", "nk", "n", "group_id", "size", "same"))
+    for t in (pairs, edges, first, several, names, comp, linked, groups):
+        scratch.drop(t)
+    return out, forest
 
 
 def attach(records: DataFrame, pairs: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
@@ -146,62 +158,73 @@ def found(records: DataFrame) -> DataFrame:
     return got.select("rec_id", "group_id")
 
 
-def spanning_forest(records: DataFrame) -> DataFrame:
-    """(id_key, name_key): the links that alone hold every group together."""
-    scratch = Scratch(records.sparkSession, "linked")
-    _, forest = image_groups(records, scratch)
-    return forest.select(F.col("u").alias("id_key"), F.col("v").alias("name_key"))
+def spanning_forest(records: DataFrame, path: str | None = None) -> DataFrame:
+    """(id_key, name_key): the links that alone hold every group together; the forest stays at path, if that is given."""
+    _, forest = image_groups(records, Scratch(records.sparkSession, "linked"), path)
+    return forest.filter("child <> parent").select("id_key", "name_key")
 
 
 def deal(groups: DataFrame, shares: dict[str, float], seed: int = 17) -> DataFrame:
-    """(group_id, split) for groups (group_id, size).
+    """(group_id, pairs, split) for groups (group_id, pairs, size).
 
     Groups above a hundredth of all records go to the split that is furthest
-    below its share, largest first: at most a hundred of them. The others are
-    banded by powers of two of their size and dealt along each band in a
-    seeded order, by running record count, to the shares that are left.
+    below its share, largest first: fewer than a hundred of them. The others are
+    banded by powers of two of their size and stand in each band in a seeded
+    order. A band is dealt systematically, by running record count, in cycles of
+    all splits, as far as its cycles are whole; what is left of all bands makes
+    one more cycle, from a seeded start. So no split gains where bands are sparse.
     """
     total = groups.agg(F.sum("size")).first()[0] or 0
     large = groups.filter(F.col("size") > total / 100).orderBy(F.desc("size"), "group_id").collect()  # fewer than 100 rows
     left = {k: p * total for k, p in shares.items()}
-    placed = {}
+    placed = []
     for r in large:
         k = max(left, key=lambda x: (left[x] - r["size"], left[x]))
-        placed[r["group_id"]] = k
+        placed.append((r["group_id"], r["pairs"], k))
         left[k] -= r["size"]
     rest = sum(max(0.0, x) for x in left.values()) or 1.0
     cuts, run = [], 0.0
     for k, x in left.items():
         run += max(0.0, x) / rest
         cuts.append((k, run))
-    small = groups.filter(F.col("size") <= total / 100).select("group_id", "size", F.floor(F.log2("size")).cast("int").alias("band"), F.xxhash64(F.lit(seed), "group_id").alias("h"))
-    small = small.withColumn("slice", F.pmod("h", F.lit(256)).cast("int"))
+    small = groups.filter(F.col("size") <= total / 100).select("group_id", "pairs", "size", F.floor(F.log2("size")).cast("int").alias("band"), F.xxhash64(F.lit(seed), "group_id").alias("h"))
+    slices = max(256, groups.count() // 500_000)
+    small = small.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int"))
     inner = Window.partitionBy("band", "slice").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, -1)
-    small = small.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    # at most 64 bands x 256 slices
+    # at most 64 bands x slices
     outer = Window.partitionBy("band").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = small.groupBy("band", "slice").agg(F.sum("size").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(outer), F.lit(0))).drop("s")
-    at = (F.col("base") + F.col("before") + F.col("size") / 2) / (F.lit(20.0) * F.pow(F.lit(2.0), F.col("band")))
-    u = at - F.floor(at)
+    cycle = F.lit(CYCLE) * F.pow(F.lit(2.0), F.col("band"))
+    bands = small.groupBy("band").agg(F.sum("size").alias("s")).withColumn("whole", F.floor(F.col("s") / cycle) * cycle).orderBy(F.desc("band")).collect()  # at most 64 rows
+    over, before = sum(r["s"] - r["whole"] for r in bands) or 1.0, 0.0
+    where = []
+    for r in bands:
+        where.append((r["band"], float(r["whole"]), before / over))
+        before += r["s"] - r["whole"]
+    table = groups.sparkSession.createDataFrame(where, "band int, whole double, start double")
+    at = F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2
+    lined = small.join(F.broadcast(base), ["band", "slice"]).join(F.broadcast(table), "band").withColumn("at", at)
+    turn = F.when(F.col("at") < F.col("whole"), F.col("at") / cycle).otherwise(F.col("start") + (F.col("at") - F.col("whole")) / over + F.pmod(F.xxhash64(F.lit(seed)), F.lit(1000)) / 1000)
+    u = turn - F.floor(turn)
     pick = F.lit(cuts[-1][0])
     for k, c in reversed(cuts[:-1]):
         pick = F.when(u < c, k).otherwise(pick)
-    dealt = small.join(F.broadcast(base), ["band", "slice"]).select("group_id", pick.alias("split"))
+    dealt = lined.select("group_id", "pairs", pick.alias("split"))
     if not placed:
         return dealt
-    rows = groups.sparkSession.createDataFrame(list(placed.items()), "group_id bigint, split string")
-    return dealt.union(rows)
+    return dealt.union(groups.sparkSession.createDataFrame(placed, "group_id bigint, pairs bigint, split string"))
 
 
-def splits(records: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """(rec_id, group_id, split) of every record, all records of a group in one split."""
+def splits(records: DataFrame, shares: dict[str, float] | None = None, forest_path: str | None = None) -> DataFrame:
+    """(rec_id, group_id, split) of every record, all records of a group in one split; the forest stays at forest_path, if that is given."""
     scratch = Scratch(records.sparkSession, "linked")
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
-    pairs, _ = image_groups(records, scratch)
+    pairs, _ = image_groups(records, scratch, forest_path)
     lone = records.filter(usable_id(F.col("img_id")).isNull() & usable_name(F.col("img_name")).isNull())
-    groups = pairs.select("group_id", "size").distinct().union(lone.select(F.col("rec_id").alias("group_id"), F.lit(1).cast("bigint").alias("size")))
+    one = F.lit(1).cast("bigint")
+    groups = pairs.groupBy("group_id", "size").agg(F.count("*").alias("pairs")).union(lone.select(F.col("rec_id").alias("group_id"), one.alias("size"), one.alias("pairs")))
     dealt = scratch.keep(deal(scratch.keep(groups), shares))
-    named = scratch.keep(pairs.join(dealt, "group_id").select("img_id", "img_name", "n", "group_id", "split"))
+    named = scratch.keep(spread_join(pairs.select("img_id", "img_name", "n", "group_id"), dealt, ["group_id"], "pairs", F.xxhash64("img_id", "img_name"), ["split"]))
     linked = attach(records.select("rec_id", "img_id", "img_name").filter(usable_id(F.col("img_id")).isNotNull() | usable_name(F.col("img_name")).isNotNull()), named, ["group_id", "split"])
-    alone = lone.select("rec_id").join(dealt, F.col("rec_id") == F.col("group_id")).select("rec_id", "group_id", "split")
+    alone = lone.select("rec_id").join(dealt.select("group_id", "split"), F.col("rec_id") == F.col("group_id")).select("rec_id", "group_id", "split")
     return linked.select("rec_id", "group_id", "split").union(alone)

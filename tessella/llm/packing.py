@@ -3,15 +3,19 @@
 Items larger than the capacity are cut into full containers and a rest; nothing
 else is divided. The exact global histogram of piece lengths (at most one entry
 per length up to the capacity) goes to the driver, where dynamic programming
-chooses the length buckets of least padding. Batches form inside each bucket,
-longest bucket first, up to the token budget; what space a batch leaves is
-topped up with the longest pieces of shorter buckets that still fit. The plan
-is a list of runs, "pieces of this length number a to b go to containers from c
-on, k in each", and pieces find their container by their number, so no task
-ever sees more than its own pieces.
-
-Defined cases: items of no length ride in the first container; an empty table
-gives an empty result; a capacity below 1 is an error.
+chooses the length buckets of least padding. Token-budget batches form inside
+each bucket, longest bucket first: as many pieces as fit the capacity if each
+is counted with its bucket's upper length. A second step tops up the space that
+a batch really leaves, with the longest pieces of shorter buckets that fit; it
+is there because batches alone leave the padding and the remainder unused. The
+plan is a list of runs, "pieces of this length number a to b go to containers
+from c on, k in each", and pieces find their container by their number, so no
+task ever sees more than its own pieces. All budgets are planned and packed in
+one pass.
+
+Defined cases: items of no length, and null lengths, take no space and are spread
+over the containers (the first, if there is no other); an empty table gives an
+empty result; a capacity below 1 is an error.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Length buckets of a plan.
 BUCKETS = 32
-#: Slices in which pieces of one length are numbered.
-SLICES = 64
+#: Slices in which pieces of one length are numbered, at least, and pieces of one length and slice, about, at most.
+SLICES, PER_SLICE = 64, 500_000
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, k: int = BUCKETS) -> list[int]:
@@ -80,27 +84,39 @@ def plan(hist: dict[int, int], capacity: int, k: int = BUCKETS) -> tuple[list[tu
     left = np.array([hist[int(x)] for x in lengths], np.int64)
     used = np.zeros(len(lengths), np.int64)
     runs, container = [], 0
-    live = list(range(len(lengths)))  # positions with pieces left, ascending
-    while live:
-        # a batch: longest pieces first, within the bucket and then from shorter ones
-        space, take = capacity, []
-        hi = len(live)
-        while hi and space >= lengths[live[0]]:
-            at = _last_fit(lengths, live, hi, space)
-            if at < 0:
-                break
-            p = live[at]
-            n = int(min(space // lengths[p], left[p]))
-            take.append((p, n))
-            space -= n * int(lengths[p])
-            hi = at
-        times = int(min(left[p] // n for p, n in take))
-        for p, n in take:
-            runs.append((int(lengths[p]), int(used[p]), int(used[p] + n * times), container, n))
-            used[p] += n * times
-            left[p] -= n * times
-        container += times
-        live = [p for p in live if left[p]]
+    ends = np.searchsorted(lengths, bounds, side="right")  # positions of bucket i are ends[i - 1] to ends[i]
+    for i in range(len(bounds) - 1, -1, -1):
+        inside = [p for p in range(int(ends[i - 1]) if i else 0, int(ends[i])) if left[p]]
+        shorter = [p for p in range(int(ends[i - 1]) if i else 0) if left[p]]
+        slots = max(1, capacity // bounds[i])
+        while inside:
+            # the batch: pieces of this bucket, longest first, one in each padded slot
+            take, places = [], slots
+            for p in reversed(inside):
+                n = int(min(places, left[p]))
+                take.append((p, n))
+                places -= n
+                if not places:
+                    break
+            # the second step: what the batch really leaves
+            space = capacity - sum(n * int(lengths[p]) for p, n in take)
+            hi = len(shorter)
+            while hi and space >= lengths[shorter[0]]:
+                at = _last_fit(lengths, shorter, hi, space)
+                if at < 0:
+                    break
+                p = shorter[at]
+                n = int(min(space // lengths[p], left[p]))
+                take.append((p, n))
+                space -= n * int(lengths[p])
+                hi = at
+            times = int(min(left[p] // n for p, n in take))
+            for p, n in take:
+                runs.append((int(lengths[p]), int(used[p]), int(used[p] + n * times), container, n))
+                used[p] += n * times
+                left[p] -= n * times
+            container += times
+            inside, shorter = [p for p in inside if left[p]], [p for p in shorter if left[p]]
     return runs, bound_of, container
 
 
@@ -115,51 +131,56 @@ def _last_fit(lengths: np.ndarray, live: list[int], hi: int, space: int) -> int:
     return lo - 1
 
 
-def pack(items: DataFrame, capacity: int, k: int = BUCKETS) -> DataFrame:
-    """(doc_id, piece_no, start_pos, n_tokens, bucket, container_id) for items (doc_id, n_tokens).
+def pack_budgets(items: DataFrame, budgets: DataFrame, k: int = BUCKETS) -> DataFrame:
+    """(budget_id, doc_id, piece_no, start_pos, n_tokens, bucket, container_id) for items (doc_id, n_tokens) and every row of budgets (budget_id, capacity), a fixed table.
 
     start_pos is the first token of the piece in its item; container_id counts
-    from 1; bucket is the upper length of the piece's bucket.
+    from 1 in each budget; bucket is the upper length of the piece's bucket.
     """
-    if capacity < 1:
-        raise ValueError("capacity must be at least 1")
     spark = items.sparkSession
-    full = F.floor(F.col("n_tokens") / capacity)
-    rest = F.col("n_tokens") % capacity
-    count = F.greatest(F.lit(1), full + F.when(rest > 0, 1).otherwise(0)).cast("int")
-    pieces = items.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), count)).alias("piece_no")).select(
-        "doc_id", "piece_no", ((F.col("piece_no") - 1) * F.lit(capacity)).cast("bigint").alias("start_pos"), F.least(F.lit(capacity), F.col("n_tokens") - (F.col("piece_no") - 1) * capacity).cast("int").alias("len"))
-    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SLICES)).cast("int"))
-    part = pieces.groupBy("len", "slice").agg(F.count("*").alias("n"))
-    hist = {r["len"]: r["n"] for r in part.groupBy("len").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
-    # per length at most SLICES rows
-    earlier = Window.partitionBy("len").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select("len", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    runs, bound_of, _ = plan({x: n for x, n in hist.items() if x > 0}, capacity, k)
-    by_len: dict[int, list] = {}
-    for x, a, b, c, m in runs:
-        by_len.setdefault(x, []).append((a, b, c, m))
-    table = spark.createDataFrame([(x, bound_of[x], r) for x, r in by_len.items()], "len int, bucket int, runs array<struct<a:bigint,b:bigint,c:bigint,m:bigint>>")
-    number = F.row_number().over(Window.partitionBy("len", "slice").orderBy("doc_id", "piece_no")) - 1
-    numbered = pieces.withColumn("no", number).join(offsets, ["len", "slice"]).withColumn("no", F.col("no") + F.col("base"))
-    # the plan is bounded by the capacity, whatever the number of items
-    placed = numbered.join(F.broadcast(table), "len", "left")
-    # runs ascend by their first number; the last that begins at or before the piece holds it
+    wanted = {r["budget_id"]: r["capacity"] for r in budgets.select("budget_id", "capacity").collect()}
+    if not wanted:
+        raise ValueError("no budgets")
+    if min(wanted.values()) < 1:
+        raise ValueError("capacity must be at least 1")
+    size, capacity = F.coalesce("n_tokens", F.lit(0)), F.col("b.capacity")
+    count = F.greatest(F.lit(1), F.ceil(size / capacity)).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity")) for b, c in sorted(wanted.items())])).alias("b")
+    pieces = items.select("doc_id", size.alias("n_tokens"), each).select("doc_id", "n_tokens", "b", F.explode(F.sequence(F.lit(1), count)).alias("piece_no"))
+    pieces = pieces.select("b.budget_id", "doc_id", "piece_no", ((F.col("piece_no") - 1) * capacity).cast("bigint").alias("start_pos"), F.least(capacity, F.col("n_tokens") - (F.col("piece_no") - 1) * capacity).cast("int").alias("len"))
+    got = pieces.groupBy("budget_id", "len").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows a budget
+    slices = max(SLICES, -(-max((r["n"] for r in got), default=0) // PER_SLICE))
+    rows, containers = [], []
+    for b, c in wanted.items():
+        runs, bound_of, total = plan({r["len"]: r["n"] for r in got if r["budget_id"] == b and r["len"]}, c, k)
+        by_len: dict[int, list] = {}
+        for x, first, last, at, m in runs:
+            by_len.setdefault(x, []).append((first, last, at, m))
+        rows += [(b, x, bound_of[x], r) for x, r in by_len.items()]
+        containers.append((b, max(1, total)))
+    table = spark.createDataFrame(rows, "budget_id int, len int, bucket int, runs array<struct<a:bigint,b:bigint,c:bigint,m:bigint>>")
+    none = F.create_map(*[F.lit(v) for kv in containers for v in kv])
+    pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(slices)).cast("int"))
+    filled = pieces.filter("len > 0")
+    # per length at most as many rows as slices
+    earlier = Window.partitionBy("budget_id", "len").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = filled.groupBy("budget_id", "len", "slice").agg(F.count("*").alias("n")).select("budget_id", "len", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    number = F.row_number().over(Window.partitionBy("budget_id", "len", "slice").orderBy("doc_id", "piece_no")) - 1
+    numbered = filled.withColumn("no", number).join(offsets, ["budget_id", "len", "slice"]).withColumn("no", F.col("no") + F.col("base"))
+    # the plan is bounded by the capacities, whatever the number of items
+    placed = numbered.join(F.broadcast(table), ["budget_id", "len"])
     run = F.element_at(F.filter("runs", lambda r: (r["a"] <= F.col("no")) & (F.col("no") < r["b"])), 1)
     placed = placed.withColumn("run", run)
-    where = F.when(F.col("len") == 0, F.lit(1)).otherwise(F.col("run.c") + F.floor((F.col("no") - F.col("run.a")) / F.col("run.m")) + 1)
-    return placed.select("doc_id", "piece_no", "start_pos", F.col("len").alias("n_tokens"), F.coalesce("bucket", F.lit(0)).alias("bucket"), where.cast("bigint").alias("container_id"))
+    where = F.col("run.c") + F.floor((F.col("no") - F.col("run.a")) / F.col("run.m")) + 1
+    out = placed.select("budget_id", "doc_id", "piece_no", "start_pos", F.col("len").alias("n_tokens"), "bucket", where.cast("bigint").alias("container_id"))
+    riders = pieces.filter("len = 0").select("budget_id", "doc_id", "piece_no", "start_pos", F.col("len").alias("n_tokens"), F.lit(0).alias("bucket"), (F.pmod(F.xxhash64("doc_id"), none[F.col("budget_id")]) + 1).cast("bigint").alias("container_id"))
+    return out.union(riders)
 
 
-def pack_budgets(items: DataFrame, budgets: DataFrame, k: int = BUCKETS) -> DataFrame:
-    """pack() for every row of budgets (budget_id, capacity), a fixed table; adds budget_id."""
-    out = None
-    for b in budgets.select("budget_id", "capacity").orderBy("budget_id").collect():
-        one = pack(items, b["capacity"], k).select(F.lit(b["budget_id"]).alias("budget_id"), "*")
-        out = one if out is None else out.union(one)
-    if out is None:
-        raise ValueError("no budgets")
-    return out
+def pack(items: DataFrame, capacity: int, k: int = BUCKETS) -> DataFrame:
+    """pack_budgets() for one capacity, without budget_id."""
+    one = items.sparkSession.createDataFrame([(1, capacity)], "budget_id int, capacity int")
+    return pack_budgets(items, one, k).drop("budget_id")
 
 
 def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:

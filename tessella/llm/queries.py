@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import broken_pairs, canonical_values, encoding, format_copies, languages, linked_splits, packing, sentences, split_overlap
 from tessella.llm.oracle import ORACLE
-from tessella.plans.cut import Scratch
+from tessella.plans.cut import Scratch, shared_dir
 from tessella.sources.tables import table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -20,12 +21,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_splits.found(table(spark, d, "qa_record"))
 
 
+def _lasting(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; what is written there stays."""
+    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    return linked_splits.splits(table(spark, d, "qa_record"))
+    return linked_splits.splits(table(spark, d, "qa_record"), forest_path=_lasting(spark, "forest"))
 
 
 def p1_forest(spark: SparkSession, d: str) -> DataFrame:
-    return linked_splits.spanning_forest(table(spark, d, "qa_record"))
+    return linked_splits.spanning_forest(table(spark, d, "qa_record"), _lasting(spark, "forest"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,15 +3,18 @@
 A pushdown automaton reads the marks of each paragraph: a first pass pairs
 quotes and brackets on a stack, so that unclosed ones open nothing; a second
 pass walks the marks, and only at stack depth zero, or where an outermost pair
-closes behind an inner terminator, may a unit end. Dots are looked up in a trie
-of abbreviations read backwards from the dot.
+closes behind an inner terminator, may a unit end. A second stack holds the open
+list levels of the text, by indentation, kind of marker and last number: a line
+that continues a level, or opens one below its heading or parent, begins a unit.
+Dots are looked up in a trie of abbreviations read backwards from the dot. All
+passes are linear in the text.
 
 Positions count code points from 0, end exclusive. Every character outside the
 units is white space.
 
 Defined cases: null, empty and blank texts have no units; a blank line always
-ends a unit; a single line break never does by itself, except between Thai
-phrases, where any white space does; marks that follow a unit with no letter or
+ends a unit; a single line break never does by itself, except before the next
+item of a list and between Thai phrases, where any white space does; marks that follow a unit with no letter or
 digit of their own belong to it.
 """
 
@@ -47,6 +50,8 @@ TERMINAL = ".!?…。！？।॥؟｡"
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "［": "］"}
 CLOSERS = {")", "]", "}", "）", "】", "》", "〉", "」", "』", "»", "”", "“", "］"}
 QUOTES = set("「『«“„\"")
+#: Openers that each closer closes.
+CLOSED_BY = {c: [o for o, x in OPENERS.items() if x == c] + ["„"] * (c == "”") for c in CLOSERS}
 
 BLANK = regex.compile(r"(?:\r\n|[\n\r\x85\u2028\u2029])[^\S\n\r\x85\u2028\u2029]*(?:\r\n|[\n\r\x85\u2028\u2029])\s*")
 MARKS = regex.compile(r"[.…]+|[!?。！？।॥؟｡]|[()\[\]{}（）【】《》〈〉「」『』«»“”„\"［］]|(?<=[฀-๿])\s+(?=[฀-๏])")
@@ -57,6 +62,38 @@ NEXT_WORD = regex.compile(r"\w+")
 PRECEDING = regex.compile(r"(\w+)\s+$")
 
 
+#: A list marker at the beginning of a line: indentation, then a number, a small letter, a bullet or an ideographic number.
+ITEM = regex.compile(r"([^\S\n\r\x85\u2028\u2029]*)(?:(\d{1,4})([.)）、])|[(（](\d{1,4})([)）])|([a-z])(\))|([*•‣◦·–-])|([一二三四五六七八九十])([、]))(?=\s|(?<=[、）])\S)")
+
+LINE_END = regex.compile(r"[\n\r\x85\u2028\u2029]+")
+
+
+class _Levels:
+    """The pushdown store of list levels: indentation, kind of marker, last number."""
+
+    def __init__(self):
+        self.stack: list[list] = []
+
+    def item(self, m: regex.Match, led: bool) -> bool:
+        """Whether a marker continues an open level or, where led, opens one; levels deeper than it are closed."""
+        indent = len(m.group(1).expandtabs(4))
+        digits, letter, han = m.group(2) or m.group(4), m.group(6), m.group(9)
+        kind = m.group(3) and "9" + m.group(3) or m.group(5) and "(9" + m.group(5) or letter and "a)" or han and "一" or m.group(8)
+        number = int(digits) if digits else ord(letter) - 96 if letter else "一二三四五六七八九十".index(han) + 1 if han else 0
+        while self.stack and self.stack[-1][0] > indent:
+            self.stack.pop()
+        top = self.stack[-1] if self.stack else None
+        if top and top[0] == indent and top[1] == kind and number in (0, top[2] + 1):
+            top[2] = number
+            return True
+        if number <= 1 and (led or top and top[0] < indent):
+            if top and top[0] == indent:
+                self.stack.pop()
+            self.stack.append([indent, kind, number])
+            return True
+        return False
+
+
 def _trie(words: list[str], kind: str, into: dict) -> dict:
     for w in words:
         at = into
@@ -87,8 +124,8 @@ def _abbreviation(text: str, dot: int, start: int) -> str:
 
 
 class _Paragraph:
-    def __init__(self, text: str, start: int, end: int):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: int, end: int, levels: _Levels | None = None):
+        self.text, self.start, self.end, self.levels = text, start, end, levels or _Levels()
 
     def ahead(self, i: int) -> tuple[int, str]:
         """Position and value of the next character that is no white space; end and '' if there is none."""
@@ -98,39 +135,90 @@ class _Paragraph:
         return (i, text[i]) if i < end else (end, "")
 
     def pairs(self, marks: list) -> dict[int, int]:
-        """Closing position of every opening mark that is closed in this paragraph; the pushdown store."""
+        """Closing position of every opening mark that is closed in this paragraph; the pushdown store.
+
+        Open marks are counted by kind, so the store is searched only for what it holds, and what is searched is popped.
+        """
         text, stack, got = self.text, [], {}
+        open_of: dict[str, int] = {}
+        quote = -1  # place of the open straight quote in the store; there is one at most
+
+        def pop() -> tuple[str, int]:
+            ch, i = stack.pop()
+            if ch:
+                open_of[ch] -= 1
+            return ch, i
+
         for m in marks:
             i = m.start()
             ch = text[i]
             if ch == '"':
                 before = text[i - 1] if i > self.start else " "
                 after = text[i + 1] if i + 1 < self.end else " "
-                opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-                opens = not after.isspace() and (before.isspace() or before in "([{（—–:：，,、" or before in TERMINAL and opened is None)
+                opened = quote >= 0
+                opens = not after.isspace() and (before.isspace() or before in "([{（—–:：，,、" or before in TERMINAL and not opened)
                 closes = not before.isspace() and (after.isspace() or not after.isalnum())
-                if opened is not None and not (opens and not closes):
-                    got[stack[opened][1]] = i
-                    del stack[opened:]
-                elif opens or opened is None:
-                    if opened is not None:
-                        del stack[opened]
+                if opened and not (opens and not closes):
+                    got[stack[quote][1]] = i
+                    while len(stack) > quote:
+                        pop()
+                    quote = -1
+                elif opens or not opened:
+                    if opened:
+                        stack[quote] = ("", -1)
+                    quote = len(stack)
                     stack.append(('"', i))
-            elif ch in CLOSERS and (k := next((k for k in range(len(stack) - 1, -1, -1) if OPENERS.get(stack[k][0]) == ch or ch == "”" and stack[k][0] == "„"), None)) is not None:
-                got[stack[k][1]] = i
-                del stack[k:]
+                    open_of['"'] = 1
+                continue
+            kinds = CLOSED_BY.get(ch, ())
+            if any(open_of.get(o) for o in kinds):
+                while True:
+                    o, at = pop()
+                    if o == '"':
+                        quote = -1
+                    if o in kinds:
+                        break
+                got[at] = i
             elif ch in OPENERS:
                 stack.append((ch, i))
+                open_of[ch] = open_of.get(ch, 0) + 1
         return got
 
+    def items(self) -> list[tuple[int, int]]:
+        """Beginning and end of each marker that begins an item on a line after the first."""
+        text = self.text
+        out = []
+        for i in [self.start, *(m.end() for m in LINE_END.finditer(text, self.start, self.end))]:
+            m = ITEM.match(text, i, self.end)
+            if m is None:
+                continue
+            first = i == self.start
+            before = i - 1
+            while not first and before >= self.start and text[before].isspace():
+                before -= 1
+            if self.levels.item(m, first or text[before] in ":：") and not first:
+                out.append((m.end(1), m.end()))
+        return out
+
     def units(self) -> Iterator[tuple[int, int]]:
         text, end = self.text, self.end
+        items = self.items()
+        items.reverse()
         marks = list(MARKS.finditer(text, self.start, end))
         pairs = self.pairs([m for m in marks if text[m.start()] in OPENERS or text[m.start()] in CLOSERS or text[m.start()] == '"']) if marks else {}
         begin, skip = self.start, -1
         for m in marks:
             i, j = m.span()
-            if i < skip or i < begin:
+            marker = False
+            while items and items[-1][0] <= i:
+                at, behind = items.pop()
+                if at < skip or at <= begin:
+                    marker = marker or at == begin and i < behind
+                    continue
+                yield begin, at
+                begin, marker = at, i < behind
+                skip = max(skip, behind)
+            if marker or i < skip or i < begin:
                 continue
             ch = text[i]
             if ch in TERMINAL:
@@ -146,6 +234,10 @@ class _Paragraph:
             if stop:
                 yield begin, stop
                 begin = self.ahead(stop)[0]
+        for at, _ in reversed(items):
+            if at >= skip and at > begin:
+                yield begin, at
+                begin = at
         if begin < end:
             yield begin, end
 
@@ -277,7 +369,7 @@ def boundaries(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     if not text:
         return out
-    at = 0
+    at, levels = 0, _Levels()
     for m in [*BLANK.finditer(text), None]:
         start, end = at, m.start() if m else len(text)
         at = m.end() if m else at
@@ -288,7 +380,7 @@ def boundaries(text: str | None) -> list[tuple[int, int]]:
         if start == end:
             continue
         first = len(out)
-        for a, b in _Paragraph(text, start, end).units():
+        for a, b in _Paragraph(text, start, end, levels).units():
             while b > a and text[b - 1].isspace():
                 b -= 1
             if len(out) > first and WORD.search(text, a, b) is None:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import linked_splits as L
@@ -54,7 +55,8 @@ def test_chains_cycles_and_lone_records(spark):
     assert {r.rec_id: r.group_id for r in L.linked_groups(df).collect()} == of
     assert {r.rec_id: r.group_id for r in L.found(df).collect()} == found
     _, forest = L.image_groups(df, Scratch(spark, "t"))
-    assert forest.count() == len({x for f in forest.collect() for x in f}) - len({of[r] for r, i, n in rows if of[r] in (1, 11)})
+    links = forest.filter("child <> parent").select("id_key", "name_key").collect()
+    assert len(links) == len({x for f in links for x in f}) - len({of[r] for r, i, n in rows if of[r] in (1, 11)})
 
 
 def test_random_graphs(spark):
@@ -74,6 +76,49 @@ def test_splits_keep_groups_and_shares(spark):
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["validation"] - 0.1) < 0.02 and abs(share["test"] - 0.1) < 0.02
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_small_tables_are_dealt_evenly(spark, sf):
+    got = {r.split: r["count"] for r in L.splits(spark.read.parquet(f"/root/testdata/sf{sf}/qa_record.parquet")).groupBy("split").count().collect()}
+    n = sum(got.values())
+    most = 0.01 if sf == "0.01" else 0.02
+    assert abs(got["train"] / n - 0.8) < most and abs(got["validation"] / n - 0.1) < most and abs(got["test"] / n - 0.1) < most
+
+
+def test_forest_stays_and_gives_the_roots(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, rng.choice([None, *range(1, 90)]), rng.choice([None, *[f"d/f{j}" for j in range(90)]])) for k in range(1, 150)]
+    of, _ = brute(rows)
+    path = f"file://{tmp_path}/forest"
+    links = L.spanning_forest(make(spark, rows), path).collect()
+    kept = spark.read.parquet(path).filter("child <> parent").select("id_key", "name_key").collect()
+    assert sorted(map(tuple, kept)) == sorted(map(tuple, links))
+    up = {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in links:
+        assert find(a) != find(b)  # no cycle
+        up[find(a)] = find(b)
+    key = lambda i, n: find(f"i{i}") if i else find(f"n{n}") if n else None
+    roots = {}
+    for r, i, n in rows:
+        if key(i, n):
+            roots.setdefault(key(i, n), set()).add(of[r])
+    assert all(len(g) == 1 for g in roots.values()) and len(roots) == len({g for s in roots.values() for g in s})
+
+
+def test_no_side_broadcast(spark, monkeypatch):
+    """The salted way of every join gives the same groups."""
+    monkeypatch.setattr("tessella.plans.spread._few", lambda *a: False)
+    data = [(k, 1 if k % 3 else 2 + k % 40, f"d/f{k % 50}" if k % 7 else None) for k in range(1, 300)]
+    of, found = brute(data)
+    assert {r.rec_id: r.group_id for r in L.linked_groups(make(spark, data)).collect()} == of
+    assert {r.rec_id: r.group_id for r in L.found(make(spark, data)).collect()} == found
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert L.found(none).count() == 0 and L.splits(none).count() == 0 and L.spanning_forest(none).count() == 0

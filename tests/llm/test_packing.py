@@ -56,6 +56,40 @@ def test_pack(spark):
     assert P.pack(df, 100).orderBy("doc_id", "piece_no").collect() == got.orderBy("doc_id", "piece_no").collect()
 
 
+def test_buckets_take_part():
+    rng = random.Random(7)
+    hist = {x: rng.randint(1, 400) for x in range(3, 480)}
+    plans = {k: P.plan(hist, 512, k) for k in (1, 4, 16, 32)}
+    runs = [sorted(p[0]) for p in plans.values()]
+    assert all(a != b for a, b in itertools.combinations(runs, 2))
+    tokens = sum(x * c for x, c in hist.items())
+    assert tokens / (512 * plans[32][2]) > 0.98 > 0.5 > tokens / (512 * plans[1][2])
+    # the first piece of every container is of the longest bucket in it, and a bucket's own pieces fit its padded slots
+    runs, bound_of, _ = plans[32]
+    own: dict[tuple[int, int], int] = {}
+    for x, a, b, c, m in runs:
+        own[c, bound_of[x]] = own.get((c, bound_of[x]), 0) + m
+    longest = {}
+    for (c, bound), n in own.items():
+        longest[c] = max(longest.get(c, 0), bound)
+    assert all(own[c, bound] <= max(1, 512 // bound) for c, bound in longest.items())
+
+
+def test_waste_on_whole_tables(spark):
+    from tessella.llm import queries as Q
+
+    got = {r.budget_id: r.fill for r in Q.p8_fill(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 3 and min(got.values()) > 0.98
+
+
+def test_nulls_and_empty_items_ride_along(spark):
+    df = spark.createDataFrame([(k, None if k % 3 else 0) for k in range(200)] + [(1000 + k, 60) for k in range(10)], "doc_id bigint, n_tokens bigint")
+    got = P.pack(df, 100).collect()
+    assert len(got) == 210 and {r.container_id for r in got} == set(range(1, 11))
+    only = P.pack(df.filter("doc_id < 1000"), 100).collect()
+    assert len(only) == 200 and {r.container_id for r in only} == {1}
+
+
 def test_limits(spark):
     none = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert P.pack(none, 10).count() == 0

@@ -1,5 +1,7 @@
 """Sentence units: named cases per language, and that only white space lies outside them."""
 
+import time
+
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -49,8 +51,23 @@ def test_thai_and_layout():
     assert S.boundaries(None) == []
 
 
+def test_list_levels():
+    assert texts("Plan:\n1. Rest\n2. Cooling. No weight\n  a) left\n  b) right\n3. Return") == ["Plan:", "1. Rest", "2. Cooling.", "No weight", "a) left", "b) right", "3. Return"]
+    assert texts("The sizes were\n12. They grew") == ["The sizes were\n12.", "They grew"]  # no list: no level to continue
+    assert texts("- one\n- two\nstill two\n\n- three") == ["- one", "- two\nstill two", "- three"]
+    assert texts("一、肝脏\n二、脾脏") == ["一、肝脏", "二、脾脏"]
+    assert texts("(He listed:\n1. a\n2. b) and left") == ["(He listed:\n1. a\n2. b) and left"]  # brackets hold their lists
+
+
+def test_unmatched_marks_take_linear_time():
+    began = time.time()
+    for t in ("(" * 20_000 + "] " * 20_000, '"(' * 20_000, "[" * 20_000 + "”" * 20_000, '( "' * 20_000):
+        S.boundaries(t)
+    assert time.time() - began < 4
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab A.!?\n\"“”«»()（）。「」 1…-é中ก\r", max_size=60))
+@given(st.text("ab1 A.)-!?\n\"“”«»()（）。「」 1…-é中ก\r", max_size=60))
 def test_only_space_outside(t):
     at = 0
     for a, b in S.boundaries(t):
