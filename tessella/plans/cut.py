@@ -37,6 +37,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _width(df: DataFrame) -> Column:
     """About the bytes of a row in memory."""
     width = F.lit(16 * len(df.columns)).cast("bigint")
@@ -82,10 +87,17 @@ class Scratch:
         self.count = 0
         atexit.register(_delete, spark, self.root)
 
+    def path(self) -> str:
+        """A new folder, for a table written by the caller."""
+        self.count += 1
+        return f"{self.root}/{self.count}"
+
     def keep(self, df: DataFrame) -> DataFrame:
         """The frame written and read back; its rows and bytes are measured while it is written."""
-        self.count += 1
-        return _written(df, f"{self.root}/{self.count}")
+        return _written(df, self.path())
+
+    def delete(self, path: str) -> None:
+        _delete(self.spark, path)
 
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_tessella_path", None)
