@@ -7,6 +7,11 @@ records that the merged filter calls possible repeats are shuffled for exact
 grouping by canonical text. All others are proven singletons and are emitted
 where they are.
 
+The merged filter grows with the records, so it is used in blocks of shards that
+fit a broadcast: the canonical texts are written once, in one folder per block,
+without a shuffle, and each block's records meet only that block's filter. One
+block and many blocks run the same steps.
+
 Defined cases: a null payload is never a copy; a payload that is no JSON object
 is compared as literal text; a null field equals only null; an empty table gives
 empty results.
@@ -16,19 +21,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans.cut import Scratch
+from tessella.plans.cut import Scratch, exists
+from tessella.plans.shared import Shared
 from tessella.plans.spread import spread_join
 
 #: Filter bits per record, probes per record, bits of one shard.
 BITS_PER_ROW, PROBES, SHARD_BITS = 16, 4, 1 << 20
-#: Merged filters up to this size are broadcast; larger ones are joined by shard.
+#: The merged filter is broadcast in blocks of at most this size.
 BROADCAST_BYTES = 64 << 20
+#: A partition sends the bits of a shard only where they take fewer bytes than its hashes would.
+DENSE = SHARD_BITS // 8 // 8
 
 
 def canonical_text(x: Column) -> Column:
@@ -57,14 +66,21 @@ def _probe(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return shard.astype(np.int64), at.astype(np.int64)
 
 
-def _pack(at: np.ndarray) -> bytes:
+def _pack(h: np.ndarray, at: np.ndarray) -> bytes:
+    """A shard's part of one partition: the hashes themselves if they are few, else bits."""
+    if len(h) <= DENSE:
+        return b"h" + h.astype(np.int64).tobytes()
     bits = np.zeros(SHARD_BITS, np.bool_)
     bits[at.ravel()] = True
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+    return b"b" + zlib.compress(np.packbits(bits).tobytes(), 1)
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), np.uint8)
+def _unpack(b: bytes, shards: int) -> np.ndarray:
+    if b[:1] == b"b":
+        return np.unpackbits(np.frombuffer(zlib.decompress(b[1:]), np.uint8)).view(np.bool_)
+    bits = np.zeros(SHARD_BITS, np.bool_)
+    bits[_probe(np.frombuffer(b, np.int64, offset=1), shards)[1].ravel()] = True
+    return bits
 
 
 def _filters(shards: int):
@@ -75,21 +91,27 @@ def _filters(shards: int):
         h, n = np.unique(np.concatenate(got), return_counts=True)
         shard, at = _probe(h, shards)
         order = np.argsort(shard, kind="stable")
-        shard, at, n = shard[order], at[order], n[order]
+        h, shard, at, n = h[order], shard[order], at[order], n[order]
         starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
         for s, e in zip(starts, [*starts[1:], len(shard)]):
-            yield pd.DataFrame({"shard": [int(shard[s])], "once": [_pack(at[s:e])], "again": [_pack(at[s:e][n[s:e] > 1])]})
+            more = n[s:e] > 1
+            yield pd.DataFrame({"shard": [int(shard[s])], "once": [_pack(h[s:e], at[s:e])], "again": [_pack(h[s:e][more], at[s:e][more])]})
 
     return build
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    once, again = np.zeros(SHARD_BITS // 8, np.uint8), np.zeros(SHARD_BITS // 8, np.uint8)
-    for o, a in zip(pdf["once"], pdf["again"]):
-        o = _unpack(o)
-        again |= _unpack(a) | (once & o)
-        once |= o
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "again": [zlib.compress(again.tobytes(), 1)]})
+def _merge(shards: int):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        once, again = np.zeros(SHARD_BITS, np.bool_), np.zeros(SHARD_BITS, np.bool_)
+        for o, a in zip(pdf["once"], pdf["again"]):
+            o = _unpack(o, shards)
+            again |= once & o
+            if len(a) > 1:
+                again |= _unpack(a, shards)
+            once |= o
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "again": [zlib.compress(np.packbits(again).tobytes(), 1)]})
+
+    return merge
 
 
 def _hits(h: np.ndarray, shards: int, again: dict[int, bytes]) -> np.ndarray:
@@ -98,57 +120,64 @@ def _hits(h: np.ndarray, shards: int, again: dict[int, bytes]) -> np.ndarray:
     for s in np.unique(shard):
         if int(s) in again:
             of = np.flatnonzero(shard == s)
-            bits = np.unpackbits(_unpack(again[int(s)]))
+            bits = np.unpackbits(np.frombuffer(zlib.decompress(again[int(s)]), np.uint8))
             out[of] = bits[at[of]].all(axis=1)
     return out
 
 
-def possible_repeats(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Parts df, which has a hash column h, into possible repeats and proven singletons."""
-    spark = df.sparkSession
-    shards = max(1, -(-df.count() * BITS_PER_ROW // SHARD_BITS))
-    filters = df.select("h").mapInPandas(_filters(shards), "shard int, once binary, again binary").groupBy("shard").applyInPandas(_merge, "shard int, again binary")
-    if shards * SHARD_BITS // 8 <= broadcast_bytes:
-        merged = spark.sparkContext.broadcast({r["shard"]: bytes(r["again"]) for r in filters.collect()})
+def _marked(part: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """part with ``hit``: the filter of its block, at most BROADCAST_BYTES, calls the record a possible repeat."""
+    merged = Shared(part.sparkSession, {r["shard"]: bytes(r["again"]) for r in filters.collect()})
 
-        @F.pandas_udf("boolean")
-        def hit(h: pd.Series) -> pd.Series:
-            return pd.Series(_hits(h.to_numpy(), shards, merged.value))
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(_hits(h.to_numpy(), shards, merged.value))
 
-        flagged = df.withColumn("_hit", hit("h"))
-    else:
-        shard_of = F.pmod(F.shiftrightunsigned("h", 44), F.lit(shards)).cast("int")
-        hashes = df.select("h", shard_of.alias("shard"), F.pmod("h", F.lit(8)).cast("int").alias("part")).distinct()
-        spread = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return part.withColumn("hit", hit("h"))
 
-        def test(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"h": [], "_hit": []})
-            hit = _hits(a["h"].to_numpy(), shards, {int(b["shard"].iloc[0]): bytes(b["again"].iloc[0])})
-            return pd.DataFrame({"h": a["h"][hit], "_hit": True})
 
-        tested = hashes.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(test, "h bigint, _hit boolean")
-        flagged = df.join(tested, "h", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    return flagged.filter("_hit").drop("_hit"), flagged.filter("not _hit").drop("_hit")
+def possible_repeats(df: DataFrame, rows: int, scratch: Scratch, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Parts df (raw_id, canon) of about so many rows into possible repeats and proven singletons, both (raw_id, canon, h), written."""
+    shards = max(1, -(-rows * BITS_PER_ROW // SHARD_BITS))
+    per_block = max(1, broadcast_bytes // (SHARD_BITS // 8))
+    blocks = -(-shards // per_block)
+    shard_of = F.pmod(F.shiftrightunsigned("h", 44), F.lit(shards))
+    df = df.select("raw_id", "canon", F.xxhash64("canon").alias("h"))
+    read = df.sparkSession.read.schema(df.schema).parquet
+    whole = scratch.path()
+    (df.withColumn("block", F.floor(shard_of / per_block).cast("int")).write.partitionBy("block") if blocks > 1 else df.write).parquet(whole)
+    filters = scratch.keep(read(whole).select("h").mapInPandas(_filters(shards), "shard int, once binary, again binary").groupBy("shard").applyInPandas(_merge(shards), "shard int, again binary"))
+    if blocks == 1:
+        marked = scratch.keep(_marked(read(whole), filters, shards))
+    else:
+        marked = []
+        for k in range(blocks):
+            if not exists(df.sparkSession, f"{whole}/block={k}"):
+                continue
+            mine = filters.filter((F.col("shard") >= k * per_block) & (F.col("shard") < (k + 1) * per_block))
+            marked.append(scratch.keep(_marked(read(f"{whole}/block={k}"), mine, shards)))
+        marked = reduce(DataFrame.union, marked) if marked else df.limit(0).withColumn("hit", F.lit(False))
+    scratch.delete(whole)
+    return marked.filter("hit").drop("hit"), marked.filter("not hit").drop("hit")
 
 
-def _canon(raw: DataFrame, loose: list[str]) -> DataFrame:
-    """Written table (raw_id, canon, h), so that payloads are parsed once for all passes."""
-    got = raw.filter("payload is not null").select("raw_id", canonical_payload(F.col("payload"), loose).alias("canon"))
-    return Scratch(raw.sparkSession, "copies").keep(got).withColumn("h", F.xxhash64("canon"))
+def _parted(raw: DataFrame, loose: list[str] | None, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """possible_repeats of the payloads, which are parsed once."""
+    got = raw.filter("payload is not null").select("raw_id", canonical_payload(F.col("payload"), loose or ["question", "answer"]).alias("canon"))
+    return possible_repeats(got, raw.count(), Scratch(raw.sparkSession, "copies"), broadcast_bytes)
 
 
-def found(raw: DataFrame, loose: list[str] | None = None) -> DataFrame:
+def found(raw: DataFrame, loose: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(raw_id_a, raw_id_b): every further copy beside the smallest raw_id of its record."""
-    maybe, _ = possible_repeats(_canon(raw, loose or ["question", "answer"]))
-    groups = maybe.groupBy("canon").agg(F.min("raw_id").alias("raw_id_a"), F.count("*").alias("n")).filter("n > 1")
-    got = spread_join(maybe.select("raw_id", "canon"), groups, ["canon"], "n", F.col("raw_id"), ["raw_id_a"])
+    maybe, _ = _parted(raw, loose, broadcast_bytes)
+    groups = maybe.groupBy("h", "canon").agg(F.min("raw_id").alias("raw_id_a"), F.count("*").alias("n")).filter("n > 1")
+    got = spread_join(maybe, groups, ["h", "canon"], "n", F.col("raw_id"), ["raw_id_a"])
     return got.filter("raw_id <> raw_id_a").select("raw_id_a", F.col("raw_id").alias("raw_id_b"))
 
 
-def collapsed(raw: DataFrame, loose: list[str] | None = None) -> DataFrame:
+def collapsed(raw: DataFrame, loose: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(raw_id, copies): one row per record, by its smallest raw_id, with its number of copies."""
-    maybe, single = possible_repeats(_canon(raw, loose or ["question", "answer"]))
-    groups = maybe.groupBy("canon").agg(F.min("raw_id").alias("raw_id"), F.count("*").alias("copies")).select("raw_id", "copies")
+    maybe, single = _parted(raw, loose, broadcast_bytes)
+    groups = maybe.groupBy("h", "canon").agg(F.min("raw_id").alias("raw_id"), F.count("*").alias("copies")).select("raw_id", "copies")
     one = F.lit(1).cast("bigint").alias("copies")
     return groups.union(single.select("raw_id", one)).union(raw.filter("payload is null").select("raw_id", one))
