@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,12 +37,15 @@ from pyspark.sql import functions as F
 from tessella.plans.cut import Scratch
 from tessella.plans.spread import spread_join
 
-BROADCAST_ENTRIES = 200_000
+#: Spellings that are broadcast, spellings of a shard beyond that, and values that meet a shard in one task.
+BROADCAST_ENTRIES, SHARD_ENTRIES, SLICE_VALUES = 200_000, 20_000, 50_000
 UNMATCHED = -1
 #: Costs beside edits: a word shortened to three letters or more, to two, and a word left out.
 SHORTENED, CLIPPED, MISSING = 0.5, 0.9, 3.0
 #: Added where less than half of an entry's letters, or fewer than five, are written; such a candidate only makes others ambiguous.
 WEAK = 50.0
+#: Keys below a node of a tree from which its exact distance is worth working out.
+FEW_BELOW = 64
 # Words that may stand around a value, joiners of two values, and short forms of words of side.
 FILLERS = set("a an the is it its this that these shows show showing probably likely most maybe perhaps possibly possible i think see arrow area region of in on at to be seems looks like appears suspected here there would say".split())
 JOINERS = set("and or plus und oder et ou y o vs versus both either & +".split())
@@ -55,8 +59,8 @@ _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _CAMEL = regex.compile(r"(?<=\p{Ll}\p{Ll})(?=\p{Lu}\p{Ll})")
 
 
-def distance(a: str, b: str) -> int:
-    """Unrestricted Damerau-Levenshtein distance: insertions, deletions, substitutions and transpositions."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Unrestricted Damerau-Levenshtein distance: insertions, deletions, substitutions and transpositions; if it is over most, some number over most."""
     if a == b:
         return 0
     i = 0
@@ -64,30 +68,55 @@ def distance(a: str, b: str) -> int:
     while i < n and a[i] == b[i]:
         i += 1
     a, b = a[i:], b[i:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    i = 0
+    n = min(len(a), len(b))
+    while i < n and a[-1 - i] == b[-1 - i]:
+        i += 1
+    if i:
+        a, b = a[:-i], b[:-i]
     la, lb = len(a), len(b)
     if not la or not lb:
         return la + lb
     if la == 1 or lb == 1:
         return max(la, lb) - (1 if la == 1 and a in b or lb == 1 and b in a else 0)
     far = la + lb
+    if most is None or most > far:
+        most = far
+    if abs(la - lb) > most:
+        return most + 1
     last: dict[str, int] = {}
     rows = [[far] * (lb + 2), [far, *range(lb + 1)]]
     for x in range(1, la + 1):
-        ca, prev, row, match = a[x - 1], rows[x], [far, x], 0
-        for y in range(1, lb + 1):
+        # cells further than most from the diagonal can't be on a path that counts
+        lo, hi = max(1, x - most), min(lb, x + most)
+        ca, prev, match = a[x - 1], rows[x], 0
+        row = [far, x] + [far] * (lo - 1)
+        least = x if lo == 1 else far
+        if lo > 1:
+            match = b.rfind(ca, 0, lo - 1) + 1
+        for y in range(lo, hi + 1):
             cb = b[y - 1]
             if ca == cb:
                 best, seen = prev[y], y
             else:
-                best, seen = min(prev[y], row[y], prev[y + 1]) + 1, match
-            if (k := last.get(cb, 0)) and match:
-                t = rows[k][match] + (x - k - 1) + 1 + (y - match - 1)
+                best, seen = prev[y], match
+                if row[y] < best:
+                    best = row[y]
+                if prev[y + 1] < best:
+                    best = prev[y + 1]
+                best += 1
+            if match and (k := last.get(cb, 0)):
+                t = rows[k][match] + (x - k) + (y - match - 1)
                 if t < best:
                     best = t
             row.append(best)
+            if best < least:
+                least = best
             match = seen
+        if hi < lb:
+            row += [far] * (lb - hi)
+        if least > most:
+            return most + 1  # every path crosses the row, or deletes its way to it at less than it costs to jump over it
         last[ca] = x
         rows.append(row)
     return rows[la + 1][lb + 1]
@@ -99,31 +128,74 @@ def threshold(n: int) -> int:
 
 
 class BkTree:
+    """Keys under ``distance``; a node is [key, children by distance, letters, furthest child, keys below it]."""
+
     def __init__(self, keys: Iterator[str] | list[str]):
-        self.root: tuple[str, dict] | None = None
+        self.root: list | None = None
+        self.bits: dict[tuple[str, int], int] = {}
         for k in dict.fromkeys(keys):
             self.add(k)
 
+    def letters(self, key: str, learn: bool = False) -> tuple[int, int]:
+        """A bit for each letter and repetition of it that the tree knows, and how many it doesn't know."""
+        seen: dict[str, int] = {}
+        got = unknown = 0
+        for c in key:
+            n = seen[c] = seen.get(c, 0) + 1
+            bit = self.bits.get((c, n))
+            if bit is None:
+                if not learn:
+                    unknown += 1
+                    continue
+                bit = self.bits[c, n] = len(self.bits)
+            got |= 1 << bit
+        return got, unknown
+
     def add(self, key: str) -> None:
+        new = [key, {}, self.letters(key, True)[0], -1, 0]
         if self.root is None:
-            self.root = (key, {})
+            self.root = new
             return
         node = self.root
         while d := distance(key, node[0]):
+            node[3] = max(node[3], d)
+            node[4] += 1
             if d not in node[1]:
-                node[1][d] = (key, {})
+                node[1][d] = new
                 return
             node = node[1][d]
 
     def within(self, key: str, k: int) -> list[tuple[str, int]]:
-        """Every stored key at distance k or less."""
+        """Every stored key at distance k or less.
+
+        The letters that one side has more than the other bound a distance from
+        below, the longer side bounds it from above. Beyond k and its furthest child
+        a node and all below it are ruled out by the triangle inequality; where few
+        keys are below, the bounds choose the children, else the exact distance.
+        """
         out, todo = [], [self.root] if self.root else []
+        mine, unknown = self.letters(key)
         while todo:
-            at, below = todo.pop()
-            d = distance(key, at)
-            if d <= k:
-                out.append((at, d))
-            todo.extend(n for e, n in below.items() if d - k <= e <= d + k)
+            at, below, letters, furthest, size = todo.pop()
+            least = max((mine & ~letters).bit_count() + unknown, (letters & ~mine).bit_count())
+            most = k + max(furthest, 0)
+            if least > most:
+                continue
+            if least > k and size <= FEW_BELOW:
+                d, top = least, max(len(key), len(at))
+            else:
+                if size <= FEW_BELOW:
+                    d = distance(key, at, k)
+                    top = d if d <= k else max(len(key), len(at))
+                else:
+                    d = top = distance(key, at, most)
+                    if d > most:
+                        continue
+                if d <= k:
+                    out.append((at, d))
+            for e in range(max(1, d - k), min(furthest, top + k) + 1):
+                if e in below:
+                    todo.append(below[e])
         return out
 
 
@@ -179,6 +251,7 @@ class Matcher:
         self.joined: dict[str, set[int]] = {}
         self.several: set[str] = set()
         self.by_word: dict[str, list[int]] = {}
+        self.begun: dict[str, list[int]] = {}  # entries of several words by how their first word may begin
         for cid, text in spellings:
             w = words(text)
             if not w:
@@ -194,8 +267,13 @@ class Matcher:
                 self.entries.append((cid, f))
                 for x in set(f):
                     self.by_word.setdefault(x, []).append(len(self.entries) - 1)
+                if len(f) > 1:
+                    for x in {f[0][:3], *(x for x, full in SIDES.items() if full == f[0])}:
+                        self.begun.setdefault(x, []).append(len(self.entries) - 1)
         self.kept = frozenset((FILLERS | JOINERS) & self.joined.keys()) if kept is None else kept
-        self.word_tree, self.joined_tree = BkTree(self.by_word), BkTree(self.joined)
+        self.word_tree, self.joined_tree, self.han_tree = BkTree(self.by_word), BkTree(self.joined), BkTree(x for x in self.han if len(x) >= 4)
+        self.ordered = sorted(self.several)
+        self.han_lengths = sorted({len(x) for x in self.han}, reverse=True)
         self.longest = max(longest, *map(len, [*self.by_word, *self.joined]), 0) + max(map(len, JOINED_BEFORE)) + max(map(len, JOINED_AFTER))
         self.prefixes: dict[str, list[str]] = {}
         for x in self.by_word:
@@ -203,6 +281,13 @@ class Matcher:
                 self.prefixes.setdefault(x[:k], []).append(x)
         self.near = lru_cache(200_000)(self._near)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "near"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.near = lru_cache(200_000)(self._near)
+
     def _near(self, token: str, known: bool) -> tuple[tuple[str, float], ...]:
         """(reference word, cost) that the token may write; a word known in another shard writes nothing else."""
         got: dict[str, float] = {}
@@ -251,15 +336,18 @@ class Matcher:
                         cost = d + 0.01 + (0.4 if key[0] != j[0] else 0.0)
                         for cid in self.joined[key]:
                             more[cid, everything] = min(more.get((cid, everything), 99.0), cost)
-                for cid, form in self.entries if len(j) > 3 else ():
-                    if len(form) > 1 and j[0] == form[0][0] and _shortened_run(j, form):
+                for e in {e for k in (1, 2, 3) for e in self.begun.get(j[:k], ())} if len(j) > 3 else ():
+                    cid, form = self.entries[e]
+                    if _shortened_run(j, form):
                         more[cid, everything] = min(more.get((cid, everything), 99.0), SHORTENED)
                 if len(j) > 6:
-                    for key in self.several:
-                        if key.startswith(j):
-                            cost = MISSING + (0.0 if 5 * len(j) >= 3 * len(key) else WEAK)
-                            for cid in self.joined[key]:
-                                more[cid, everything] = min(more.get((cid, everything), 99.0), cost)
+                    for i in range(bisect_left(self.ordered, j), len(self.ordered)):
+                        key = self.ordered[i]
+                        if not key.startswith(j):
+                            break
+                        cost = MISSING + (0.0 if 5 * len(j) >= 3 * len(key) else WEAK)
+                        for cid in self.joined[key]:
+                            more[cid, everything] = min(more.get((cid, everything), 99.0), cost)
         return Part(named, han, han_near, out, more, len(content), len(joined))
 
     @staticmethod
@@ -307,12 +395,16 @@ class Matcher:
         return (best[0], best[1]) if strong else None
 
     def _han(self, value: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, float]]]:
-        """Han spellings inside the value, and those it may misspell."""
+        """Han spellings inside the value, and those it may misspell: by the tree, as other spellings."""
         text = "".join(words(value))
-        inside = [(key, cids) for key, cids in self.han.items() if key in text]
+        # every stretch that is as long as some spelling is looked up
+        inside = {text[i : i + n] for n in self.han_lengths for i in range(len(text) - n + 1) if text[i : i + n] in self.han}
         if inside:
-            return inside, []
-        return [], [(cid, 1.0) for key, cids in self.han.items() if len(key) >= 4 and abs(len(key) - len(text)) <= 1 and distance(key, text) <= 1 for cid in cids]
+            return [(key, self.han[key]) for key in sorted(inside)], []
+        if len(text) > 2 * max(self.han_lengths, default=0):
+            return [], []
+        near = self.han_tree.within(text, max(threshold(len(text)), threshold(len(text) + 2)))
+        return [], [(cid, float(d)) for key, d in near if d <= threshold(len(key)) for cid in self.han[key]]
 
 
 def _latin(value: str) -> str:
@@ -408,11 +500,12 @@ def spellings(reference: DataFrame) -> DataFrame:
     return reference.select("canon_id", F.explode(every).alias("text")).filter("text is not null")
 
 
-def match_values(values: DataFrame, reference: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, shards: int = 16) -> DataFrame:
+def match_values(values: DataFrame, reference: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, shards: int | None = None) -> DataFrame:
     """(value, canon_id) for distinct texts (value)."""
     spark = values.sparkSession
     texts = spellings(reference)
-    if texts.count() <= broadcast_entries:
+    entries = texts.count()
+    if entries <= broadcast_entries:
         shared = spark.sparkContext.broadcast([(r["canon_id"], r["text"]) for r in texts.collect()])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -433,12 +526,21 @@ def match_values(values: DataFrame, reference: DataFrame, broadcast_entries: int
     # a spelling of one word that other entries write in several
     listed = listed.join(several, F.when(F.size("keys") == 1, F.get("keys", F.lit(0))) == F.col("key"), "left").select("canon_id", "text", "key")
     written = values.select("value").mapInPandas(_written, "value string, word string").join(known, "word", "left_semi").groupBy("value").agg(F.collect_set("word").alias("known"))
-    # every value meets every shard of the list, and a shard's part of the values is bounded by the slices
-    listed = listed.withColumn("shard", F.pmod(F.xxhash64("canon_id"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    every = values.select("value").join(written, "value", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(64)).cast("int"))
+    # every value meets every shard of the list; both sides of a meeting are bounded, and a shard's trees are built once
+    shards = shards or max(1, -(-entries // SHARD_ENTRIES))
+    slices = max(16, values.count() // SLICE_VALUES)
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def build(b: pd.DataFrame) -> pd.DataFrame:
         m = Matcher(list(zip(b["canon_id"], b["text"])), kept, longest, frozenset(b["key"].dropna()))
+        return pd.DataFrame({"shard": [int(b["shard"].iloc[0])], "trees": [pickle.dumps(m)]})
+
+    trees = scratch.keep(listed.withColumn("shard", F.pmod(F.xxhash64("canon_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, trees binary"))
+    trees = trees.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    every = values.select("value").join(written, "value", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(slices)).cast("int"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # a shard that holds no entry takes part with an empty list, so that a value's parts tell its words
+        m = pickle.loads(b["trees"].iloc[0]) if len(b) else Matcher([], kept, longest)
         rows = []
         for v, k in zip(a["value"], a["known"]):
             k = frozenset(() if k is None else k)
@@ -448,7 +550,7 @@ def match_values(values: DataFrame, reference: DataFrame, broadcast_entries: int
     def merge(value: pd.Series, got: pd.Series) -> pd.Series:
         return pd.Series([conclude(v, [[Part(*p) for p in text] for text in zip(*map(pickle.loads, g))], kept) for v, g in zip(value, got)], dtype="int64")
 
-    met = every.groupBy("shard", "slice").cogroup(listed.groupBy("shard", "slice")).applyInPandas(meet, "value string, got binary")
+    met = every.groupBy("shard", "slice").cogroup(trees.groupBy("shard", "slice")).applyInPandas(meet, "value string, got binary")
     return met.groupBy("value").agg(F.collect_list("got").alias("got")).select("value", F.pandas_udf(merge, "bigint")("value", "got").alias("canon_id"))
 
 
