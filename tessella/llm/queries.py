@@ -50,6 +50,10 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(table(spark, d, "qa_record"))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.members(table(spark, d, "qa_record"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs.found(table(spark, d, "qa_record"))
 
@@ -101,5 +105,5 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p3_found, p3_report, p4_found, p4_defects, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
+    for f in (p1_found, p1_splits, p1_forest, p2_found, p2_segments, p3_found, p3_report, p3_members, p4_found, p4_defects, p5_found, p5_collapsed, p6_found, p6_unmatched, p7_ids, p7_vocabulary_use, p8_containers, p8_fill, p9_found, p9_texts)
 }

@@ -9,6 +9,14 @@ product, under its first shared term, after a bound from the largest weights
 has not ruled it out. An exact check then throws out pairs whose remaining
 words ask something else.
 
+Frequencies are counted over all questions and held down to KNOWN of a
+language's questions; a word rarer than that weighs as much as the rarest that is
+held. A rare word is a slip of a common one that is near and far more frequent;
+else it is a word of its own, which parts two questions unless the other side
+has it too, at most misspelled. As a misspelled rare word can't be looked up, the
+lists hold all rare words of a text under one term; the exact dot product weighs
+each by itself.
+
 Lists are kept within a block of one image group, one answer and one sequence
 of numbers, which a pair must share anyway; exact copies of a text are one
 vector, and pairs of texts turn into pairs of records at the end.
@@ -33,15 +41,18 @@ from pyspark.sql import functions as F
 from tessella.llm.canonical_values import distance
 from tessella.llm.courtesies import POLITE, fold, plain
 from tessella.llm.linked_splits import attach, image_groups
-from tessella.plans.cut import Scratch
+from tessella.plans.cut import Scratch, kept
 from tessella.plans.shared import Shared
-from tessella.plans.spread import when_few
+from tessella.plans.spread import spread_join, when_few
 
 THRESHOLD = 0.9
-#: A word in so large a share of a language's questions is established: it can't be a slip of another one.
-ESTABLISHED = 0.003
-#: Weight of words that aren't established and near no established one.
-LOOSE = 0.6
+#: A word in so large a share of a language's questions is established: it can't be a slip of another one. Words in KNOWN of them
+#: are held with their frequency, so at most (words of a question) / KNOWN for each language.
+ESTABLISHED, KNOWN = 0.003, 0.0003
+#: A slip is at least so many times rarer than the word it is a slip of.
+SLIP = 30
+#: Weight, in lists, of the one term that stands for rare words, and of unknown Han characters.
+LOOSE, RARE = 0.6, "~"
 #: Longer words are never taken for slips; the longest established ones are much shorter.
 MOST_LETTERS = 40
 #: Words, at most, that only one side has.
@@ -50,12 +61,12 @@ SPARE = 2
 # Words that carry no meaning of their own, and words of one meaning.
 SYNONYMS = [
     ("_view", "image picture photo scan slice view photograph bild foto aufnahme schnitt scan cliché cliche coupe vue imagen escaneo corte vista"),
-    ("_usual", "usually typically normally generally commonly meist meistens normalerweise üblicherweise gewöhnlich habitude habituellement généralement normalmente generalmente habitualmente general général"),
+    ("_usual", "usually typically normally generally commonly meist meistens normalerweise üblicherweise gewöhnlich regel habitude habituellement généralement normalmente generalmente habitualmente general général"),
     ("_what", "what which welche welcher welches welchen was quel quelle quels quelles qué que cuál cual"),
     ("_wide", "wide broad"),
     ("_near", "close near nearby beside next"),
     ("_might", "might could may can könnte kann peut pourrait podría puede"),
-    ("_shown", "displayed shown visible seen depicted see gezeigt gezeigten dargestellt abgebildet affichée montrée représenté montré mostrado mostrada"),
+    ("_shown", "displayed shown visible seen depicted see gezeigt gezeigten dargestellt abgebildet affichée montrée représenté montré mostrado mostrada muestra"),
     ("_see", "erkennen sehen voit voir distingue ve ver aprecia"),
     ("_lies", "lies is located situated liegt besteht befindet trouve situé est hay está"),
     ("_appears", "appear appears erscheint zeigt apparaît aparece"),
@@ -75,6 +86,7 @@ STOP = set(
 HAN_SAME = [("什么样的", "什么"), ("哪一种", "什么"), ("哪种", "什么"), ("哪一个", "哪个"), ("多少", "几"), ("周边", "附近"), ("周围", "附近"), ("图像", "图"), ("图片", "图"), ("片子", "图"), ("照片", "图"), ("扫描图", "图"), ("影像", "图"), ("切片", "图"), ("一般", "通常"), ("可以看到", "能看到"), ("可看到", "能看到"), ("看得到", "能看到"), ("较", "比"), ("担任", "承担"), ("起到", "承担"), ("看上去", "看起来"), ("看来", "看起来"), ("一下", ""), ("一张", "")]
 HAN_STOP = set("的呢吗了是这那该幅张里中内上处所示个请么啊吧之有一")
 
+_HAN_FIRST = regex.compile(r"\p{Han}").match
 _TOKENS = regex.compile(r"\p{Han}|\p{N}+|[\p{Latin}\p{M}]+|[\p{L}\p{M}]+")
 
 
@@ -104,15 +116,17 @@ def tongue(question: str) -> str | None:
 
 
 class Vectors:
-    """Turns questions into weighted terms, with the corpus's document frequencies."""
+    """Turns questions into weighted terms, with the corpus's document frequencies: of established words, and of rarer known ones."""
 
-    def __init__(self, df: dict[str, int], n: int):
-        self.df, self.n = df, max(1, n)
+    def __init__(self, df: dict[str, int], n: int, known: dict[str, int] | None = None):
+        self.df, self.n, self.known = df, max(1, n), known or {}
         self.cut: dict[str, list[str]] = {}
-        for w in df:
+        # words of no meaning of their own have slips too
+        for w in {**df, **dict.fromkeys([*_STOP, *_SAME, *map(fold, POLITE)], 0)}:
             if len(w) > 3 and not regex.search(r"\p{Han}|\p{N}", w):
                 for x in self._shorter(w):
                     self.cut.setdefault(x, []).append(w)
+        self.rarest = max([2.0, *map(self.weight, df), *map(self.weight, self.known)])
         self.term = lru_cache(200_000)(self._term)
         self.of = lru_cache(100_000)(self._of)
 
@@ -124,44 +138,53 @@ class Vectors:
         return {w} | one | two
 
     def near(self, t: str) -> str | None:
-        """The established word that t is most likely a slip of."""
+        """The established word, or the one without meaning, that t is most likely a slip of; none if t is too frequent for that."""
         if len(t) > MOST_LETTERS:
             return None
         most = 1 if len(t) < 6 else 2
         seen = {w for x in self._shorter(t) for w in self.cut.get(x, ())}
-        got = [(d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w)) <= most]
+        seen = {w for w in seen if w not in self.df or self.known.get(t, 0) * SLIP <= self.df[w]}
+        got = [(d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w, most)) <= most]
         return min(got)[2] if got else None
 
     def _term(self, t: str) -> tuple[str, float] | None:
-        """The term and weight of a token; a slip counts as the established word it is nearest to."""
+        """The term and weight of a token; a slip counts as the word it is nearest to, a rare word of its own weighs most."""
         if regex.match(r"\p{N}", t):
             return None  # numbers are in the block's key
         if regex.match(r"\p{Han}", t):
             return None if t in HAN_STOP else (t, self.weight(t))
-        if t not in self.df and len(t) > 3:
-            t = self.near(t) or t
-        elif t not in self.df and len(t) <= 3 and t not in _STOP and t not in _SAME:
-            short = [w for w in self.df if len(w) <= 4 and abs(len(w) - len(t)) <= 1 and distance(w, t) == 1]
-            if short:
-                t = max(short, key=self.df.get)
+        if t not in self.df and t not in _STOP and t not in _SAME and t not in POLITE:
+            if len(t) > 3:
+                t = self.near(t) or t
+            else:
+                short = [w for w in self.df if len(w) <= 4 and abs(len(w) - len(t)) <= 1 and self.known.get(t, 0) * SLIP <= self.df[w] and distance(w, t) == 1]
+                if short:
+                    t = max(short, key=self.df.get)
         if t in _SAME:
             return (_SAME[t], 0.0)
         if t in _STOP or t in POLITE:
             return None
-        return (t, self.weight(t)) if t in self.df else (t, LOOSE)
+        return (t, self.weight(t)) if t in self.df or t in self.known else (t, self.rarest)
 
     def weight(self, t: str) -> float:
-        return max(0.2, log(self.n / self.df[t])) if t in self.df else LOOSE
+        n = self.df.get(t) or self.known.get(t)
+        return max(0.2, log(self.n / n)) if n else LOOSE
 
-    def _of(self, question: str) -> tuple[tuple[str, ...], tuple[float, ...]]:
-        """Terms and weights of length one, from rare to common."""
-        got: dict[str, float] = {}
+    def rare(self, t: str) -> bool:
+        return t not in self.df and t[0] != "_" and not _HAN_FIRST(t)
+
+    def _of(self, question: str) -> tuple[tuple[str, ...], tuple[float, ...], dict[str, float]]:
+        """Terms and weights of length one, from rare to common, as they are listed; and the weights of all words by themselves."""
+        exact: dict[str, float] = {}
         for t in tokens(question):
             if (x := self.term(t)) is not None:
-                got[x[0]] = max(got.get(x[0], 0.0), x[1] or 0.3)
+                exact[x[0]] = x[1] or 0.3
+        got: dict[str, float] = {}
+        for t, w in exact.items():
+            got[RARE if self.rare(t) else t] = LOOSE if self.rare(t) else w
         size = sqrt(sum(w * w for w in got.values())) or 1.0
         order = sorted(got, key=lambda t: (-got[t], t))
-        return tuple(order), tuple(got[t] / size for t in order)
+        return tuple(order), tuple(got[t] / size for t in order), exact
 
     def listed(self, weights: tuple[float, ...]) -> int:
         """How many first terms a vector must be listed under."""
@@ -172,24 +195,33 @@ class Vectors:
             rest -= w * w
         return len(weights)
 
-    def same(self, a: str, b: str) -> bool:
-        """The exact check: what only one side has are spare words, never established ones of meaning."""
-        ta, tb = self.of(a)[0], self.of(b)[0]
+    def slips(self, only_a: list[str], only_b: list[str]) -> list[tuple[str, str]]:
+        """Rare words of both sides that are spellings of one; two known words never are."""
+        got, left = [], [t for t in only_b if self.rare(t)]
+        for t in only_a:
+            near = [(d, u) for u in left if self.rare(t) and not (t in self.known and u in self.known) and (d := distance(t, u, 2)) <= (1 if min(len(t), len(u)) < 6 else 2)]
+            if near:
+                u = min(near)[1]
+                got.append((t, u))
+                left.remove(u)
+        return got
+
+    def cosine(self, a: str, b: str) -> float:
+        """The exact cosine of two questions whose vectors met, 0 if what only one side has asks something else.
+
+        What one side alone has may be words of one meaning, or up to SPARE unknown Han characters.
+        """
+        wa, wb = self.of(a)[2], self.of(b)[2]
         if (la := tongue(a)) and (lb := tongue(b)) and la != lb:
-            return False  # a translation
-        only_a, only_b = [t for t in ta if t not in tb], [t for t in tb if t not in ta]
-        weighty = lambda x: [t for t in x if t in self.df and not t.startswith("_")]
-        han = lambda x: [t for t in x if regex.match(r"\p{Han}", t)]
-        if han(only_a) or han(only_b):
-            # a character more or less, or one written wrongly on one side only
-            ha, hb = han(only_a), han(only_b)
-            if weighty(ha) and weighty(hb) or len(ha) > SPARE or len(hb) > SPARE or len(weighty(ha + hb)) > 0:
-                return False
-        la, lb = weighty(t for t in only_a if not regex.match(r"\p{Han}", t)), weighty(t for t in only_b if not regex.match(r"\p{Han}", t))
-        if la or lb:
-            return False
-        free = lambda x: len([t for t in x if not t.startswith("_")])
-        return free(only_a) <= SPARE and free(only_b) <= SPARE
+            return 0.0  # a translation
+        only_a, only_b = [t for t in wa if t not in wb], [t for t in wb if t not in wa]
+        pairs = self.slips(only_a, only_b)
+        only_a, only_b = [t for t in only_a if t not in {p[0] for p in pairs}], [t for t in only_b if t not in {p[1] for p in pairs}]
+        spare_a, spare_b = [t for t in only_a if t[0] != "_"], [t for t in only_b if t[0] != "_"]
+        if spare_a and spare_b or len(spare_a + spare_b) > SPARE or any(not _HAN_FIRST(t) or t in self.df or t in self.known for t in spare_a + spare_b):
+            return 0.0
+        dot = sum(w * wb[t] for t, w in wa.items() if t in wb) + sum(wa[t] * wb[u] for t, u in pairs)
+        return dot / sqrt(sum(w * w for w in wa.values()) * sum(w * w for w in wb.values())) if dot else 0.0
 
 
 _READY: dict[str, Vectors] = {}
@@ -213,23 +245,24 @@ def _texts(records: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.select("rec_id", "train", F.xxhash64("group_id", "key").alias("block"), "tid", "question", "lang"))
 
 
-def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Document frequencies of the established words, over all questions; few by their definition.
+def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
+    """Document frequencies of the established words, the number of questions, and frequencies of the other known words.
 
-    Every kept word holds at least ESTABLISHED of its language's questions, so
-    there are at most (words per question) / ESTABLISHED of them per language.
+    Every known word holds at least KNOWN of its language's questions, so there
+    are at most (words per question) / KNOWN of them per language.
     """
     folded = F.translate(F.lower("question"), "àâäáãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
     token = F.explode(F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(\p{IsHan}|[\p{L}\p{M}]+)"), F.lit(1)))).alias("w")
     lang = F.when(F.col("lang").isin("en", "zh", "de", "fr", "es"), F.col("lang")).otherwise("")
+    counts = texts.select(lang.alias("lang"), token).groupBy("lang", "w").agg(F.count("*").alias("n"))
     per = texts.groupBy(lang.alias("lang")).agg(F.count("*").alias("of")).collect()  # at most six rows
-    least = F.lit(None).cast("double")
+    of = F.lit(None).cast("double")
     for r in per:
         if r["lang"]:
-            least = F.when(F.col("lang") == r["lang"], max(8.0, r["of"] * ESTABLISHED)).otherwise(least)
-    counts = texts.select(lang.alias("lang"), token).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    total = counts.groupBy("w").agg(F.sum("n").alias("n"), F.max(F.col("n") >= least).alias("kept")).filter("kept").collect()
-    return {r["w"]: r["n"] for r in total}, sum(r["of"] for r in per)
+            of = F.when(F.col("lang") == r["lang"], float(r["of"])).otherwise(of)
+    kept = lambda share: F.coalesce(F.max(F.col("n") >= F.greatest(F.lit(8.0), of * share)), F.lit(False))
+    total = counts.groupBy("w").agg(F.sum("n").alias("n"), kept(ESTABLISHED).alias("established"), kept(KNOWN).alias("known")).filter("known").collect()
+    return {r["w"]: r["n"] for r in total if r["established"]}, sum(r["of"] for r in per), {r["w"]: r["n"] for r in total if not r["established"]}
 
 
 def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +280,7 @@ def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFr
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             for block, tid, train, q in zip(*(x.to_pylist() for x in b.columns)):
-                terms, weights = v.of(q)
+                terms, weights, _ = v.of(q)
                 for k in range(v.listed(weights)):
                     for o, x in zip(out, (block, terms[k], tid, train, q, weights[0], sum(weights))):
                         o.append(x)
@@ -256,7 +289,9 @@ def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFr
 
     listed = scratch.keep(near.mapInArrow(build, "block bigint, term string, tid bigint, train boolean, question string, most double, total double"))
     side = lambda name, which: listed.filter(which).select("block", "term", *[F.col(c).alias(f"{c}_{name}") for c in ("tid", "question", "most", "total")])
-    met = side("a", "train").join(side("b", "not train"), ["block", "term"]).filter("tid_a <> tid_b")
+    # the lists of a hot block are spread
+    right = scratch.keep(side("b", "not train"))
+    met = spread_join(side("a", "train"), right, ["block", "term"], None, F.col("tid_a"), ["tid_b", "question_b", "most_b", "total_b"]).filter("tid_a <> tid_b")
     # bound by the largest weights: the dot product is at most either largest weight times the other's sum
     met = met.filter(F.least(F.col("most_a") * F.col("total_b"), F.col("most_b") * F.col("total_a")) >= THRESHOLD)
     met = met.select("block", "term", "tid_a", "tid_b", "question_a", "question_b")
@@ -266,13 +301,13 @@ def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFr
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for block, term, ia, ib, qa, qb in zip(*(x.to_pylist() for x in batch.columns)):
-                (ta, wa), (tb, wb) = v.of(qa), v.of(qb)
+                (ta, wa, _), (tb, wb, _) = v.of(qa), v.of(qb)
                 of_b = dict(zip(tb, wb))
                 if next(t for t in ta if t in of_b) != term:
                     continue  # weighed under its first shared term
                 dot = sum(w * of_b[t] for t, w in zip(ta, wa) if t in of_b)
-                if dot >= THRESHOLD and v.same(qa, qb):
-                    for o, x in zip(out, (block, ia, ib, dot)):
+                if dot >= THRESHOLD and (exact := v.cosine(qa, qb)) >= THRESHOLD:
+                    for o, x in zip(out, (block, ia, ib, exact)):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["block", "tid_a", "tid_b", "cosine"])
 
@@ -285,16 +320,31 @@ def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFr
 def found(records: DataFrame) -> DataFrame:
     """(rec_id_a, rec_id_b), the smaller first: every pair of a train record with one of another split."""
     pairs, rows = overlaps(records)
-    a = rows.filter("train").select(F.col("rec_id").alias("ra"), "block", F.col("tid").alias("tid_a"))
-    b = rows.filter("not train").select(F.col("rec_id").alias("rb"), "block", F.col("tid").alias("tid_b"))
-    got = a.join(when_few(pairs.select("block", "tid_a", "tid_b")), ["block", "tid_a"]).join(b, ["block", "tid_b"])
+    # both joins spread the copies of a hot text
+    b = kept(spread_join(rows.filter("not train"), pairs, ["block", ("tid", "tid_b")], None, F.col("rec_id"), ["tid_a"]).select("block", "tid_a", F.col("rec_id").alias("rb")), "overlap")
+    got = spread_join(rows.filter("train").select(F.col("rec_id").alias("ra"), "block", "tid"), b, ["block", ("tid", "tid_a")], None, F.col("ra"), ["rb"])
     return got.select(F.least("ra", "rb").alias("rec_id_a"), F.greatest("ra", "rb").alias("rec_id_b"))
 
 
+def _linked(records: DataFrame) -> DataFrame:
+    """(rec_id, train, block, tid, links) of every record that overlaps with the other side."""
+    pairs, rows = overlaps(records)
+    copies = rows.groupBy("block", "tid").agg(F.count_if("train").alias("t"), F.count_if(~F.col("train")).alias("e"))
+    counted = kept(spread_join(pairs, copies.select("block", F.col("tid").alias("tid_a"), "t"), ["block", "tid_a"], None, F.col("tid_b"), ["t"]), "overlap")
+    counted = kept(spread_join(counted, copies.select("block", F.col("tid").alias("tid_b"), "e"), ["block", "tid_b"], None, F.col("tid_a"), ["e"]), "overlap")
+    links = counted.select("block", F.lit(True).alias("train"), F.col("tid_a").alias("tid"), F.col("e").alias("links")).union(counted.select("block", F.lit(False), "tid_b", "t")).groupBy("block", "train", "tid").agg(F.sum("links").alias("links"))
+    return spread_join(rows, links, ["block", "train", "tid"], None, F.col("rec_id"), ["links"])
+
+
+def members(records: DataFrame) -> DataFrame:
+    """(rec_id, class_id, links): every record that overlaps with the other side, the smallest such rec_id of its block with its text, and its number of links; no pair of copies is written out."""
+    hit = kept(_linked(records), "overlap")
+    classes = hit.groupBy("block", "tid").agg(F.min("rec_id").alias("class_id"))
+    return spread_join(hit, classes, ["block", "tid"], None, F.col("rec_id"), ["class_id"]).select("rec_id", "class_id", "links")
+
+
 def report(records: DataFrame) -> DataFrame:
     """(split, source, records, links): evaluation records that overlap with train, and their links, per split and source."""
-    pairs, rows = overlaps(records)
-    per_text = rows.filter("train").groupBy("block", F.col("tid").alias("tid_a")).agg(F.count("*").alias("n"))
-    links = pairs.join(per_text, ["block", "tid_a"]).groupBy("block", F.col("tid_b").alias("tid")).agg(F.sum("n").alias("links"))
-    hit = rows.filter("not train").join(links, ["block", "tid"]).select("rec_id", "links")
-    return hit.join(records.select("rec_id", "split", "source"), "rec_id").groupBy("split", "source").agg(F.count("*").alias("records"), F.sum("links").alias("links"))
+    hit = _linked(records).filter("not train").select("rec_id", "links")
+    named = spread_join(records.select("rec_id", "split", "source"), hit, ["rec_id"], None, F.col("rec_id"), ["links"])
+    return named.groupBy("split", "source").agg(F.count("*").alias("records"), F.sum("links").alias("links"))

@@ -46,13 +46,37 @@ def test_lists_lose_no_pair(spark):
     for ra, _, qa, _, sa in rows:
         for rb, _, qb, _, sb in rows:
             if sa == "train" and sb == "test":
-                (ta, wa), (tb, wb) = v.of(qa), v.of(qb)
-                dot = sum(w * dict(zip(tb, wb)).get(t, 0.0) for t, w in zip(ta, wa))
-                if qa == qb or dot >= S.THRESHOLD and v.same(qa, qb):
+                if qa == qb or v.cosine(qa, qb) >= S.THRESHOLD:
                     want.add((min(ra, rb), max(ra, rb)))
     assert got == want and want
 
 
+def test_rare_words_part_questions(spark):
+    """Organs far under any share of the questions: never a pair with each other, still one with their own misspelling."""
+    rare = ["esophagus", "pericardium", "pancreas", "thymus", "ileum", "ilium"]
+    q = "Is there a lesion in the lung visible near the {}?"
+    rows = [(k, 50 + k % 7, q.format(ORGANS[k % 6]), "Yes", "train") for k in range(3000, 4500)]
+    rows += [(k, 1, q.format(o), "Yes", "train") for k, o in enumerate(rare, 1)] + [(100 + k, 1, q.format(o), "Yes", "test") for k, o in enumerate(rare, 1)]
+    rows += [(201, 1, "Is there a lesion in the lung visible near the pericaridum?", "Yes", "test"), (202, 1, "is there a lesion in the lung seen near the esophaguss", "Yes", "test"), (203, 1, "Is there a lesion in the lung visible?", "Yes", "test")]
+    for k in range(600, 620):  # the two short ones are known words, so none is a slip of the other
+        rows += [(k, k, q.format(rare[4 + k % 2]), "Yes", "train")]
+    got = {(r.rec_id_a, r.rec_id_b) for r in S.found(make(spark, rows)).collect() if r.rec_id_a < 50}
+    assert got == {(k, 100 + k) for k in range(1, 7)} | {(2, 201), (1, 202)}
+
+
+def test_members_hold_every_link(spark, monkeypatch):
+    q = "Is the left lung visible in this scan?"
+    rows = [(k, 1, q if k % 3 else q.upper() + " Thanks", "Yes", "train" if k % 4 else "test") for k in range(1, 200)]
+    df = make(spark, rows + filler())
+    pairs = [(r.rec_id_a, r.rec_id_b) for r in S.found(df).collect()]
+    assert len(pairs) == sum(k % 4 > 0 for k in range(1, 200)) * sum(k % 4 == 0 for k in range(1, 200))
+    got = {r.rec_id: (r.class_id, r.links) for r in S.members(df).collect()}
+    assert {r: n for r, (_, n) in got.items()} == {r: sum(r in p for p in pairs) for r in got} and len(got) == 199
+    assert {c for c, _ in got.values()} == {1, 3}
+    monkeypatch.setattr("tessella.plans.spread._few", lambda *a: False)
+    assert sorted((r.rec_id_a, r.rec_id_b) for r in S.found(df).collect()) == sorted(pairs)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert S.found(none).count() == 0 and S.report(none).count() == 0
+    assert S.found(none).count() == 0 and S.report(none).count() == 0 and S.members(none).count() == 0
