@@ -15,6 +15,7 @@ numbers, measures and technique names belong to every language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from operator import add
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.courtesies import plain
 from tessella.llm.languages import Classifier, Machines, classifier, label_column, train
-from tessella.plans.cut import Scratch
+from tessella.plans.cut import Scratch, measure
 from tessella.plans.shared import Shared
+from tessella.plans.spread import BROADCAST_BYTES, spread_join
 
 #: Order in which the first defect is named.
 ORDER = ["empty", "copy", "refusal", "truncated", "other_language"]
@@ -40,8 +42,8 @@ SHORT_WORDS, OFTEN, USUAL = 3, 5, 0.2
 BROADCAST_ROWS = 100_000
 #: Shares of matching letters from which an answer is the question again, one that ends as a question and any other.
 ASKS_SAME, NEARLY_SAME = 0.68, 0.82
-#: Letters from which texts are only compared exactly.
-LONG = 4000
+#: Texts of more letters are weighed by the shingles of so many letters they share, in linear time, and are the same from this share on.
+LONG, SHINGLE, SHARED_SHINGLES = 1000, 8, 0.5
 #: Questions and answers that a worker keeps; beyond that it starts afresh.
 KEEP = 150_000
 #: Scaled margins beyond which an answer isn't in a language: for one word, for two, for more.
@@ -66,12 +68,19 @@ REFUSALS = regex.compile(
             r"\bals (?:ki|sprachmodell|ein sprachmodell)\b", r"\b(?:es )?tut mir leid\b", r"\bich (?:kann|darf|muss|möchte|werde)\b.{0,40}(?:nicht|keine|ablehnen)", r"\b(?:kann|darf) ich\b.{0,60}(?:nicht|keine)", r"\banfrage ablehnen\b", r"\bkeine auskunft\b", r"\bfragen sie (?:bitte )?(?:eine|einen|ihren) (?:fachperson|arzt|ärztin|facharzt)",
             r"\ben tant que (?:modèle|ia|assistant)\b", r"\bje (?:suis désolée?|ne peux pas|ne suis pas en mesure|dois refuser|refuse|regrette)\b", r"\bil ne m'est pas (?:permis|possible)\b", r"\brefuser cette demande\b", r"\bveuillez consulter\b",
             r"\bcomo (?:modelo|ia|asistente|un modelo)\b", r"\blo siento\b", r"\bno (?:puedo|me (?:está permitido|es posible)|estoy (?:autorizad[oa]|en condiciones)|debo) ", r"\bdebo (?:rechazar|declinar)\b", r"\bdisculpe\b", r"\bconsulte a un\b",
+            # a preference, a rule, somebody else's place, another topic
+            r"\b(?:i'?d|i would|i) (?:rather|prefer)\b.{0,20}\bnot\b", r"\bno comment\b", r"\b(?:guidelines?|rules|polic(?:y|ies)|instructions)\b.{0,20}\b(?:do(?:es)? not|don'?t|doesn'?t|won'?t|cannot|forbid|prohibit|prevent)", r"\b(?:isn'?t|is not|not) (?:my place|for me|up to me) to\b",
+            r"\bonly an? (?:qualified |medical )?(?:doctor|physician|clinician|specialist|radiologist|professional) (?:should|can|may|could)\b", r"\b(?:have|need|ought) to ask (?:the|your|a) (?:\w+ )?(?:doctor|physician|clinician|specialist|radiologist)", r"\b(?:let'?s|let us|shall we|can we|we could) (?:talk|speak|chat) about (?:something|anything) else\b|\bchange the subject\b",
+            r"\bnur (?:ein|eine|ihr|ihre) (?:facharzt|arzt|ärztin|fachärztin|radiologe|fachperson)\b", r"\b(?:möchte|will|werde) ich mich nicht äußern\b|\bich mich (?:dazu )?(?:lieber )?nicht äußern\b", r"\b(?:richtlinien|regeln|vorgaben|vorschriften)\b.{0,30}\b(?:kein|keine|nicht|verbieten|untersagen)\b", r"\bkein kommentar\b", r"\bsteht mir nicht zu\b", r"\b(?:reden|sprechen) wir (?:lieber )?(?:über|von) etwas ander", r"\b(?:müssten|müssen|sollten) sie\b.{0,40}\b(?:arzt|ärztin|facharzt|radiologen) fragen\b",
+            r"\bseuls? (?:un|une|votre|le) (?:médecin|spécialiste|radiologue|professionnel)\b", r"\bje préfère(?:rais)? ne (?:rien|pas)\b", r"\b(?:consignes|règles|directives|instructions)\b.{0,20}\b(?:interdi|ne .{0,12}permet|empêche)", r"\b(?:sans|pas de) commentaire\b", r"\bce n'est pas à moi de\b", r"\bparlons (?:plutôt )?d'autre chose\b", r"\bil (?:faudrait|faut|vaut mieux) demander (?:au|à (?:un|votre|la)) (?:\w+ )?(?:médecin|radiologue|spécialiste)",
+            r"\bs[oó]lo\b.{0,30}\b(?:un|una|su) (?:médic[oa]|especialista|radiólog[oa])\b", r"\bprefiero no\b|\bpreferiría no\b", r"\b(?:normas|reglas|pautas|directrices|instrucciones)\b.{0,20}\b(?:no|prohíben|impiden)\b", r"\bsin comentarios\b", r"\bno me corresponde\b", r"\bhablemos (?:mejor )?de otra cosa\b", r"\b(?:tendría|debería|habría) que preguntar(?:le|lo)?\b|\bdebería preguntar(?:le|lo)? (?:al|a su|a un)",
+            r"恕我|恕不|不予置评|无可奉告", r"只有(?:专业)?(?:医生|医师|大夫)才", r"(?:按照|根据|依照)?(?:规定|规则|准则|指引).{0,6}(?:不可以|不能|不允许|不得|禁止)", r"聊(?:点|些)?别的|换个话题", r"问(?:问|一下)?(?:您的|你的)?(?:主治|专科|放射科)?(?:医师|医生|大夫)", r"我(?:不想|宁愿不|还是不)(?:说|回答|评论)",
             r"抱歉", r"对不起", r"不好意思", r"作为(?:一个)?(?:语言模型|人工智能|AI)", r"我(?:无法|不能|不便|没有办法|没法|拒绝)", r"超出了我", r"(?:请|建议您)(?:咨询|询问)专",
         ]
     ),
     regex.I,
 )
-NOT_REFUSAL = regex.compile(r"^(?:yes|no|ja|nein|oui|non|sí|si|是|否)\b", regex.I)
+NOT_REFUSAL = regex.compile(r"^(?:yes|no|ja|nein|oui|non|sí|si|是|否)\s*(?:[,.;:，。；：]|$)", regex.I)
 
 _DIGIT = regex.compile(r"\d")
 _WORD = regex.compile(r"[\p{Latin}\p{M}]+(?:['’][\p{Latin}\p{M}]+)*")
@@ -167,13 +176,14 @@ def is_copy(q: str, a: str, answer: str) -> bool:
     han = bool(_HAN.search(a))
     if la < (6 if han else 15):
         return False
+    asks = answer.rstrip(" \t\n\"'”’」)*_").endswith(("?", "？"))
     if max(la, lq) > LONG:
-        return 5 * la >= 3 * lq and a in q  # slips are only weighed in texts of usual length
+        return 5 * la >= 3 * lq and (a in q or 10 * la <= 14 * lq and _shared(q, a, max(la, lq)) >= SHARED_SHINGLES) or lq > la and asks and _shared(q, a, la) >= 0.8
     if 5 * la >= 3 * lq:
         if a in q:
             return True
         # a question with spelling slips or a word changed; one that still asks may differ more
-        least = ASKS_SAME if answer.rstrip(" \t\n\"'”’」)*_").endswith(("?", "？")) else NEARLY_SAME
+        least = ASKS_SAME if asks else NEARLY_SAME
         if 10 * la <= 14 * lq and (m := SequenceMatcher(None, q, a, autojunk=False)).real_quick_ratio() > least and m.quick_ratio() > least:
             return m.ratio() > least
     if lq > la >= (8 if han else 20) and answer.rstrip(" \"'”」)*_").endswith(("?", "？")):
@@ -181,6 +191,12 @@ def is_copy(q: str, a: str, answer: str) -> bool:
     return False
 
 
+def _shared(q: str, a: str, of: int) -> float:
+    """Share of the shingles of a text of so many letters that q and a have in common, each as often as both have it."""
+    count = lambda x: Counter(x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1))
+    return (count(q) & count(a)).total() / max(1, of - SHINGLE + 1)
+
+
 def is_refusal(answer: str) -> bool:
     return bool(REFUSALS.search(answer)) and not NOT_REFUSAL.match(answer.strip())
 
@@ -289,18 +305,21 @@ def all_defects(records: DataFrame, machines: Machines | None = None, first_only
     """(rec_id, defect): every defect of every answer, or only its first in ORDER."""
     spark = records.sparkSession
     shared = Shared(spark, machines or train(records, ["question", "answer"], "q_lang"))
-    counts = Scratch(spark, "answers").keep(answer_counts(records, "answer", "q_lang"))
+    scratch = Scratch(spark, "answers")
+    counts = scratch.keep(answer_counts(records, "answer", "q_lang"))
     cut = broken_off(counts).select("key", F.lit(True).alias("cut"), F.lit(None).cast("string").alias("usual"))
     usual = usual_languages(counts).select("key", F.lit(None).cast("boolean").alias("cut"), F.col("langs").alias("usual"))
-    known = cut.union(usual).groupBy("key").agg(F.coalesce(F.max("cut"), F.lit(False)).alias("cut"), F.max("usual").alias("usual"))
-    some = known.limit(broadcast_rows + 1).collect()
+    known = scratch.keep(cut.union(usual).groupBy("key").agg(F.coalesce(F.max("cut"), F.lit(False)).alias("cut"), F.max("usual").alias("usual")))
     rows = records.select("rec_id", "question", "answer")
-    if len(some) <= broadcast_rows:
-        keys = Shared(spark, {r["key"]: (r["cut"], r["usual"]) for r in some})
+    held, size = measure(known)
+    if held <= broadcast_rows and size <= BROADCAST_BYTES:
+        keys = Shared(spark, {r["key"]: (r["cut"], r["usual"]) for r in known.collect()})
         rows = rows.select("*", F.lit(None).cast("boolean").alias("cut"), F.lit(None).cast("string").alias("usual"))
     else:
         keys = None
-        rows = rows.withColumn("key", answer_key(F.col("answer"))).join(known, "key", "left").select("rec_id", "question", "answer", F.coalesce("cut", F.lit(False)).alias("cut"), "usual")
+        # an answer that a third of the records have is spread over tasks
+        joined = spread_join(rows.withColumn("_key", answer_key(F.col("answer"))), known, [("_key", "key")], None, F.col("rec_id"), [("cut", "_cut"), ("usual", "_usual")], "left", broadcast_rows=0)
+        rows = joined.select("rec_id", "question", "answer", F.coalesce("_cut", F.lit(False)).alias("cut"), F.col("_usual").alias("usual"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = _checker(shared)

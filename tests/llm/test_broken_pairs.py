@@ -27,7 +27,9 @@ def test_copy():
 
 def test_refusal():
     yes = ["I'm sorry, but I can't give an opinion on this scan.", "As a language model, this request is outside what I may answer", "对不起，我不能解读医学影像", "Leider muss ich diese Anfrage ablehnen!", "Lo siento, pero debo rechazar esta petición.", "Pardon, je ne peux pas donner d'avis sur ce cliché."]
-    no = ["No, the rectum cannot be seen at this level.", "The contour cannot be followed below the second level.", "Non, on ne voit pas la rate.", "否，看不到。"]
+    yes += ["I'd rather not say.", "My guidelines do not allow a reply here", "It isn't my place to judge this picture", "That is something only a doctor should tell you.", "You would have to ask the reporting physician", "Let's talk about something else instead", "No comment from me on this one.", "恕我不作判断", "这种事情只有医生才能告诉您", "按照规定我不可以回复。", "这个问题请去问主治医师", "我们还是聊点别的吧"]
+    yes += ["Das sollte Ihnen nur ein Arzt sagen.", "Meine Richtlinien lassen keine Antwort zu", "Dazu möchte ich mich nicht äußern.", "Reden wir lieber über etwas anderes", "Seul un médecin devrait vous le dire", "Mes consignes m'interdisent de répondre.", "Je préfère ne rien dire à ce sujet", "Parlons d'autre chose", "Eso solo debería decírselo un médico.", "Mis normas no me dejan responder", "Prefiero no decir nada sobre esto", "Hablemos de otra cosa", "No puedo opinar sobre esta imagen."]
+    no = ["The image shows only a small lesion.", "Nur ein kleiner Schatten.", "Seul le foie est visible.", "Solo un quiste.", "只有肝脏。", "No, the rectum cannot be seen at this level.", "The contour cannot be followed below the second level.", "Non, on ne voit pas la rate.", "否，看不到。"]
     assert all(map(B.is_refusal, yes)) and not any(map(B.is_refusal, no))
 
 
@@ -54,7 +56,16 @@ def test_frames(spark, machines, few):
     assert B.all_defects(df.limit(0), machines, broadcast_rows=few).count() == 0
 
 
+def test_both_ways_agree_on_the_whole_table(spark, machines):
+    df = spark.read.parquet("/root/testdata/sf0.01/qa_record.parquet")
+    got = [sorted(map(tuple, B.all_defects(df, machines, broadcast_rows=few).collect())) for few in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) > 300
+
+
 def test_long_texts_are_quick(machines):
     check = B.Checker(L.Classifier(machines))
     q = "Where does the cyst appear in this image? " * 5000
+    slips = "".join(c for i, c in enumerate(q) if i % 97)
+    other = " ".join(f"Slice {k} shows part {k * 7} of the organ." for k in range(4000))
+    assert check.defects(q, slips) == ["copy"] and "copy" not in check.defects(q, other)
     assert check.defects(q, q) == ["copy"] and "copy" not in check.defects(q, "It appears in the upper left zone of it. " * 5000)
