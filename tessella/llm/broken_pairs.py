@@ -83,7 +83,7 @@ REFUSALS = regex.compile(
 NOT_REFUSAL = regex.compile(r"^(?:yes|no|ja|nein|oui|non|sí|si|是|否)\s*(?:[,.;:，。；：]|$)", regex.I)
 
 _DIGIT = regex.compile(r"\d")
-_WORD = regex.compile(r"[\p{Latin}\p{M}]+(?:['’][\p{Latin}\p{M}]+)*")
+_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:['’]\p{Latin}[\p{Latin}\p{M}]*)*")
 _HAN = regex.compile(r"\p{Han}")
 _SIGN = regex.compile(r"[\p{L}\p{N}]")
 _BARE = regex.compile(r"[^\p{L}\p{N}]+")

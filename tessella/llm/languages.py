@@ -7,11 +7,14 @@ are whole words and their character n-grams, averaged over the words of a text,
 so a text's margin is the mean of per-word scores that workers keep.
 
 The machines are fitted on the driver on a bounded sample of labelled rows
-(SAMPLE_ROWS, a parameter); every row is classified.
-
-Defined cases: a text without letters has no language and no segments; an
-unknown or blank label is missing; words in brackets, single foreign words and
-greetings make no segment of their own.
+(SAMPLE_ROWS, a parameter), chosen by a hash of their texts, so the same table
+gives the same machines however it is laid out; every row is classified.
+
+Defined cases: a text without letters has no language and no segments; a text in
+a script of its own gets the script's usual language, one in a script not listed
+and one that the machines tell with less than UNSURE get UNKNOWN; an unknown or
+blank label is missing; words in brackets, single foreign words and greetings
+make no segment of their own.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ from tessella.plans.shared import Shared
 #: Labelled rows that the machines are fitted on, at most.
 SAMPLE_ROWS = 30_000
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es")}
-#: Languages told by their script alone.
-SCRIPTS = {"zh": r"\p{Han}"}
+#: Languages told by their script: letters of the script, whether words are parted by spaces, and the confidence that the script's usual language is meant.
+SCRIPTS = {
+    "zh": (r"\p{Han}", False, 0.9), "ja": (r"[\p{Hiragana}\p{Katakana}]", False, 0.9), "th": (r"\p{Thai}", False, 0.9), "ko": (r"\p{Hangul}", True, 0.9), "el": (r"\p{Greek}", True, 0.9), "he": (r"\p{Hebrew}", True, 0.9),
+    "hi": (r"\p{Devanagari}", True, 0.6), "ru": (r"\p{Cyrillic}", True, 0.6), "ar": (r"\p{Arabic}", True, 0.6),
+}
+#: What is called of no known language, and the confidence of the machines under which a text is.
+UNKNOWN, UNSURE = "und", 0.4
 BUCKETS = 1 << 16
 #: Words that a part needs to count as a language of its own; Han characters likewise.
 LEAST_WORDS, LEAST_HAN = 3, 5
@@ -43,23 +51,26 @@ KEEP = 150_000
 # Names of languages in labels.
 NAMES = {
     "en": "en eng english", "zh": "zh zho chi cmn chinese mandarin", "de": "de deu ger german", "fr": "fr fra fre french", "es": "es spa spanish castilian",
-    "ja": "ja jpn japanese", "pt": "pt por portuguese", "it": "it ita italian", "nl": "nl nld dut dutch", "hi": "hi hin hindi", "th": "th tha thai", "ko": "ko kor korean", "ru": "ru rus russian",
+    "ja": "ja jpn japanese", "pt": "pt por portuguese", "it": "it ita italian", "nl": "nl nld dut dutch", "hi": "hi hin hindi", "th": "th tha thai", "ko": "ko kor korean", "ru": "ru rus russian", "ar": "ar ara arabic", "el": "el ell gre greek", "he": "he heb hebrew",
 }
 #: Common words of each language; each counts as one labelled text when the machines are fitted.
 COMMON = {
-    "en": "the of and to in is was are were that this it for on with as be by at from have has had not but or an they we you he she which what who how when where there their if will would can could should than then only also into over after before first one two more most some any no very please thank thanks patient image was taken lying side look keep answer short word enough reply reader need seen here",
-    "de": "der die das den dem des und in zu mit sich auf für ist im nicht ein eine einem einen einer als auch es an werden aus er hat dass sie nach wird bei noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können hier bitte danke wir uns ich du was wo wer nur zuerst achte antworte wort patient lag seite aufnahme entstand zweiten brauchen sieht",
-    "fr": "le la les de des du un une et à est en que qui dans pour pas sur au aux avec il elle ne se ce cette ces son sa ses plus par je nous vous ils elles on mais ou où si leur y être avoir été était ont sont fait comme tout très bien aussi sans sous entre après avant seulement merci répondre seul mot d'abord regardez voulons visible ici couché côté gauche cliché pris patient",
-    "es": "el la los las de del un una y a en que es por con no para se su lo como más pero sus le al este esta estos entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos fue son era está están gracias por favor sólo solo primero mire responda palabra aquí ve necesitamos paciente estaba tumbado lado toma hizo después segunda",
+    "en": "the of and to in is was are were that this it for on with as be by at from have has had not but or an they we you he she which what who how when where there their if will would can could should than then only also into over after before first one two more most some any no very please thank thanks was here",
+    "de": "der die das den dem des und in zu mit sich auf für ist im nicht ein eine einem einen einer als auch es an werden aus er hat dass sie nach wird bei noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können hier bitte danke wir uns ich du was wo wer nur zuerst",
+    "fr": "le la les de des du un une et à est en que qui dans pour pas sur au aux avec il elle ne se ce cette ces son sa ses plus par je nous vous ils elles on mais ou où si leur y être avoir été était ont sont fait comme tout très bien aussi sans sous entre après avant seulement merci",
+    "es": "el la los las de del un una y a en que es por con no para se su lo como más pero sus le al este esta estos entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos fue son era está están gracias por favor sólo solo",
 }
 _NAMED = {n: code for code, names in NAMES.items() for n in names.split()}
 
-_WORD = regex.compile(r"[\p{Latin}\p{M}]+(?:['’][\p{Latin}\p{M}]+)*")
+_WORD = regex.compile(r"\p{Latin}[\p{Latin}\p{M}]*(?:['’]\p{Latin}[\p{Latin}\p{M}]*)*")
 _HAN = regex.compile(r"\p{Han}")
+_OTHER = regex.compile(r"[\p{L}--\p{Latin}--\p{Han}]", regex.V1)
+_UNITS = {lang: regex.compile(rf"{x}[{x}\p{{M}}]*" if spaced else x, regex.V1) for lang, (x, spaced, _) in SCRIPTS.items()}
+_UNLISTED = regex.compile("[\\p{L}--\\p{Latin}" + "".join(f"--{x}" for x, _, _ in SCRIPTS.values()) + "][\\p{L}\\p{M}]*", regex.V1)
 _DIGITS = regex.compile(r"\d+")
 _BRACKETS = regex.compile(r"[(（\[][^()（）\[\]]{0,60}[)）\]]")
 #: Ends of parts: sentence ends, spaced separators, line breaks, then commas and colons as weak ends.
-_STRONG = regex.compile(r"[.!?…]+[\"'”»)\]*_]*(?=\s|$)|[。！？]+[\"'”」)）\]*]*|\s[/|–—-]+\s|[\r\n]+|[;；]|(?<=\p{Han}[^\p{L}]{0,3})(?=\p{Latin}+(?:['’\s-]+\p{Latin}+){2})|(?<=\p{Latin}[^\p{L}]{0,3})(?=\p{Han}{5})")
+_STRONG = regex.compile(r"[.!?…؟]+[\"'”»)\]*_]*(?=\s|$)|[。！？।॥｡]+[\"'”」)）\]*]*|\s[/|–—-]+\s|[\r\n]+|[;；]|(?<=\p{Han}[^\p{L}]{0,3})(?=\p{Latin}+(?:['’\s-]+\p{Latin}+){2})|(?<=\p{Latin}[^\p{L}]{0,3})(?=\p{Han}{5})")
 _WEAK = regex.compile(r"[,:，：]+(?=\s|\p{Han}|\p{Latin})")
 
 
@@ -157,6 +168,21 @@ def fit(texts: list[str], labels: list[str], families: dict[str, tuple[str, ...]
     return Machines(pairs, weights, bias, scale)
 
 
+def script(text: str) -> tuple[str, int, float, bool]:
+    """Language of the script other than Latin that a text has most of: its units (words, or letters where words aren't parted), confidence, and whether units are words."""
+    han = len(_HAN.findall(text))
+    best = ("zh", han, min(0.999, 0.9 + han / 100), False)
+    if not _OTHER.search(text):
+        return best
+    for lang, unit in _UNITS.items():
+        n = len(unit.findall(text)) + (han if lang == "ja" else 0) * bool(lang == "ja" and unit.search(text))
+        if lang != "zh" and n and n >= best[1]:
+            _, spaced, sure = SCRIPTS[lang]
+            best = (lang, n, min(0.999, sure + n / 100), spaced)
+    n = len(_UNLISTED.findall(text))
+    return best if n <= best[1] else (UNKNOWN, n, 0.5, True)
+
+
 class Classifier:
     """Scores parts of texts with the machines, keeping the scores of words it has seen."""
 
@@ -238,28 +264,38 @@ class Classifier:
         self._bare = bare
         return out
 
+    def _told(self, text: str, words: list[str] | None = None) -> tuple[str, float, int, int]:
+        """Language and confidence of a text in lower case, its units, and the units it needs to count by itself."""
+        words = _WORD.findall(text) if words is None else words
+        lang, n, conf, spaced = script(text)
+        if n and (n if spaced else 2 * n) >= len(words):
+            return lang, conf, n, LEAST_WORDS if spaced else LEAST_HAN
+        if not words:
+            return UNKNOWN, 0.0, 0, LEAST_WORDS
+        lang, conf = self.latin(words)
+        return lang, conf, len(words), LEAST_WORDS
+
     def _segments(self, text: str) -> list[tuple[str, float, int, int]]:
+        return [(UNKNOWN if s[1] < UNSURE and s[0] in self.langs else s[0], *s[1:]) for s in self._stretches(text)]
+
+    def _stretches(self, text: str) -> list[tuple[str, float, int, int]]:
         parts = []
         total = []
         for a, b, strong in self._parts(text):
             piece = self._bare[a:b].lower()
-            words, han = _WORD.findall(piece), len(_HAN.findall(piece))
-            if not words and not han:
+            words = _WORD.findall(piece)
+            lang, conf, n, needed = self._told(piece, words)
+            if not n:
                 continue
             total += words
-            if han and 2 * han >= len(words):
-                parts.append(["zh", min(0.999, 0.9 + han / 100), a, b, strong, han >= LEAST_HAN, han])
-            else:
-                lang, conf = self.latin(words)
-                own = len(words) - sum(w in POLITE for w in words)  # courtesies tell nothing
-                parts.append([lang, conf, a, b, strong, own >= (LEAST_WORDS if strong else LEAST_WORDS + 1), own])
+            if lang in self.langs:
+                n = len(words) - sum(w in POLITE for w in words)  # courtesies tell nothing
+                needed += not strong
+            parts.append([lang, conf, a, b, strong, n >= needed, n])
         if not parts:
             # only bracketed words: the brackets are the text
-            words, han = _WORD.findall(text.lower()), len(_HAN.findall(text))
-            if not words and not han:
-                return []
-            lang, conf = ("zh", 0.9) if 2 * han >= len(words) and han else self.latin(words)
-            return [(lang, conf, 0, len(text))]
+            lang, conf, n, _ = self._told(text.lower())
+            return [(lang, conf, 0, len(text))] if n else []
         # parts between weak ends first join to clauses, unless both sides are long and surely differ
         clauses: list[list] = []
         for p in parts:
@@ -270,16 +306,15 @@ class Classifier:
                     if p[6] > c[6]:
                         c[0], c[1] = p[0], p[1]
                     c[3], c[6] = p[3], c[6] + p[6]
-                    if c[0] != "zh" and len(words := _WORD.findall(self._bare[c[2] : c[3]].lower())):
+                    if c[0] in self.langs and len(words := _WORD.findall(self._bare[c[2] : c[3]].lower())):
                         c[0], c[1] = self.latin(words)
-                    c[5] = c[6] >= (LEAST_HAN if c[0] == "zh" else LEAST_WORDS)
+                    c[5] = c[6] >= (LEAST_HAN if c[0] in SCRIPTS and not SCRIPTS[c[0]][1] else LEAST_WORDS)
                     continue
             clauses.append(p)
         strong_ones = [c for c in clauses if c[5]]
         if not strong_ones:
             # every part is short, as where each word has a line of its own: they are one text
-            han = len(_HAN.findall(self._bare))
-            lang, conf = ("zh", min(0.999, 0.9 + han / 100)) if han and 2 * han >= len(total) else self.latin(total)
+            lang, conf, _, _ = self._told(self._bare.lower(), total)
             return [(lang, conf, clauses[0][2], clauses[-1][3])]
         # greetings, single terms and doubtful parts go with their neighbour
         out: list[list] = []
@@ -299,13 +334,13 @@ class Classifier:
 
 def train(records: DataFrame, text_columns: list[str], label: str, sample_rows: int = SAMPLE_ROWS) -> Machines:
     """Fits the machines on at most sample_rows labelled texts of one clause, drawn evenly over the whole table."""
-    rows = records.count()
-    share = min(1.0, 1.3 * sample_rows / max(1, rows * len(text_columns)))
+    h = F.xxhash64(*text_columns, label)
+    share = min(1.0, 1.3 * sample_rows / max(1, records.count() * len(text_columns)))
     texts = F.explode(F.array(*[F.col(c) for c in text_columns])).alias("t")
-    got = records.sample(share, 17) if share < 1 else records
     langs = [x for f in FAMILIES.values() for x in f]
-    got = got.select(label_column(F.col(label)).alias("lang"), texts).filter(F.col("lang").isin(langs) & F.col("t").rlike(r"\p{IsLatin}{2}") & ~F.col("t").rlike(r"\p{IsHan}|[.!?/|]\s+\p{L}|[\r\n]\s*\p{L}| - "))
-    got = got.limit(sample_rows).toPandas()
+    got = records.filter(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)) if share < 1 else F.lit(True)).select(label_column(F.col(label)).alias("lang"), h.alias("h"), texts)
+    got = got.filter(F.col("lang").isin(langs) & F.col("t").rlike(r"\p{IsLatin}{2}") & ~F.col("t").rlike(r"\p{IsHan}|[.!?/|]\s+\p{L}|[\r\n]\s*\p{L}| - "))
+    got = got.orderBy("h", "t").limit(sample_rows).toPandas()
     return fit(*with_common([regex.sub(_BRACKETS, " ", t) for t in got["t"]], list(got["lang"])))
 
 

@@ -45,6 +45,8 @@ SEGMENTS = {
     "这幅扫描图中能看到甲状腺吗？ / Ist die Schilddrüse in dieser Aufnahme zu erkennen?": ["zh", "de"],
     "Mire primero el borde inferior.\nHow is a stone usually treated?": ["es", "en"],
     "Please keep the answer short. ¿Hay un quiste que afecte el colon?": ["en", "es"],
+    "左肺はこの画像で見えますか？": ["ja"], "Виден ли на этом снимке желчный пузырь?": ["ru"], "क्या इस चित्र में यकृत दिखाई देता है?": ["hi"], "เห็นตับในภาพนี้หรือไม่": ["th"], "이 영상에서 간이 보입니까?": ["ko"], "هل يظهر الكبد في هذه الصورة؟": ["ar"], "Φαίνεται το ήπαρ σε αυτή την εικόνα;": ["el"],
+    "Ձախ թոքը երևո՞ւմ է այս պատկերում": ["und"], "Wstrząsający przejrzyściejszy źdźbło chrząszcz": ["und"], "この画像で肝臓が見えますか？ Is the left lung visible in this scan?": ["ja", "en"], "Où est le foie ? Где находится печень на этом снимке?": ["fr", "ru"],
     "12, 34?": [],
     "": [],
 }
@@ -65,6 +67,18 @@ def test_frames(spark, fitted):
     assert L.found(df.limit(0), fitted[0]).count() == 0
 
 
+def test_fit_is_the_same_however_rows_lie(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/qa_record.parquet")
+    a, b = (L.train(x, ["question", "answer"], "q_lang", 3000) for x in (df.coalesce(1), df.repartition(7)))
+    assert (a.weights == b.weights).all() and (a.bias == b.bias).all()
+
+
+def test_no_text_with_letters_is_silent(fitted):
+    c = L.Classifier(fitted[0])
+    for t in ("肝", "пе", "a", "ก", "ሀ", "é", "x 1", "(Б)"):
+        assert c.segments(t), t
+
+
 def test_training_on_little(spark):
     few = spark.createDataFrame([(1, "hello there my friend", "x", "en"), (2, None, None, None)], "rec_id bigint, question string, answer string, q_lang string")
     m = L.train(few, ["question", "answer"], "q_lang")
