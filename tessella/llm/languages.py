@@ -58,7 +58,7 @@ COMMON = {
     "en": "the of and to in is was are were that this it for on with as be by at from have has had not but or an they we you he she which what who how when where there their if will would can could should than then only also into over after before first one two more most some any no very please thank thanks was here",
     "de": "der die das den dem des und in zu mit sich auf für ist im nicht ein eine einem einen einer als auch es an werden aus er hat dass sie nach wird bei noch wie über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn können hier bitte danke wir uns ich du was wo wer nur zuerst",
     "fr": "le la les de des du un une et à est en que qui dans pour pas sur au aux avec il elle ne se ce cette ces son sa ses plus par je nous vous ils elles on mais ou où si leur y être avoir été était ont sont fait comme tout très bien aussi sans sous entre après avant seulement merci",
-    "es": "el la los las de del un una y a en que es por con no para se su lo como más pero sus le al este esta estos entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos fue son era está están gracias por favor sólo solo",
+    "es": "el la los las de del un una y a en que es por con no para se su lo como más pero sus le al este esta estos entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno ni contra otros ese eso ante ellos fue son era está están gracias por favor sólo solo primero mire",
 }
 _NAMED = {n: code for code, names in NAMES.items() for n in names.split()}
 
