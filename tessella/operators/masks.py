@@ -45,9 +45,9 @@ def hit_rate(records: DataFrame, key: str, hit: Column, limit: int) -> DataFrame
     return records.select(key, hit.alias("hit")).orderBy(key).limit(limit).agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)), 6).alias("hit_rate"))
 
 
-def pixel_difference(a: DataFrame, b: DataFrame, by: list[str], value: str = "v") -> DataFrame:
-    """(by, diff): mean absolute difference over the pixels of both images; a pixel missing on one side counts as 0 there."""
-    on = [*by, "y", "x"]
+def pixel_difference(a: DataFrame, b: DataFrame, by: list[str], value: str = "v", on: list[str] | None = None) -> DataFrame:
+    """(by, diff): mean absolute difference over the pixels of both images, matched on by and place or the columns given; a pixel missing on one side counts as 0 there."""
+    on = on or [*by, "y", "x"]
     j = a.select(*on, F.col(value).alias("va")).join(b.select(*on, F.col(value).alias("vb")), on, "full")
     return j.groupBy(*by).agg(F.round(F.avg(F.abs(F.coalesce("va", F.lit(0)) - F.coalesce("vb", F.lit(0)))), 6).alias("diff"))
 

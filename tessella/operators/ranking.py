@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from tessella.plans.ordinals import with_ordinal
 
+#: Items of a ring that is numbered in one task and broadcast; a larger one is numbered in slices and joined.
+RING_ITEMS = 100_000
+
 
 def best_second(scores: DataFrame, by: list[str], label: str, score: str, position: str) -> DataFrame:
     """(by, best_label, best_score, second_score, margin) of candidates; ties go to the earlier position, one candidate is its own second.
 
-    Two maxima in one aggregation, without sorting the groups.
+    Ranks up to two are kept on both sides of the shuffle, so a group of any size reaches its task as two rows of each.
     """
-    s = scores.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(position)).alias("p"), F.col(label).alias("l"))).alias("b"), F.count("*").alias("k"), F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2).alias("two"))
-    second = F.coalesce(F.get("two", 1), F.get("two", 0))
-    return s.select(*by, F.col("b.l").alias("best_label"), F.round("b.s", 6).alias("best_score"), F.round(second, 6).alias("second_score"), F.round(F.col("b.s") - second, 6).alias("margin"))
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_s"), F.asc("_p"), F.desc("_l")))
+    top = scores.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("_s"), F.col(position).alias("_p"), F.col(label).alias("_l")).withColumn("_rn", rn).filter(F.col("_rn") <= 2)
+    two = top.groupBy(*by).agg(F.max(F.when(F.col("_rn") == 1, F.struct("_s", "_l"))).alias("b"), F.max(F.when(F.col("_rn") == 2, F.col("_s"))).alias("s2"))
+    second = F.coalesce("s2", F.col("b._s"))
+    return two.select(*by, F.col("b._l").alias("best_label"), F.round("b._s", 6).alias("best_score"), F.round(second, 6).alias("second_score"), F.round(F.col("b._s") - second, 6).alias("margin"))
 
 
 def variant_max(scores: DataFrame, by: list[str], variant: str, score: str, position: str) -> DataFrame:
@@ -76,12 +81,29 @@ def balanced_sample(df: DataFrame, is_open: Column, key: Column, size: int, seed
     return top.orderBy((F.col("_rn") > quota).cast("int"), "_h").limit(size).drop("_o", "_h", "_rn")
 
 
-def seeded_negatives(keys: DataFrame, key: str, gold: str, vocabulary: DataFrame, k: int, seed: int, exclude_norm: Column | None = None) -> DataFrame:
-    """(key, item, rank): k items of a small vocabulary other than the gold, in an order seeded by the key; all of them if there are no more."""
-    items = [r["item"] for r in vocabulary.select("item").distinct().orderBy("item").collect()]  # capped vocabulary
-    vocab = F.array(*[F.lit(x) for x in items])
-    order = F.array_sort(F.transform(F.filter(vocab, lambda x: ~x.eqNullSafe(F.col(gold))), lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), x)).alias("h"), x.alias("item"))))
-    return keys.select(key, F.posexplode(F.slice(order, 1, k)).alias("p", "x")).select(key, F.col("x.item").alias("item"), (F.col("p") + 1).alias("rank"))
+def seeded_negatives(keys: DataFrame, key: str, gold: str, vocabulary: DataFrame, k: int, seed: int) -> DataFrame:
+    """(key, item, rank): k items of a vocabulary other than the gold; all of them if there are no more.
+
+    The items stand on a ring in a seeded order; a key starts at a place of its
+    hash and takes the next ones. So a key asks for k + 1 places, whatever the
+    vocabulary's size, and those are joined, not compared with every item.
+    """
+    mark = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), x.cast("string")))
+    items = vocabulary.select("item").distinct()
+    n = items.count()
+    if not n:
+        return keys.select(key, F.lit(None).cast("string").alias("item"), F.lit(None).cast("int").alias("rank")).limit(0)
+    if n <= RING_ITEMS:  # a small ring is numbered at once
+        ring = items.select("item", (F.row_number().over(Window.orderBy(mark(F.col("item")), "item")) - 1).cast("bigint").alias("_at"))
+    else:
+        placed = items.withColumn("_place", F.conv(F.substring(mark(F.col("item")), 1, 13), 16, 10).cast("double"))
+        ring = with_ordinal(placed, "_place", "_at", [mark(F.col("item")), "item"]).select("item", F.col("_at").cast("bigint").alias("_at"))
+    start = F.conv(F.substring(mark(F.col(key)), 1, 8), 16, 10).cast("bigint")
+    steps = F.array(*[F.lit(i) for i in range(min(n, k + 1))])
+    asked = keys.select(key, gold, start.alias("_h"), F.explode(steps).alias("_k")).withColumn("_at", F.pmod(F.col("_h") + F.col("_k"), F.lit(n)))
+    got = asked.join(F.broadcast(ring) if n <= RING_ITEMS else ring, "_at").filter(~F.col("item").eqNullSafe(F.col(gold)))
+    got = got.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("_k")))
+    return got.filter(F.col("rank") <= k).select(key, "item", "rank")
 
 
 def vocab_overlap(questions: DataFrame, key: str, tokens: str, vocabulary: DataFrame, k: int) -> DataFrame:

@@ -294,7 +294,7 @@ def _once(name: str) -> str:
     return f"list_filter({name}, lambda v, i: list_position({name}, v) = i)"
 
 
-_LABEL = "(?:^|[\\s(\\[])(?:[A-Z]|[0-9]+)[.):]\\s*"
+_LABEL = O.LABEL
 _LASTOR = "(length(q) - strpos(reverse(lower(q)), ' ro ') + 1)"
 _OPTS = f"""WITH b AS (SELECT *, {_strip('question')} AS q FROM qa_record),
 raws AS (SELECT *, CASE WHEN regexp_matches(q, '(?s){_LABEL}.*{_LABEL}') THEN list_filter(list_transform(string_split_regex(q, '{_LABEL}')[2:], lambda v: trim(v, ' ;:,.')), lambda v: v <> '') ELSE [] END AS r1,
@@ -373,24 +373,14 @@ def gold_in_candidates(spark, d):
     return r.agg(F.count("*").alias("n"), F.round(F.count_if(O.option_target(F.col("o"), F.col("answer")) >= 0) / F.greatest(F.lit(1), F.count("*")), 6).alias("gold_rate"))
 
 
-@register(f"{_OPTS}, v AS (SELECT count(*) AS n FROM (SELECT {_strip('answer')} AS value, count(*) AS k, min(rec_id) AS fp FROM qa_record WHERE upper(answer_type) = 'CLOSED' AND coalesce(lower(split), 'train') IN ('', 'train') AND lower({_strip('answer')}) NOT IN ('yes','no','') GROUP BY 1 ORDER BY k DESC, fp LIMIT 20)), c AS (SELECT rec_id, {_ROUTE} AS route, len(options) AS k FROM opts WHERE upper(answer_type) = 'CLOSED') SELECT rec_id, route, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_labels, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_bases FROM c, v")
+@register(f"{_OPTS}, v AS (SELECT count(*) AS n FROM (SELECT {_strip('answer')} AS value, count(*) AS k, min(rec_id) AS fp FROM qa_record WHERE upper(answer_type) = 'CLOSED' AND coalesce(lower(split), 'train') IN ('', 'train') AND lower({_strip('answer')}) NOT IN ('yes','no','') GROUP BY 1 ORDER BY k DESC, fp LIMIT 200)), c AS (SELECT rec_id, {_ROUTE} AS route, len(options) AS k FROM opts WHERE upper(answer_type) = 'CLOSED') SELECT rec_id, route, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_labels, CASE route WHEN 'options' THEN k WHEN 'yesno' THEN 2 ELSE v.n END AS n_bases FROM c, v")
 def closed_candidates(spark, d):
-    return _candidate_counts(spark, d, 20)  # capped vocabulary
-
-
-def _candidate_counts(spark: SparkSession, d: str, k: int) -> DataFrame:
-    vocab = F.array(*[F.lit(r["value"]) for r in closed_vocabulary(spark, d, k).collect()]).cast("array<string>")
+    vocab = [r["value"] for r in closed_vocabulary(spark, d).collect()]  # at most the operator's 200 labels
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED")
     c = r.withColumn("o", O.parse_options(F.col("question"))).select("rec_id", O.closed_candidates(F.col("question"), F.col("answer"), vocab, options=F.col("o")).alias("c"))
     return c.select("rec_id", "c.route", F.size("c.labels").alias("n_labels"), F.size("c.variants").alias("n_bases"))
 
 
-@register(ORACLE["closed_candidates"].replace(" LIMIT 20)", " LIMIT 200)"))
-def closed_candidates_whole(spark, d):
-    """closed_candidates with the whole vocabulary of the operator, 200 labels."""
-    return _candidate_counts(spark, d, 200)
-
-
 @register("WITH b AS (SELECT canon_id, label, [label, lower(label), upper(substr(label,1,1)) || lower(substr(label,2))] AS f FROM canonical_answer) SELECT canon_id, len(list_distinct(list_concat(f, list_transform(f, lambda x: ' ' || x)))) * 4 AS n_variants FROM b")
 def candidate_variants(spark, d):
     return table(spark, d, "canonical_answer").select("canon_id", F.size(O.candidate_variants(F.col("label"))).cast("bigint").alias("n_variants"))
@@ -500,21 +490,26 @@ def positional_join(spark, d):
     return joins.positional_join(table(spark, d, "qa_record").select("rec_id"), table(spark, d, "raw_record").select("raw_id"), "rec_id", "raw_id").select("pos", "rec_id", "raw_id")
 
 
-@register("WITH r AS (SELECT qid, arg_max(normalized_generation, generated_at) AS norm FROM generation_result WHERE normalized_generation IS NOT NULL AND qid <> 0 GROUP BY qid HAVING count(DISTINCT generated_at) = count(*)) SELECT p.pred_id, coalesce(r.norm, p.normalized_pred) AS normalized_pred FROM prediction p LEFT JOIN r ON p.qid = r.qid")
+@register("WITH r AS (SELECT qid, arg_max(normalized_generation, row(generated_at, gen_id)) AS norm FROM generation_result WHERE normalized_generation IS NOT NULL AND qid <> 0 GROUP BY qid) SELECT p.pred_id, coalesce(r.norm, p.normalized_pred) AS normalized_pred FROM prediction p LEFT JOIN r ON p.qid = r.qid")
 def retry_patch(spark, d):
     g = table(spark, d, "generation_result").filter("normalized_generation is not null and qid <> 0")
-    one = g.groupBy("qid").agg(F.count("*").alias("n"), F.count_distinct("generated_at").alias("k"), F.max_by("normalized_generation", "generated_at").alias("normalized_pred")).filter("n = k").select("qid", "normalized_pred")
+    one = joins.latest(g.select("qid", "generated_at", "gen_id", F.col("normalized_generation").alias("normalized_pred")), "qid", ["generated_at", "gen_id"])
     return joins.patch(table(spark, d, "prediction").select("pred_id", "qid", "normalized_pred"), one, "qid", ["normalized_pred"]).select("pred_id", "normalized_pred")
 
 
-_PIX = "px AS (SELECT r.img_id AS img, CAST(m[3] AS INTEGER) AS slice, CAST(m[1] AS INTEGER) AS x, CAST(m[2] AS INTEGER) AS y, l.class_id FROM (SELECT *, regexp_extract_all(question, '[0-9]+') AS m FROM qa_record WHERE regexp_matches(question, '^What tissue lies at point \\([0-9]+, [0-9]+\\) of slice [0-9]+\\?$')) r JOIN mask_label l ON lower(r.answer) = lower(l.label) WHERE r.img_id IS NOT NULL)"
+#: A point in brackets, in any language and spacing; with the slice a question has three numbers.
+_POINT = r"[(（]\s*[0-9]+\s*[,，;；]\s*[0-9]+\s*[)）]"
+_PIX = f"""nums AS (SELECT img_id, answer, regexp_extract_all(question, '[0-9]+') AS m, regexp_extract_all(regexp_extract(question, '{_POINT}'), '[0-9]+') AS p, regexp_extract_all(regexp_replace(question, '{_POINT}', ' '), '[0-9]+') AS r FROM qa_record WHERE img_id IS NOT NULL AND regexp_matches(question, '{_POINT}')),
+px AS (SELECT n.img_id AS img, CAST(r[1] AS INTEGER) AS slice, CAST(p[1] AS INTEGER) AS x, CAST(p[2] AS INTEGER) AS y, l.class_id FROM nums n JOIN mask_label l ON trim(lower(n.answer), ' .') = lower(l.label) WHERE len(m) = 3)"""
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """A pixel relation from the records that name the tissue at a point."""
-    m = F.regexp_extract_all("question", F.lit(r"([0-9]+)"), F.lit(1))
-    r = table(spark, d, "qa_record").filter(F.col("question").rlike(r"^What tissue lies at point \([0-9]+, [0-9]+\) of slice [0-9]+\?$") & F.col("img_id").isNotNull())
-    r = r.select(F.col("img_id").alias("img"), F.get(m, 2).cast("int").alias("slice"), F.get(m, 0).cast("int").alias("x"), F.get(m, 1).cast("int").alias("y"), F.lower("answer").alias("name"))
+    """A pixel relation from the records that name the tissue at a point of a slice, whatever the language of the question."""
+    numbers = lambda x: F.regexp_extract_all(x, F.lit("([0-9]+)"), F.lit(1))
+    q = F.col("question")
+    point, rest = numbers(F.regexp_extract(q, _POINT, 0)), numbers(F.regexp_replace(q, _POINT, " "))
+    r = table(spark, d, "qa_record").filter(q.rlike(_POINT) & (F.size(numbers(q)) == 3) & F.col("img_id").isNotNull())
+    r = r.select(F.col("img_id").alias("img"), F.get(rest, 0).cast("int").alias("slice"), F.get(point, 0).cast("int").alias("x"), F.get(point, 1).cast("int").alias("y"), F.btrim(F.lower("answer"), F.lit(" .")).alias("name"))
     lab = table(spark, d, "mask_label").select("class_id", F.lower("label").alias("name"))
     return r.join(F.broadcast(lab) if lab.count() < 10_000 else lab, "name").drop("name")
 
@@ -638,9 +633,9 @@ def image_token_check(spark, d):
 _CH = "list_transform(list_filter(string_split(coalesce(question,''), ''), lambda c: c <> ''), lambda c: ascii(c) % 100 + 2)"
 
 
-@register(f"SELECT rec_id, least(length(coalesce(question,'')), 24) AS prompt_length, least(length(coalesce(answer,'')), 8) AS answer_length, length(coalesce(question,'')) > 24 AS prompt_truncated, length(coalesce(answer,'')) > 8 AS answer_truncated, -100 * least(length(coalesce(question,'')), 24) AS masked_sum FROM qa_record")
+@register(f"SELECT rec_id, least(length(coalesce(question,'')), 512) AS prompt_length, least(length(coalesce(answer,'')), 64) AS answer_length, length(coalesce(question,'')) > 512 AS prompt_truncated, length(coalesce(answer,'')) > 64 AS answer_truncated, -100 * least(length(coalesce(question,'')), 512) AS masked_sum FROM qa_record")
 def label_mask(spark, d):
-    m = A.label_mask(A.char_tokens(F.col("question")), A.char_tokens(F.col("answer")), 24, 8)
+    m = A.label_mask(A.char_tokens(F.col("question")), A.char_tokens(F.col("answer")))
     x = table(spark, d, "qa_record").select("rec_id", m.alias("m"))
     masked = F.aggregate(F.slice("m.labels", 1, F.col("m.prompt_length")), F.lit(0), lambda s, v: s + v)
     return x.select("rec_id", "m.prompt_length", "m.answer_length", "m.prompt_truncated", "m.answer_truncated", masked.alias("masked_sum"))
@@ -698,7 +693,7 @@ def run_batches(spark, d):
     return ranking.run_batches(r, ["source", "day"], ["rec_id"], F.col("o"), F.col("bud"), 4).select("rec_id", "run_no", "batch_in_run", "budget")
 
 
-@register("WITH v AS (SELECT DISTINCT label AS item FROM canonical_answer), q AS (SELECT rec_id, answer FROM qa_record WHERE upper(answer_type) = 'CLOSED'), c AS (SELECT rec_id, item, row_number() OVER (PARTITION BY rec_id ORDER BY md5(concat_ws(':', '7', CAST(rec_id AS VARCHAR), item)), item) AS rank FROM q, v WHERE item IS DISTINCT FROM answer) SELECT rec_id, item, rank FROM c WHERE rank <= 3")
+@register("WITH v AS (SELECT item, row_number() OVER (ORDER BY md5(concat_ws(':', '7', item)), item) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT label AS item FROM canonical_answer)), q AS (SELECT rec_id, answer, CAST('0x' || substr(md5(concat_ws(':', '7', CAST(rec_id AS VARCHAR))), 1, 8) AS BIGINT) AS h FROM qa_record WHERE upper(answer_type) = 'CLOSED'), c AS (SELECT rec_id, item, row_number() OVER (PARTITION BY rec_id ORDER BY k) AS rank FROM q, (SELECT unnest([0, 1, 2, 3]) AS k) s, v WHERE v.pos = (h + k) % n AND item IS DISTINCT FROM answer) SELECT rec_id, item, rank FROM c WHERE rank <= 3")
 def seeded_negatives(spark, d):
     q = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED").select("rec_id", "answer")
     return ranking.seeded_negatives(q, "rec_id", "answer", table(spark, d, "canonical_answer").select(F.col("label").alias("item")), 3, 7)
@@ -872,9 +867,7 @@ def model_membership(spark, d):
 def pixel_diff(spark, d):
     px = pixels(spark, d)
     a, b = px.select("img", "slice", "y", "x", (F.col("class_id") % 7).alias("v")).distinct(), px.select("img", "slice", "y", "x", (F.col("class_id") % 5).alias("v")).distinct()
-    on = ["img", "slice", "y", "x"]
-    j = a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), on, "full")
-    return j.groupBy("img").agg(F.round(F.avg(F.abs(F.coalesce("va", F.lit(0)) - F.coalesce("vb", F.lit(0)))), 6).alias("diff"))
+    return masks.pixel_difference(a, b, ["img"], on=["img", "slice", "y", "x"])
 
 
 @register("SELECT canon_id, list_sort(list_distinct(list_transform(list_filter([label, lower(label), upper(label)], lambda v: v <> ''), lambda v: ascii(v) % 100 + 2))) AS first_ids FROM canonical_answer")
@@ -883,15 +876,14 @@ def banned_first_ids(spark, d):
     return table(spark, d, "canonical_answer").select("canon_id", A.banned_first_ids(v, A.char_tokens).alias("first_ids"))
 
 
-@register("SELECT rec_id, 2 + length(coalesce(question,'')) + 1 AS n_ids FROM qa_record WHERE question NOT LIKE '%<image>%'")
+@register("WITH p AS (SELECT rec_id, '<image>' || chr(10) || coalesce(question, '') AS t FROM qa_record), n AS (SELECT rec_id, t, (length(t) - length(replace(t, '<image>', ''))) // 7 AS k FROM p) SELECT rec_id, 1 + k + length(t) - 7 * k AS n_ids FROM n")
 def image_prompt_ids(spark, d):
-    r = table(spark, d, "qa_record").filter(~F.contains("question", F.lit("<image>")))
-    return r.select("rec_id", F.size(A.image_token_ids(P.with_image(F.col("question")), A.char_tokens, 1)).alias("n_ids"))
+    return table(spark, d, "qa_record").select("rec_id", F.size(A.image_token_ids(P.with_image(X.text(F.col("question"))), A.char_tokens, 1)).alias("n_ids"))
 
 
-@register("SELECT pred_id, round(best_score - (ln(exp(0) + exp(second_score - best_score)) + best_score), 6) AS logp_best FROM prediction WHERE best_score IS NOT NULL AND second_score IS NOT NULL AND second_score <= best_score")
+@register("SELECT pred_id, round(best_score - (ln(exp(best_score - greatest(best_score, second_score)) + exp(second_score - greatest(best_score, second_score))) + greatest(best_score, second_score)), 6) AS logp_best FROM prediction WHERE best_score IS NOT NULL AND second_score IS NOT NULL")
 def candidate_softmax(spark, d):
-    p = table(spark, d, "prediction").filter("best_score is not null and second_score is not null and second_score <= best_score")
+    p = table(spark, d, "prediction").filter("best_score is not null and second_score is not null")
     return p.select("pred_id", F.round(metrics.log_softmax(F.array("best_score", "second_score"))[0], 6).alias("logp_best"))
 
 
@@ -998,17 +990,17 @@ def formatted_counts(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(X.thousands(F.count("*") * 1000).alias("shown"))
 
 
-@register("WITH t AS (SELECT img_id, rec_id, question, answer, row_number() OVER (PARTITION BY img_id ORDER BY rec_id) AS turn FROM qa_record WHERE img_id > 0 AND question <> '' AND answer <> '') SELECT img_id, string_agg('[INST] ' || question || ' [/INST] ' || answer || ' </s>', '' ORDER BY turn) AS prompt FROM t WHERE turn <= 3 GROUP BY 1")
+@register("WITH t AS (SELECT img_id, '[INST] ' || question || ' [/INST] ' || answer || ' </s>' AS text, row_number() OVER (PARTITION BY img_id ORDER BY rec_id, question, answer) AS turn FROM qa_record WHERE img_id > 0 AND question <> '' AND answer <> '') SELECT img_id, (turn - 1) // 50 + 1 AS part, string_agg(text, '' ORDER BY turn) AS prompt FROM t GROUP BY 1, 2")
 def conversation_prompts(spark, d):
-    t = ranking.first_n(table(spark, d, "qa_record").filter("img_id > 0 and question <> '' and answer <> ''").select("img_id", "rec_id", "question", "answer"), ["img_id"], ["rec_id"], 3)
-    m = t.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("rn", "question", "answer"))).alias("m"))
-    texts = F.flatten(F.transform("m", lambda x: F.array(x["question"], x["answer"])))
-    return m.select("img_id", P.render(texts, "mistral_instruct").alias("prompt"))
+    """Whole conversations of every image, in numbered parts of 50 turns, so that no row grows with an image's records."""
+    t = conversation_turns(spark, d).select("img_id", "turn", (F.floor((F.col("turn") - 1) / 50) + 1).alias("part"), "prompt")
+    m = t.groupBy("img_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "prompt"))).alias("m"))
+    return m.select("img_id", "part", F.array_join(F.transform("m", lambda x: x["prompt"]), "").alias("prompt"))
 
 
 @register("SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY rec_id, question, answer) AS turn, rec_id, '[INST] ' || question || ' [/INST] ' || answer || ' </s>' AS prompt FROM qa_record WHERE img_id > 0 AND question <> '' AND answer <> ''")
 def conversation_turns(spark, d):
-    """Every turn of every image, a row each; in the order of turn they are the image's whole conversation, without conversation_prompts' limit of three."""
+    """Every turn of every image, a row each; in the order of turn they are the image's whole conversation."""
     r = table(spark, d, "qa_record").filter("img_id > 0 and question <> '' and answer <> ''").select("img_id", "rec_id", "question", "answer")
     t = ordinals.with_number_in(r, "img_id", "rec_id", "turn", ["question", "answer"])
     return t.select("img_id", "turn", "rec_id", P.render(F.array("question", "answer"), "mistral_instruct").alias("prompt"))
