@@ -161,3 +161,8 @@ def template_name(model: Column, vision_mark: str) -> Column:
 
 def thousands(x: Column) -> Column:
     return F.format_number(x, 0)
+
+
+def answer_id() -> Column:
+    """A random id of an answer; not the same in another run."""
+    return F.uuid()

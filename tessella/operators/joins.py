@@ -37,3 +37,8 @@ def owned_variants(labels: DataFrame, by: str, labels_col: str, variants: Column
     long = labels.select(by, F.posexplode(labels_col).alias("base_pos", "base")).select(by, "base_pos", "base", F.posexplode(variants).alias("var_pos", "variant"))
     own = long.groupBy(by, "variant").agg(F.min(F.struct("base_pos", "var_pos", "base")).alias("o"))
     return own.select(by, F.col("o.base_pos").alias("base_pos"), F.col("o.base").alias("base"), "variant")
+
+
+def gather(rows: DataFrame, owners: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with columns of their owner, by its key; rows without an owner are dropped."""
+    return rows.join(owners.select(key, *columns), key)

@@ -155,3 +155,20 @@ def log_softmax(scores: Column) -> Column:
 
 def mean_words(x: Column) -> Column:
     return F.avg(F.size(words(squash(x))))
+
+
+def route_losses(predictions: DataFrame, route: str, score: str) -> DataFrame:
+    """(route, n, mean_loss, valid_ratio): mean negative log-probability of the chosen candidate, and the share of rows that have one."""
+    return predictions.groupBy(route).agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(-F.col(score)), F.lit(0.0)), 6).alias("mean_loss"), ratio(F.count(score), F.count("*")).alias("valid_ratio"))
+
+
+def generation_gate(predictions: DataFrame, by: Column, generated: Column) -> DataFrame:
+    """(key, n, mean_words, non_empty, passes): at most one generated text of a key may be empty."""
+    some = F.count_if(strip(generated) != "")
+    return predictions.groupBy(by.alias("key")).agg(F.count("*").alias("n"), F.round(mean_words(generated), 6).alias("mean_words"), some.alias("non_empty"), (some >= F.count("*") - 1).alias("passes"))
+
+
+def mean_of_texts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, mean) of texts that write numbers; others don't count."""
+    v = F.expr(f"try_cast({value} as double)")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.coalesce(F.avg(v), F.lit(0.0)), 6).alias("mean"))

@@ -60,3 +60,20 @@ def run_counters(predictions: DataFrame) -> DataFrame:
     return predictions.agg(
         F.count("*").alias("n"), F.count_if(strip(F.col("raw_generation")) == "").alias("empty_raw"), F.count_if(strip(F.col("extracted_pred")) == "").alias("empty_extracted"), F.count_if(is_image_index(F.col("extracted_pred"))).alias("image_index"), F.count_if(F.coalesce("invalid_image", F.lit(False))).alias("invalid_images"),
     )
+
+
+def token_histogram(df: DataFrame, generated: Column) -> DataFrame:
+    """(place, token, n): how often each word is the first and the last of a generated text; '' where there is none."""
+    from tessella.functions.text import squash, words
+
+    w = words(squash(generated))
+    ends = F.array(F.struct(F.lit("first").alias("place"), F.coalesce(F.get(w, 0), F.lit("")).alias("token")), F.struct(F.lit("last").alias("place"), F.coalesce(F.get(w, F.size(w) - 1), F.lit("")).alias("token")))
+    return df.select(F.inline(ends)).groupBy("place", "token").agg(F.count("*").alias("n"))
+
+
+def retries(predictions: DataFrame, by: Column) -> DataFrame:
+    """(key, n, retries): predictions that a run asks for again, those without an extracted text on a valid image."""
+    from tessella.functions.text import strip
+
+    again = (strip(F.col("extracted_pred")) == "") & ~F.coalesce("invalid_image", F.lit(False))
+    return predictions.groupBy(by.alias("key")).agg(F.count("*").alias("n"), F.count_if(again).alias("retries"))

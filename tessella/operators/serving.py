@@ -43,3 +43,9 @@ def by_priority(names: DataFrame, name: str, priority: dict[str, str]) -> DataFr
     for n, k in priority.items():
         key = F.when(F.col(name) == n, k).otherwise(key)
     return names.orderBy(key, name)
+
+
+def refresh(state: DataFrame, polls: DataFrame, worker: str, ok: str, columns: list[str]) -> DataFrame:
+    """The state of the workers that answered a poll, with the columns they answered; the others are dropped."""
+    fresh = polls.filter(ok).select(worker, *[F.col(c).alias(f"_{c}") for c in columns])
+    return state.join(fresh, worker).select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in state.columns])

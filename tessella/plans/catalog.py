@@ -13,6 +13,7 @@ from tessella.functions import prompts as P
 from tessella.functions import text as X
 from tessella.operators import joins, judge, masks, metrics, monitoring, ranking, scorer, serving
 from tessella.plans import ordinals
+from tessella.plans.cut import Scratch
 from tessella.sources import readers
 from tessella.sources.tables import table
 
@@ -1025,3 +1026,215 @@ def sft_closed_answers(spark, d):
     v = X.title_yes_no(F.col("answer"))
     r = table(spark, d, "qa_record").filter(F.upper("answer_type") == "CLOSED")
     return r.groupBy(F.when(v == "Yes", "Yes").when(v == "No", "No").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+
+
+# 17 files written and read back, token sequences, counters
+
+
+def _files(spark: SparkSession) -> str:
+    return Scratch(spark, "files").path()
+
+
+@register("SELECT rec_id, question, answer, modality FROM qa_record")
+def jsonl_round_trip(spark, d):
+    path = _files(spark)
+    readers.write_jsonl(table(spark, d, "qa_record").select("rec_id", "question", "answer", "modality"), path)
+    return readers.read_jsonl(spark, path, "rec_id bigint, question string, answer string, modality string")
+
+
+@register("SELECT canon_id, label, category FROM canonical_answer")
+def json_array_round_trip(spark, d):
+    path = _files(spark)
+    readers.write_json_array(table(spark, d, "canonical_answer").select("canon_id", "label", "category"), path, "canon_id")
+    return spark.read.schema("canon_id bigint, label string, category string").option("multiLine", True).json(path)
+
+
+@register("SELECT count(*) AS n, count(answer) AS answered FROM qa_record")
+def document_round_trip(spark, d):
+    path = _files(spark)
+    readers.write_document(table(spark, d, "qa_record").agg(F.count("*").alias("n"), F.count("answer").alias("answered")), path)
+    return spark.read.schema("n bigint, answered bigint").option("multiLine", True).json(path)
+
+
+@register("SELECT canon_id, label, category FROM canonical_answer")
+def csv_round_trip(spark, d):
+    path = _files(spark)
+    readers.write_csv(table(spark, d, "canonical_answer").select("canon_id", "label", "category"), path)
+    return spark.read.schema("canon_id bigint, label string, category string").option("header", True).csv(path)
+
+
+@register(f"SELECT row_number() OVER (ORDER BY n DESC, first_pos) AS rank, value AS answer, n FROM ({ORACLE['closed_vocab_topk']})")
+def vocabulary_round_trip(spark, d):
+    from pyspark.sql import Window
+
+    path = _files(spark)
+    # at most 200 rows
+    readers.save_vocabulary(closed_vocabulary(spark, d).select(F.row_number().over(Window.orderBy(F.desc("n"), "first_pos")).alias("rank"), F.col("value").alias("answer"), "n"), path)
+    return readers.load_vocabulary(spark, path)
+
+
+@register("SELECT class_id, label FROM mask_label")
+def id_label_file(spark, d):
+    path = _files(spark)
+    table(spark, d, "mask_label").select(F.concat_ws(":", F.col("class_id").cast("string"), "label")).union(spark.createDataFrame([("no colon",), ("x:no number",)], "value string")).write.text(path)
+    return readers.read_id_labels(spark, path)
+
+
+@register("SELECT canon_id AS qid, label AS question, category AS answer, 1 AS n_triples FROM canonical_answer")
+def split_file(spark, d):
+    path = _files(spark)
+    c = table(spark, d, "canonical_answer").select(F.col("canon_id").alias("qid"), F.col("label").alias("question"), F.col("category").alias("answer"), F.array("category", F.lit("is"), "label").alias("triple"))
+    readers.write_json_array(c, f"{path}/train.json", "qid")
+    return readers.read_split(spark, path, "train").select("qid", "question", "answer", F.size("triple").alias("n_triples"))
+
+
+@register("SELECT label AS organ, 'category' AS attribute, category AS value FROM canonical_answer")
+def graph_edges(spark, d):
+    path = _files(spark)
+    table(spark, d, "canonical_answer").select(F.col("label").alias("organ"), F.lit("category").alias("attribute"), F.col("category").alias("value")).write.option("header", True).option("sep", "#").csv(path)
+    return readers.read_edges(spark, path)
+
+
+@register("SELECT label, CAST(class_id AS DOUBLE) AS x, CAST(class_id + 4 AS DOUBLE) AS y FROM mask_label")
+def box_files(spark, d):
+    path = _files(spark)
+    box = F.create_map("label", F.array(F.col("class_id"), F.col("class_id") + 4, F.lit(7), F.lit(8)))
+    table(spark, d, "mask_label").select(F.to_json(F.array(box))).coalesce(1).write.option("lineSep", "\n").text(path)
+    lines = spark.read.text(path)
+    # a file holds one array, so the lines are joined to one
+    lines.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.expr("substring(value, 2, length(value) - 2)"))), ","), F.lit("]"))).coalesce(1).write.text(f"{path}-one")
+    return readers.read_boxes(spark, f"{path}-one/*.txt").select("label", F.col("box")[0].alias("x"), F.col("box")[1].alias("y"))
+
+
+@register("SELECT label AS question, category AS answer, 1 AS n_triples FROM canonical_answer")
+def question_files(spark, d):
+    path = _files(spark)
+    c = table(spark, d, "canonical_answer").select(F.col("label").alias("question"), F.col("category").alias("answer"), F.to_json(F.array("category", F.lit("is"), "label")).alias("triple"), "canon_id")
+    readers.write_json_array(c, path, "canon_id")
+    return readers.read_question_files(spark, f"{path}/*.txt").select("question", "answer", F.size("triple").alias("n_triples"))
+
+
+@register("SELECT doc_id, md5(text) AS md5 FROM documents")
+def base64_round_trip(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(readers.decode_image(F.base64(F.col("text").cast("binary")))).alias("md5"))
+
+
+@register("SELECT g.gen_id, r.img_name FROM generation_result g JOIN qa_record r ON g.rec_id = r.rec_id")
+def owner_gather(spark, d):
+    return joins.gather(table(spark, d, "generation_result").select("gen_id", "rec_id"), table(spark, d, "qa_record"), "rec_id", ["img_name"]).select("gen_id", "img_name")
+
+
+@register(f"SELECT doc_id, coalesce(regexp_split_to_array({_strip('text')}, '\\r\\n|[\\n\\r\\x{{0B}}\\x{{0C}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')[1], '') AS line FROM documents")
+def first_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.first_line(F.col("text")).alias("line"))
+
+
+_BARE = "regexp_replace(line, '(?i)^answer:', '')"
+
+
+@register(f"WITH a AS (SELECT pred_id, {_FIRST} AS line FROM prediction) SELECT pred_id, {_strip(_BARE)} AS answer FROM a")
+def answers_without_prefix(spark, d):
+    return table(spark, d, "prediction").select("pred_id", X.strip_answer_prefix(F.col("raw_generation")).alias("answer"))
+
+
+@register("SELECT user_id, event_type, count(value) AS n_tokens, round(coalesce(sum(-value), 0.0) / greatest(count(value), 1), 6) AS score FROM events GROUP BY 1, 2")
+def token_probabilities(spark, d):
+    return metrics.token_probability(table(spark, d, "events").select("user_id", "event_type", (-F.col("value")).alias("logprob")), ["user_id", "event_type"], "logprob")
+
+
+@register("SELECT name, CASE WHEN style = 'two' THEN nullif(sep2, '') ELSE coalesce(nullif(sep, ''), nullif(sep2, '')) END AS stop FROM (VALUES " + ", ".join("(" + ", ".join(_lit(x) for x in (n, t.style, t.sep, t.sep2)) + ")" for n, t in P.TEMPLATES.items()) + ") t(name, style, sep, sep2)")
+def stop_strings(spark, d):
+    return spark.createDataFrame([(n, P.stop_string(n)) for n in P.TEMPLATES], "name string, stop string")
+
+
+_LCH = "list_transform(list_filter(string_split(label, ''), lambda c: c <> ''), lambda c: ascii(c) % 100 + 2)"
+
+
+@register(f"SELECT canon_id, list_concat(list_transform(range(greatest(24 - length(label), 0)), lambda i: 0), {_LCH}) AS ids, length(label) AS live, greatest(length(label) - 3, 0) AS generated FROM canonical_answer")
+def left_padding(spark, d):
+    ids, to = A.char_tokens(F.col("label")), F.lit(24)
+    c = table(spark, d, "canonical_answer")
+    return c.select("canon_id", A.pad_left(ids, to, 0).alias("ids"), F.aggregate(A.attention_left(ids, to), F.lit(0), lambda s, v: s + v).alias("live"), F.size(A.generated_suffix(ids, F.lit(3))).alias("generated"))
+
+
+@register(f"SELECT rec_id, {_TRI} <> '' AS triple_context_used FROM qa_record")
+def context_flags(spark, d):
+    return table(spark, d, "qa_record").select("rec_id", (P.format_triples(F.col("triple")) != "").alias("triple_context_used"))
+
+
+_RW = _words(_squash("raw_generation"))
+
+
+@register(f"WITH w AS (SELECT {_RW} AS w FROM prediction), l AS (SELECT 'first' AS place, coalesce(w[1], '') AS token FROM w UNION ALL SELECT 'last', coalesce(w[len(w)], '') FROM w) SELECT place, token, count(*) AS n FROM l GROUP BY 1, 2")
+def token_histogram(spark, d):
+    return monitoring.token_histogram(table(spark, d, "prediction"), F.col("raw_generation"))
+
+
+@register(f"SELECT coalesce(route, '') AS key, count(*) AS n, count(*) FILTER (WHERE {_strip('extracted_pred')} = '' AND NOT coalesce(invalid_image, false)) AS retries FROM prediction GROUP BY 1")
+def retry_counts(spark, d):
+    return monitoring.retries(table(spark, d, "prediction"), X.text(F.col("route")))
+
+
+@register("SELECT route, count(*) AS n, round(coalesce(avg(-best_score), 0.0), 6) AS mean_loss, round(count(best_score) / CAST(count(*) AS DOUBLE), 6) AS valid_ratio FROM prediction WHERE route IS NOT NULL GROUP BY 1")
+def route_losses(spark, d):
+    return metrics.route_losses(table(spark, d, "prediction").filter("route is not null"), "route", "best_score")
+
+
+@register(f"SELECT upper({_t('answer_type')}) AS key, count(*) AS n, round(avg(len({_RW})), 6) AS mean_words, count(*) FILTER (WHERE {_strip('raw_generation')} <> '') AS non_empty, count(*) FILTER (WHERE {_strip('raw_generation')} <> '') >= count(*) - 1 AS passes FROM prediction GROUP BY 1")
+def generation_gate(spark, d):
+    return metrics.generation_gate(table(spark, d, "prediction"), F.upper(X.text(F.col("answer_type"))), F.col("raw_generation"))
+
+
+@register("SELECT event_type, count(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS n, round(coalesce(avg(try_cast(json_extract_string(props, '$.k') AS DOUBLE)), 0.0), 6) AS mean FROM events GROUP BY 1")
+def mean_of_texts(spark, d):
+    return metrics.mean_of_texts(table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").alias("k")), ["event_type"], "k")
+
+
+@register("SELECT count(*) AS n, count(*) AS n_ids FROM generation_result")
+def answer_ids(spark, d):
+    return table(spark, d, "generation_result").select(X.answer_id().alias("id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+_PXD = "i AS (SELECT DISTINCT img, slice, y, x, class_id AS v FROM px), k AS (SELECT DISTINCT img, slice, y, x FROM px WHERE class_id % 2 = 0)"
+
+
+@register(f"WITH {_PIX}, {_PXD} SELECT i.img, i.slice, i.y, i.x, CASE WHEN k.img IS NOT NULL OR NOT EXISTS (SELECT 1 FROM k AS o WHERE o.img = i.img AND o.slice = i.slice) THEN i.v ELSE 0 END AS v FROM i LEFT JOIN k USING (img, slice, y, x)")
+def masked_images(spark, d):
+    px = pixels(spark, d)
+    image = px.select("img", "slice", "y", "x", F.col("class_id").alias("v")).distinct()
+    return masks.apply_mask(image, px.filter("class_id % 2 = 0"), ["img", "slice"])
+
+
+@register(f"WITH {_PIX}, {_PXD}, b AS (SELECT img, slice, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM k GROUP BY 1, 2) SELECT i.img, i.slice, i.y - coalesce(y0, 0) AS y, i.x - coalesce(x0, 0) AS x, i.v FROM i LEFT JOIN b USING (img, slice) WHERE x0 IS NULL OR (i.x >= x0 AND i.x < x1 AND i.y >= y0 AND i.y < y1)")
+def cropped_images(spark, d):
+    px = pixels(spark, d)
+    image = px.select("img", "slice", "y", "x", F.col("class_id").alias("v")).distinct()
+    boxes = px.filter("class_id % 2 = 0").groupBy("img", "slice").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    return masks.crop(image, boxes, ["img", "slice"])
+
+
+@register("WITH s AS (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1), p AS (SELECT user_id, arg_max(value, row(ts, event_id)) AS value FROM events WHERE event_type = 'click' GROUP BY 1) SELECT s.user_id, s.last_seen, p.value FROM s JOIN p USING (user_id)")
+def refreshed_workers(spark, d):
+    e = table(spark, d, "events")
+    state = serving.latest_state(e, "user_id", "ts", ["value"], "event_id")
+    polls = serving.latest_state(e.filter("event_type = 'click'"), "user_id", "ts", ["value"], "event_id").select("user_id", "value", F.lit(True).alias("ok"))
+    return serving.refresh(state, polls, "user_id", "ok", ["value"]).select("user_id", "last_seen", "value")
+
+
+@register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def streamed_windows(spark, d):
+    """windowed_events as a stream over the files, run to its end."""
+    from tessella.streaming import workers
+
+    files = Scratch(spark, "stream")
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = workers.windowed_counts(stream, "ts", "1 hour", None, "event_type", "value", "3650 days")
+    out = files.path()
+
+    def keep(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    rows.writeStream.outputMode("complete").option("checkpointLocation", files.path()).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    got = spark.read.parquet(out)
+    return got.select(F.col("start").cast(schema["ts"].dataType).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
