@@ -11,8 +11,8 @@ words ask something else.
 
 Frequencies are counted over all questions and held down to KNOWN of a
 language's questions; a word rarer than that weighs as much as the rarest that is
-held. A rare word is a slip of a common one that is near and far more frequent;
-else it is a word of its own, which parts two questions unless the other side
+held. A rare word is a slip of a common one that is near and far more frequent,
+of one of its question's language before others as near; else it is a word of its own, which parts two questions unless the other side
 has it too, at most misspelled. As a misspelled rare word can't be looked up, the
 lists hold all rare words of a text under one term; the exact dot product weighs
 each by itself.
@@ -29,6 +29,7 @@ evaluation, a null split as none.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log, sqrt
@@ -51,6 +52,8 @@ THRESHOLD = 0.9
 ESTABLISHED, KNOWN = 0.003, 0.0003
 #: A slip is at least so many times rarer than the word it is a slip of.
 SLIP = 30
+#: A word is one of the languages that use it at most so many times less than the language that uses it most.
+OWN = 4
 #: Weight, in lists, of the one term that stands for rare words, and of unknown Han characters.
 LOOSE, RARE = 0.6, "~"
 #: Longer words are never taken for slips; the longest established ones are much shorter.
@@ -116,10 +119,10 @@ def tongue(question: str) -> str | None:
 
 
 class Vectors:
-    """Turns questions into weighted terms, with the corpus's document frequencies: of established words, and of rarer known ones."""
+    """Turns questions into weighted terms, with the corpus's document frequencies: of established words, and of rarer known ones; and the languages of established words."""
 
-    def __init__(self, df: dict[str, int], n: int, known: dict[str, int] | None = None):
-        self.df, self.n, self.known = df, max(1, n), known or {}
+    def __init__(self, df: dict[str, int], n: int, known: dict[str, int] | None = None, langs: dict[str, frozenset[str]] | None = None):
+        self.df, self.n, self.known, self.langs = df, max(1, n), known or {}, langs or {}
         self.cut: dict[str, list[str]] = {}
         # words of no meaning of their own have slips too
         for w in {**df, **dict.fromkeys([*_STOP, *_SAME, *map(fold, POLITE)], 0)}:
@@ -137,17 +140,23 @@ class Vectors:
         two = {x[:i] + x[i + 1 :] for x in one for i in range(len(x))} if len(w) > 5 else set()
         return {w} | one | two
 
-    def near(self, t: str) -> str | None:
-        """The established word, or the one without meaning, that t is most likely a slip of; none if t is too frequent for that."""
+    def where(self, words: list[str]) -> frozenset[str]:
+        """The languages that most of the established words have."""
+        hits = Counter(lang for t in words for lang in self.langs.get(t, ()))
+        return frozenset(lang for lang, n in hits.items() if n == max(hits.values()))
+
+    def near(self, t: str, where: frozenset[str] = frozenset()) -> str | None:
+        """The established word, or the one without meaning, that t is most likely a slip of in a text of these languages; none if t is too frequent for that."""
         if len(t) > MOST_LETTERS:
             return None
         most = 1 if len(t) < 6 else 2
         seen = {w for x in self._shorter(t) for w in self.cut.get(x, ())}
         seen = {w for w in seen if w not in self.df or self.known.get(t, 0) * SLIP <= self.df[w]}
-        got = [(d + (0.5 if w[0] != t[0] else 0), abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w, most)) <= most]
-        return min(got)[2] if got else None
+        foreign = {w for w in seen if where and w in self.langs and not where & self.langs[w]}
+        got = [(d + (0.5 if w[0] != t[0] else 0), w in foreign, abs(len(w) - len(t)), w) for w in seen if (d := distance(t, w, most)) <= most]
+        return min(got)[3] if got else None
 
-    def _term(self, t: str) -> tuple[str, float] | None:
+    def _term(self, t: str, where: frozenset[str] = frozenset()) -> tuple[str, float] | None:
         """The term and weight of a token; a slip counts as the word it is nearest to, a rare word of its own weighs most."""
         if regex.match(r"\p{N}", t):
             return None  # numbers are in the block's key
@@ -155,7 +164,7 @@ class Vectors:
             return None if t in HAN_STOP else (t, self.weight(t))
         if t not in self.df and t not in _STOP and t not in _SAME and t not in POLITE:
             if len(t) > 3:
-                t = self.near(t) or t
+                t = self.near(t, where) or t
             else:
                 short = [w for w in self.df if len(w) <= 4 and abs(len(w) - len(t)) <= 1 and self.known.get(t, 0) * SLIP <= self.df[w] and distance(w, t) == 1]
                 if short:
@@ -176,8 +185,10 @@ class Vectors:
     def _of(self, question: str) -> tuple[tuple[str, ...], tuple[float, ...], dict[str, float]]:
         """Terms and weights of length one, from rare to common, as they are listed; and the weights of all words by themselves."""
         exact: dict[str, float] = {}
-        for t in tokens(question):
-            if (x := self.term(t)) is not None:
+        words = tokens(question)
+        where = self.where(words)
+        for t in words:
+            if (x := self.term(t, where)) is not None:
                 exact[x[0]] = x[1] or 0.3
         got: dict[str, float] = {}
         for t, w in exact.items():
@@ -245,8 +256,8 @@ def _texts(records: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(rows.select("rec_id", "train", F.xxhash64("group_id", "key").alias("block"), "tid", "question", "lang"))
 
 
-def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
-    """Document frequencies of the established words, the number of questions, and frequencies of the other known words.
+def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int, dict[str, int], dict[str, frozenset[str]]]:
+    """Document frequencies of the established words, the number of questions, frequencies of the other known words, and the languages of the established ones.
 
     Every known word holds at least KNOWN of its language's questions, so there
     are at most (words per question) / KNOWN of them per language.
@@ -256,13 +267,16 @@ def _frequencies(texts: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]
     lang = F.when(F.col("lang").isin("en", "zh", "de", "fr", "es"), F.col("lang")).otherwise("")
     counts = texts.select(lang.alias("lang"), token).groupBy("lang", "w").agg(F.count("*").alias("n"))
     per = texts.groupBy(lang.alias("lang")).agg(F.count("*").alias("of")).collect()  # at most six rows
+    # questions of no known label are held to a share of their own number too, or slips would become words as the table grows
     of = F.lit(None).cast("double")
     for r in per:
-        if r["lang"]:
-            of = F.when(F.col("lang") == r["lang"], float(r["of"])).otherwise(of)
+        of = F.when(F.col("lang") == r["lang"], float(r["of"])).otherwise(of)
     kept = lambda share: F.coalesce(F.max(F.col("n") >= F.greatest(F.lit(8.0), of * share)), F.lit(False))
-    total = counts.groupBy("w").agg(F.sum("n").alias("n"), kept(ESTABLISHED).alias("established"), kept(KNOWN).alias("known")).filter("known").collect()
-    return {r["w"]: r["n"] for r in total if r["established"]}, sum(r["of"] for r in per), {r["w"]: r["n"] for r in total if not r["established"]}
+    shares = F.struct(F.lit(0.0).alias(""), *[F.max(F.when(F.col("lang") == r["lang"], F.col("n") / of)).alias(r["lang"]) for r in per if r["lang"]])
+    total = counts.groupBy("w").agg(F.sum("n").alias("n"), kept(ESTABLISHED).alias("established"), kept(KNOWN).alias("known"), shares.alias("shares")).filter("known").collect()
+    # wrong labels put a small share of a word into other languages
+    langs = {r["w"]: frozenset(k for k, x in r["shares"].asDict().items() if x and x * OWN >= max(y or 0.0 for y in r["shares"])) for r in total if r["established"]}
+    return {r["w"]: r["n"] for r in total if r["established"]}, sum(r["of"] for r in per), {r["w"]: r["n"] for r in total if not r["established"]}, langs
 
 
 def overlaps(records: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,25 @@ def test_rare_words_part_questions(spark):
     assert got == {(k, 100 + k) for k in range(1, 7)} | {(2, 201), (1, 202)}
 
 
+def test_slips_in_many_unlabelled_questions(spark):
+    """A misspelling that unlabelled questions hold often, but in a small share, stays a slip."""
+    q = "Is the {} visible in this scan?"
+    rows = [(k, 1000 + k, q.format("spleeen" if k % 400 == 4 else ORGANS[k % 6]), "x", "train") for k in range(3000, 7000)]
+    rows += [(1, 1, q.format("spleen"), "Yes", "train"), (2, 1, q.format("spleeen"), "Yes", "test"), (3, 1, q.format("liver"), "Yes", "test")]
+    for label in ("en", None):
+        df = make(spark, rows).withColumn("q_lang", F.when(F.col("rec_id") < 3000, F.lit(label)))
+        assert {(r.rec_id_a, r.rec_id_b) for r in S.found(df).collect()} == {(1, 2)}
+
+
+def test_slips_of_the_language_of_the_question(spark):
+    """A slip as near to a word of another language is one of its own question's language."""
+    en, fr = "What tissue lies at point ({}, 1) of slice 2?", "Quel tissu se trouve au point ({}, 1) de la coupe 2 ?"
+    rows = [(k, 1000 + k, (en if k % 2 else fr).format(k), "x", "train") for k in range(3000, 4200)]
+    rows += [(1, 1, en.format(7), "Yes", "train"), (2, 1, en.format(7).replace("tissue", "tisse"), "Yes", "test"), (3, 2, fr.format(7), "Oui", "train"), (4, 2, fr.format(7).replace("tissu", "tissuu"), "Oui", "test")]
+    df = make(spark, rows).withColumn("q_lang", F.when(F.col("question").startswith("What"), "en").otherwise("fr"))
+    assert {(r.rec_id_a, r.rec_id_b) for r in S.found(df).collect()} == {(1, 2), (3, 4)}
+
+
 def test_members_hold_every_link(spark, monkeypatch):
     q = "Is the left lung visible in this scan?"
     rows = [(k, 1, q if k % 3 else q.upper() + " Thanks", "Yes", "train" if k % 4 else "test") for k in range(1, 200)]
